@@ -1 +1,268 @@
-"""(filled below)"""
+"""Tokenisation queries: BPE training / encoding / decoding (B*), windows and batches (W*)."""
+from __future__ import annotations
+
+from pyspark.sql import Window
+from pyspark.sql import functions as F
+
+from seqlake.operators import bpe
+from seqlake.operators import windows as W
+from seqlake.plans.corpus import SEGS_CTE
+from seqlake.plans.registry import register
+from seqlake.sources import views
+
+# Query parameters: a small vocabulary keeps the SQL oracle (one CTE chain per merge) readable.
+VOCAB_SIZE = 24
+CONTEXT = 512
+BASE_CONTEXT = 4096
+BATCH = 24
+_ALPHA = "ACGNT"  # sorted alphabet of the DNA view (A C G T plus the initial N)
+
+
+def _model(spark, d) -> bpe.BpeModel:
+    return bpe.train_bpe(bpe.segment_counts(views.sequences(spark, d)), vocab_size=VOCAB_SIZE)
+
+
+def _encoded(spark, d, model=None):
+    model = model or _model(spark, d)
+    return bpe.encode_bpe(views.sequences(spark, d), model), model
+
+
+# --------------------------------------------------------------------------------------------
+# SQL generator for the oracle: one materialised CTE chain per merge round.
+
+def _chars(ids):
+    return "".join(chr(bpe.CHAR_BASE + i) for i in ids)
+
+
+def bpe_sql_ctes(vocab_size: int = VOCAB_SIZE, extra_rounds: int = 3) -> str:
+    base = bpe.CHAR_BASE
+    alpha_ids = {c: 3 + i for i, c in enumerate(_ALPHA)}
+    v0 = ", ".join(f"({i}, '{t}')" for i, t in enumerate(bpe.SPECIALS + list(_ALPHA)))
+    ctes = [SEGS_CTE,
+            f"s0 AS MATERIALIZED (SELECT translate(segment, '{_ALPHA}', '{_chars(alpha_ids[c] for c in _ALPHA)}') AS s, n FROM seg)",
+            f"v0 AS MATERIALIZED (SELECT * FROM (VALUES {v0}) t(id, tok))"]
+    rounds = vocab_size - 8 + extra_rounds
+    for r in range(rounds):
+        ctes.append(f"""p{r} AS MATERIALIZED (
+  SELECT pair, cnt FROM (
+    SELECT substr(s, i, 2) AS pair, sum(n) AS cnt
+    FROM (SELECT s, n, unnest(range(1, length(s))) AS i FROM s{r}) GROUP BY 1)
+  ORDER BY cnt DESC, pair ASC LIMIT 1)""")
+        ctes.append(f"""m{r} AS MATERIALIZED (
+  SELECT {r} AS rank, pair, cnt,
+         unicode(substr(pair, 1, 1)) - {base} AS left_id, unicode(substr(pair, 2, 1)) - {base} AS right_id,
+         (SELECT tok FROM v{r} WHERE id = unicode(substr(pair, 1, 1)) - {base})
+           || (SELECT tok FROM v{r} WHERE id = unicode(substr(pair, 2, 1)) - {base}) AS token,
+         (SELECT count(*) FROM v{r}) AS vsize
+  FROM p{r} WHERE (SELECT count(*) FROM v{r}) < {vocab_size})""")
+        ctes.append(f"""mm{r} AS MATERIALIZED (
+  SELECT m.*, coalesce((SELECT min(id) FROM v{r} WHERE tok = m.token), (SELECT max(id) + 1 FROM v{r})) AS new_id
+  FROM m{r} m)""")
+        ctes.append(f"""v{r + 1} AS MATERIALIZED (
+  SELECT id, tok FROM v{r}
+  UNION ALL SELECT new_id, token FROM mm{r} WHERE new_id NOT IN (SELECT id FROM v{r}))""")
+        ctes.append(f"""s{r + 1} AS MATERIALIZED (
+  SELECT CASE WHEN (SELECT count(*) FROM mm{r}) = 0 THEN s
+              ELSE replace(s, (SELECT pair FROM mm{r}), chr({base} + (SELECT new_id FROM mm{r}))) END AS s, n
+  FROM s{r})""")
+    ctes.append("merges AS (" + " UNION ALL ".join(
+        f"SELECT rank, left_id, right_id, new_id, token, cnt FROM mm{r}" for r in range(rounds)) + ")")
+    ctes.append(f"vocab AS (SELECT id, tok FROM v{rounds})")
+    return ",\n".join(ctes)
+
+
+def bpe_encode_sql_ctes(vocab_size: int = VOCAB_SIZE, extra_rounds: int = 3) -> str:
+    """Adds ``enc(seq_id, source, sequence, ids)``: the DNA view encoded with the trained merges."""
+    base = bpe.CHAR_BASE
+    alpha_ids = {c: 3 + i for i, c in enumerate(_ALPHA)}
+    rounds = vocab_size - 8 + extra_rounds
+    parts = [bpe_sql_ctes(vocab_size, extra_rounds),
+             f"e0 AS (SELECT seq_id, source, sequence, translate(regexp_replace(translate(sequence, 'acgtn', 'ACGTN'), "
+             f"'[^{_ALPHA}]', 'N', 'g'), '{_ALPHA}', '{_chars(alpha_ids[c] for c in _ALPHA)}') AS t FROM dna)"]
+    for r in range(rounds):
+        parts.append(f"""e{r + 1} AS (SELECT seq_id, source, sequence,
+  CASE WHEN (SELECT count(*) FROM mm{r}) = 0 THEN t
+       ELSE replace(t, (SELECT pair FROM mm{r}), chr({base} + (SELECT new_id FROM mm{r}))) END AS t FROM e{r})""")
+    parts.append(f"""enc AS (SELECT seq_id, source, sequence,
+  CASE WHEN t = '' THEN []::INTEGER[] ELSE list_transform(string_split(t, ''), lambda c: unicode(c) - {base}) END AS ids
+  FROM e{rounds})""")
+    return ",\n".join(parts)
+
+
+@register("bpe_train", f"""
+WITH {bpe_sql_ctes()}
+SELECT CAST(rank AS INTEGER) AS rank, CAST(left_id AS INTEGER) AS left_id, CAST(right_id AS INTEGER) AS right_id,
+       CAST(new_id AS INTEGER) AS new_id, token, CAST(cnt AS BIGINT) AS n
+FROM merges
+""")
+def bpe_train(spark, d):
+    """Merges learned from the DNA view (vocabulary of VOCAB_SIZE)."""
+    return _model(spark, d).merges_df(spark)
+
+
+@register("bpe_vocab", f"""
+WITH {bpe_sql_ctes()}
+SELECT CAST(id AS INTEGER) AS token_id, tok AS token FROM vocab
+""")
+def bpe_vocab(spark, d):
+    """The vocabulary table."""
+    return _model(spark, d).vocab_df(spark).select("token_id", "token")
+
+
+@register("bpe_encode", f"""
+WITH {bpe_encode_sql_ctes()}
+SELECT seq_id, CAST(len(ids) AS BIGINT) AS n_tokens, md5(array_to_string(ids, ',')) AS ids_md5 FROM enc
+""")
+def bpe_encode(spark, d):
+    """Every sequence encoded with the merges trained on the same corpus."""
+    enc, _ = _encoded(spark, d)
+    return enc.select("seq_id", F.size("input_ids").cast("bigint").alias("n_tokens"),
+                      F.md5(F.array_join("input_ids", ",")).alias("ids_md5"))
+
+
+@register("token_stats", f"""
+WITH {bpe_encode_sql_ctes()}
+SELECT source, count(*) AS n_seqs, CAST(sum(len(ids)) AS BIGINT) AS n_tokens,
+       CAST(sum(length(sequence)) AS BIGINT) AS n_bases,
+       round(sum(length(sequence)) / sum(len(ids)), 6) AS bases_per_token
+FROM enc GROUP BY source
+""")
+def token_stats(spark, d):
+    """Tokens and bases per token per folder."""
+    enc, _ = _encoded(spark, d)
+    return bpe.token_stats(enc, ["source"])
+
+
+@register("vocab_usage", f"""
+WITH {bpe_encode_sql_ctes()}
+SELECT CAST(token_id AS INTEGER) AS token_id, count(*) AS n FROM (SELECT unnest(ids) AS token_id FROM enc) GROUP BY 1
+""")
+def vocab_usage(spark, d):
+    """Occurrences of every token id over the encoded corpus."""
+    enc, _ = _encoded(spark, d)
+    return bpe.vocab_usage(enc)
+
+
+@register("decode_roundtrip", """
+WITH """ + SEGS_CTE.split(",\nseg AS")[0] + """
+SELECT source, count(*) AS n_seqs, count(*) AS n_equal FROM dna GROUP BY source
+""")
+def decode_roundtrip(spark, d):
+    """decode(encode(x)) reproduces every sequence of the DNA view."""
+    enc, model = _encoded(spark, d)
+    dec = enc.withColumn("decoded", bpe.decode_bpe("input_ids", model))
+    return dec.groupBy("source").agg(F.count(F.lit(1)).alias("n_seqs"),
+                                     F.sum((F.col("decoded") == F.col("sequence")).cast("long")).alias("n_equal"))
+
+
+def _bpe_windows_sql(select: str) -> str:
+    step = CONTEXT - 2
+    return f"""
+WITH {bpe_encode_sql_ctes()},
+w AS (SELECT seq_id, source,
+        CASE WHEN len(ids) <= {CONTEXT} THEN [[1] || ids[1:{step}] || [2]]
+             ELSE list_transform(range(0, len(ids), {step}), lambda i: [1] || ids[i + 1:i + {step}] || [2]) END AS ws
+      FROM enc),
+x AS (SELECT seq_id, source, ws, unnest(range(len(ws))) AS k FROM w),
+win AS (SELECT seq_id, source, CAST(k AS INTEGER) AS window_no, CAST(k * {step} AS INTEGER) AS start_token, ws[k + 1] AS win FROM x)
+{select}"""
+
+
+@register("windows_bpe", _bpe_windows_sql(
+    "SELECT seq_id, window_no, start_token, CAST(len(win) AS BIGINT) AS n_tokens, md5(array_to_string(win, ',')) AS ids_md5 FROM win"))
+def windows_bpe(spark, d):
+    """W1 (+B5/B6): BPE ids cut into wrapped windows of CONTEXT tokens."""
+    enc, _ = _encoded(spark, d)
+    w = W.windows(enc.select("seq_id", "input_ids"), CONTEXT)
+    return w.select("seq_id", "window_no", "start_token", F.size("input_ids").cast("bigint").alias("n_tokens"),
+                    F.md5(F.array_join("input_ids", ",")).alias("ids_md5"))
+
+
+@register("window_examples", _bpe_windows_sql(
+    "SELECT source AS label, count(*) AS n_windows, CAST(sum(len(win)) AS BIGINT) AS n_tokens FROM win GROUP BY 1"))
+def window_examples(spark, d):
+    """Windows as labelled examples (label = the folder), counted per label."""
+    enc, _ = _encoded(spark, d)
+    ex = W.window_examples(enc.select(F.col("seq_id").alias("row_id"), F.col("source").alias("label"), "input_ids"),
+                           CONTEXT)
+    return ex.groupBy("label").agg(F.count(F.lit(1)).alias("n_windows"),
+                                   F.sum(F.size("input_ids")).cast("bigint").alias("n_tokens"))
+
+
+@register("pad_batches", _bpe_windows_sql(f"""
+, r AS (SELECT *, row_number() OVER (ORDER BY seq_id, window_no) - 1 AS pos FROM win),
+b AS (SELECT *, pos // {BATCH} AS batch_no, max(len(win)) OVER (PARTITION BY pos // {BATCH}) AS m FROM r)
+SELECT seq_id, window_no, CAST(batch_no AS BIGINT) AS batch_no, CAST(pos - batch_no * {BATCH} AS INTEGER) AS row_in_batch,
+       CAST(m AS BIGINT) AS padded_len, CAST(len(win) AS BIGINT) AS n_real,
+       md5(array_to_string(win || list_transform(range(m - len(win)), lambda i: 0), ',')) AS padded_md5
+FROM b""".replace("\n,", ",", 1)))
+def pad_batches(spark, d):
+    """Windows in (seq_id, window_no) order, batches of BATCH, right-padded with [PAD]."""
+    enc, _ = _encoded(spark, d)
+    w = W.windows(enc.select("seq_id", "input_ids"), CONTEXT)
+    b = W.pad_batch(w, BATCH, ["seq_id", "window_no"])
+    return b.select("seq_id", "window_no", "batch_no", "row_in_batch",
+                    F.size("input_ids").cast("bigint").alias("padded_len"),
+                    F.aggregate("attention_mask", F.lit(0).cast("bigint"), lambda a, x: a + x).alias("n_real"),
+                    F.md5(F.array_join("input_ids", ",")).alias("padded_md5"))
+
+
+@register("windows_bases", f"""
+WITH {SEGS_CTE.split(",\nseg AS")[0]},
+ids AS (SELECT seq_id, list_transform(string_split(sequence, ''), lambda c: ascii(c)) AS ids FROM dna),
+w AS (SELECT seq_id, CASE WHEN len(ids) <= {BASE_CONTEXT} THEN [ids[1:{BASE_CONTEXT}]]
+                          ELSE list_transform(range(0, len(ids), {BASE_CONTEXT}), lambda i: ids[i + 1:i + {BASE_CONTEXT}]) END AS ws
+      FROM ids),
+x AS (SELECT seq_id, ws, unnest(range(len(ws))) AS k FROM w)
+SELECT seq_id, CAST(k AS INTEGER) AS window_no, CAST(k * {BASE_CONTEXT} AS INTEGER) AS start_token,
+       CAST(len(ws[k + 1]) AS BIGINT) AS n_tokens, md5(array_to_string(ws[k + 1], ',')) AS ids_md5
+FROM x
+""")
+def windows_bases(spark, d):
+    """B9 + W1 without specials: one token per base, windows of BASE_CONTEXT."""
+    s = views.sequences(spark, d).select("seq_id", bpe.encode_bases(F.col("sequence")).alias("input_ids"))
+    w = W.windows(s, BASE_CONTEXT, bos=None, eos=None)
+    return w.select("seq_id", "window_no", "start_token", F.size("input_ids").cast("bigint").alias("n_tokens"),
+                    F.md5(F.array_join("input_ids", ",")).alias("ids_md5"))
+
+
+@register("input_checks", f"""
+WITH {bpe_encode_sql_ctes()}
+SELECT count(*) AS n_rows,
+       CAST(sum(CASE WHEN list_contains(ids, 0) THEN 1 ELSE 0 END) AS BIGINT) AS n_pad_without_mask,
+       CAST(sum(CASE WHEN len(ids) = 0 OR ids[1] <> 1 THEN 1 ELSE 0 END) AS BIGINT) AS n_missing_bos,
+       CAST(sum(CASE WHEN len(ids) > 8192 THEN 1 ELSE 0 END) AS BIGINT) AS n_too_long
+FROM enc
+""")
+def input_checks(spark, d):
+    """Input rules over unwrapped, unpadded encodings used with a species."""
+    enc, _ = _encoded(spark, d)
+    c = W.check_inputs(enc, mask=None, uses_species=True)
+    return c.agg(F.count(F.lit(1)).alias("n_rows"),
+                 F.sum(F.col("pad_without_mask").cast("long")).alias("n_pad_without_mask"),
+                 F.sum(F.col("missing_bos").cast("long")).alias("n_missing_bos"),
+                 F.sum(F.col("too_long").cast("long")).alias("n_too_long"))
+
+
+def _token_rows(spark, d):
+    return views.token_vectors(spark, d)
+
+
+@register("next_token_loss", """
+WITH t AS (SELECT CAST(vec_id // 8 AS BIGINT) AS seq_id, CAST(vec_id % 8 AS INTEGER) AS pos, label, embedding FROM embeddings),
+p AS (SELECT seq_id, pos, embedding, lead(label) OVER (PARTITION BY seq_id ORDER BY pos) AS nxt FROM t),
+q AS (SELECT seq_id, pos, nxt,
+             list_max(embedding) AS m, embedding FROM p WHERE nxt IS NOT NULL AND pos >= 1 AND nxt <> -100),
+l AS (SELECT seq_id, ln(list_sum(list_transform(embedding, lambda x: exp(CAST(x AS DOUBLE) - m)))) + m
+                      - CAST(embedding[nxt + 1] AS DOUBLE) AS nll FROM q)
+SELECT seq_id, round(avg(nll), 6) AS loss, count(*) AS n_tokens FROM l GROUP BY seq_id
+""")
+def next_token_loss(spark, d):
+    """W8 + W9: next-token pairs (species token present: first prediction skipped) and the
+    masked cross-entropy of the per-position logits, per sequence."""
+    t = _token_rows(spark, d)
+    seqs = t.groupBy("seq_id").agg(F.array_sort(F.collect_list(F.struct("pos", "label"))).alias("a")) \
+        .select("seq_id", F.transform("a", lambda s: s["label"]).alias("input_ids"))
+    pairs = W.next_token_pairs(seqs, has_species=True, keep=["seq_id"])
+    j = pairs.join(t.select("seq_id", "pos", F.col("embedding").alias("logits")), ["seq_id", "pos"])
+    return W.masked_cross_entropy(j, ["seq_id"]).select("seq_id", F.round("loss", 6).alias("loss"), "n_tokens")
