@@ -113,10 +113,21 @@ def train_bpe(segs: DataFrame, vocab_size: int = 8192, min_frequency: int = 0,
     dst = "".join(tchar(index[c]) for c in alphabet)
     state = (segs.select(F.translate(F.col(col), src, dst).alias("s"), F.col(weight).cast("bigint").alias("n"))
              .where(F.length("s") >= 2))
-    state = state.persist(StorageLevel.MEMORY_AND_DISK)
+    # `base` is cached once; the merges of the current block are applied lazily on top of it as a
+    # replace chain, so no cache ever depends on another one. Every CHECKPOINT_EVERY merges the
+    # chain is written as a reliable checkpoint, which becomes the next base.
+    base = state.persist(StorageLevel.MEMORY_AND_DISK)
+    pending: list[tuple[str, str]] = []
     merges, skipped, rank = [], set(), 0
+
+    def current():
+        s = F.col("s")
+        for p, ch in pending:
+            s = F.replace(s, F.lit(p), F.lit(ch))
+        return base.select(s.alias("s"), "n")
+
     while len(index) < vocab_size:
-        counts = pair_counts(state, "s", "n")
+        counts = pair_counts(current(), "s", "n")
         if skipped:
             counts = counts.where(~F.col("pair").isin(list(skipped)))
         top = counts.orderBy(F.desc("n"), F.asc("pair")).limit(1).collect()
@@ -135,14 +146,12 @@ def train_bpe(segs: DataFrame, vocab_size: int = 8192, min_frequency: int = 0,
             index[token] = new_id
         merges.append((rank, left, right, new_id, token, int(n)))
         rank += 1
-        nxt = state.select(F.replace(F.col("s"), F.lit(pair), F.lit(tchar(new_id))).alias("s"), "n")
-        if rank % CHECKPOINT_EVERY == 0:
-            nxt = cut_lineage(nxt.where(F.length("s") >= 2))
-        else:
-            nxt = nxt.persist(StorageLevel.MEMORY_AND_DISK)
-        state.unpersist()
-        state = nxt
-    state.unpersist()
+        pending.append((pair, tchar(new_id)))
+        if len(pending) >= CHECKPOINT_EVERY:
+            nxt = cut_lineage(current().where(F.length("s") >= 2)).persist(StorageLevel.MEMORY_AND_DISK)
+            base.unpersist()
+            base, pending = nxt, []
+    base.unpersist()
     return BpeModel(tokens, merges)
 
 
