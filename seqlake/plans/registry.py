@@ -3,7 +3,8 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -33,3 +34,9 @@ def H(key: str, seed: int = 42) -> str:
 
 def HINT(key: str, seed: int = 42) -> str:
     return f"('0x' || substr({H(key, seed)}, 1, 8))::BIGINT"
+
+
+def r6(c) -> Column:
+    """Round to 6 decimals and fold -0.0 into 0.0 (same as ``round(x, 6) + 0.0`` in SQL)."""
+    c = F.col(c) if isinstance(c, str) else c
+    return F.round(c, 6) + F.lit(0.0)

@@ -1 +1,109 @@
-"""(filled below)"""
+"""Vector queries (V1, V3, V5-V9, V11, V12) over the embeddings table read as token vectors."""
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from seqlake.functions.vectors import has_nan, l2_normalise, norm
+from seqlake.operators import vectors as V
+from seqlake.plans.registry import r6, register
+from seqlake.sources import views
+
+LAYERS, WIDTH = 4, 16
+
+TOK_CTE = """t AS (SELECT vec_id // 8 AS seq_id, vec_id % 8 AS pos, vec_id, label, embedding,
+                  CASE WHEN vec_id % 8 < 8 - ((vec_id // 8) % 3) THEN 1 ELSE 0 END AS mask FROM embeddings),
+x AS (SELECT seq_id, pos, mask, i // 16 AS layer, i % 16 AS dim, CAST(embedding[i + 1] AS DOUBLE) AS v
+      FROM (SELECT *, unnest(range(64)) AS i FROM t))"""
+
+
+def _tokens(spark, d):
+    t = views.token_vectors(spark, d)
+    t = t.withColumn("mask", F.when(F.col("pos") < 8 - F.pmod(F.col("seq_id"), F.lit(3)), 1).otherwise(0))
+    layers = F.transform(F.sequence(F.lit(0), F.lit(LAYERS - 1)), lambda l: F.slice("embedding", l * WIDTH + 1, WIDTH))
+    return V.explode_layers(t.withColumn("layers", layers), ["seq_id", "pos", "mask"])
+
+
+@register("mean_pool", f"""WITH {TOK_CTE}
+SELECT seq_id, CAST(layer AS INTEGER) AS layer, CAST(dim AS INTEGER) AS dim, round(sum(v * mask) / sum(mask), 6) + 0.0 AS v
+FROM x GROUP BY seq_id, layer, dim""")
+def mean_pool(spark, d):
+    """V11 + V5: layers from the hidden vector, mean over unmasked positions."""
+    out = V.mean_pool(_tokens(spark, d), ["seq_id", "layer"], mask="mask")
+    return out.select("seq_id", "layer", F.col("dim").cast("int"), r6("v").alias("v"))
+
+
+@register("last_token_pool", f"""WITH {TOK_CTE},
+lastpos AS (SELECT seq_id, greatest(sum(mask) - 1, 0) AS lp FROM t GROUP BY seq_id)
+SELECT x.seq_id, CAST(layer AS INTEGER) AS layer, CAST(dim AS INTEGER) AS dim, round(v, 6) + 0.0 AS v
+FROM x JOIN lastpos l ON x.seq_id = l.seq_id AND x.pos = l.lp""")
+def last_token_pool(spark, d):
+    """V6: the vector of the last unmasked token."""
+    out = V.last_token_pool(_tokens(spark, d), ["seq_id", "layer"], vec="vec", mask="mask")
+    return out.select("seq_id", "layer", F.posexplode("vec").alias("dim", "v")) \
+        .select("seq_id", "layer", F.col("dim").cast("int"), r6(F.col("v").cast("double")).alias("v"))
+
+
+@register("pool_windows", f"""WITH {TOK_CTE},
+w AS (SELECT seq_id, layer, dim, sum(v * mask) / sum(mask) AS v FROM x GROUP BY seq_id, layer, dim)
+SELECT seq_id // 4 AS parent, CAST(layer AS INTEGER) AS layer, CAST(dim AS INTEGER) AS dim, round(avg(v), 6) + 0.0 AS v
+FROM w GROUP BY 1, 2, 3""")
+def pool_windows(spark, d):
+    """V5 + V7: token means per window (8 tokens), then unweighted means over 4 windows."""
+    w = V.mean_pool(_tokens(spark, d), ["seq_id", "layer"], mask="mask")
+    w = w.withColumn("parent", (F.col("seq_id") / 4).cast("bigint"))
+    out = V.pool_windows(w, ["parent", "layer"])
+    return out.select("parent", "layer", F.col("dim").cast("int"), r6("v").alias("v"))
+
+
+@register("pool_assembly", """
+WITH r AS (SELECT vec_id AS row_id, label, embedding,
+                  CASE WHEN vec_id % 11 = 0 THEN NULL ELSE CAST(vec_id // 5 AS VARCHAR) END AS assembly FROM embeddings),
+i AS (SELECT *, min(row_id) OVER (PARTITION BY coalesce(assembly, 'row ' || row_id), assembly IS NULL) AS first_row FROM r),
+f AS (SELECT first_row, count(*) AS n_rows, arg_min(label, row_id) AS label FROM i GROUP BY first_row),
+x AS (SELECT first_row, unnest(range(64)) AS dim, unnest(CAST(embedding AS DOUBLE[])) AS v FROM i)
+SELECT x.first_row, f.n_rows, f.label, CAST(x.dim AS INTEGER) AS dim, round(avg(x.v), 6) + 0.0 AS v
+FROM x JOIN f ON x.first_row = f.first_row GROUP BY x.first_row, f.n_rows, f.label, x.dim""")
+def pool_assembly(spark, d):
+    """V8: contigs averaged per assembly (assembly = vec_id div 5, none for every 11th row)."""
+    e = views.table(spark, d, "embeddings")
+    rows = e.select(F.col("vec_id").alias("row_id"), "label",
+                    F.when(F.pmod("vec_id", F.lit(11)) == 0, F.lit(None)).otherwise((F.col("vec_id") / 5).cast("bigint").cast("string"))
+                    .alias("assembly"), F.col("embedding").alias("vec"))
+    lf = V.long_form(rows, ["row_id"])
+    out = V.pool_assembly(rows, lf, carry=["label"])
+    return out.select("first_row", "n_rows", "label", F.col("dim").cast("int"), r6("v").alias("v"))
+
+
+@register("l2_normalise", """
+WITH e AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings),
+n AS (SELECT vec_id, v, sqrt(list_inner_product(v, v)) AS nrm FROM e),
+u AS (SELECT vec_id, nrm, list_transform(v, lambda x: CAST(CAST(x / greatest(nrm, 1e-12) AS FLOAT) AS DOUBLE)) AS uv FROM n)
+SELECT vec_id, round(nrm, 6) AS norm_in, abs(nrm - 1) <= 0.01 AS unit_ok,
+       round(sqrt(list_inner_product(uv, uv)), 6) AS norm_out, list_bool_or(list_transform(uv, lambda x: isnan(x))) AS has_nan
+FROM u""")
+def l2_normalise_q(spark, d):
+    """V1 + V3 + V9: unit vectors, the unit-norm check and the NaN guard."""
+    e = views.table(spark, d, "embeddings")
+    u = e.select("vec_id", norm("embedding").alias("nrm"), l2_normalise("embedding").alias("uv"))
+    V.nan_guard(u.select("vec_id", "uv"), "uv", "vec_id")
+    return u.select("vec_id", F.round("nrm", 6).alias("norm_in"), (F.abs(F.col("nrm") - 1) <= 0.01).alias("unit_ok"),
+                    F.round(norm("uv"), 6).alias("norm_out"), has_nan("uv").alias("has_nan"))
+
+
+@register("running_standardise", """
+WITH b AS (SELECT vec_id // 32 AS batch, unnest(range(64)) AS dim, unnest(CAST(embedding AS DOUBLE[])) AS x FROM embeddings),
+s AS (SELECT batch, dim, count(*) AS n, avg(x) AS m, greatest(stddev_samp(x), 0.001) AS sd FROM b GROUP BY batch, dim),
+k AS (SELECT batch, row_number() OVER (ORDER BY batch) AS k FROM (SELECT DISTINCT batch FROM s WHERE n >= 2)),
+kk AS (SELECT count(*) AS bigk FROM k),
+w AS (SELECT s.dim, s.m, s.sd,
+             CASE WHEN bigk <= 100 THEN 1.0 / bigk
+                  WHEN k.k <= 100 THEN (1.0 / 100) * pow(0.99, bigk - 100)
+                  ELSE 0.01 * pow(0.99, bigk - k.k) END AS wt
+      FROM s JOIN k ON s.batch = k.batch, kk)
+SELECT CAST(dim AS INTEGER) AS dim, round(sum(wt * m), 6) AS mu, round(sum(wt * sd), 6) AS sd FROM w GROUP BY dim""")
+def running_standardise(spark, d):
+    """EMA feature statistics over ordered batches of 32 rows (state after the last batch)."""
+    e = views.table(spark, d, "embeddings").select((F.col("vec_id") / 32).cast("bigint").alias("batch"),
+                                                     "vec_id", F.col("embedding").alias("vec"))
+    _, table = V.running_standardise(e, "batch", keys=["vec_id"])
+    return table.select(F.col("dim").cast("int"), F.round("mu", 6).alias("mu"), F.round("sd", 6).alias("sd"))
