@@ -101,7 +101,9 @@ def train_bpe(segs: DataFrame, vocab_size: int = 8192, min_frequency: int = 0,
     A merge whose token already exists reuses its id; a merge longer than ``max_token_length`` is
     skipped; training stops when the best count is below ``min_frequency`` (or 1).
     """
-    spark = segs.sparkSession
+    # the compact segment table is computed once and kept cached for the whole loop (released
+    # at the end, after the tables built on it, so no dependent cache is rebuilt)
+    segs = segs.select(F.col(col).alias(col), F.col(weight).alias(weight)).persist(StorageLevel.MEMORY_AND_DISK)
     chars = (segs.select(F.explode(F.regexp_extract_all(F.col(col), F.lit("(?s)."), 0)).alias("c"))
              .distinct().collect())
     alphabet = sorted(set(r.c for r in chars) | set(INITIAL_ALPHABET), key=ord)
@@ -152,6 +154,7 @@ def train_bpe(segs: DataFrame, vocab_size: int = 8192, min_frequency: int = 0,
             base.unpersist()
             base, pending = nxt, []
     base.unpersist()
+    segs.unpersist()
     return BpeModel(tokens, merges)
 
 
@@ -229,9 +232,13 @@ def truncate(ids, max_length: int, specials: bool = True) -> Column:
 
 
 def encode_bases(c, max_length: int | None = None) -> Column:
-    """One token per byte of the sequence (its UTF-8 value), no specials."""
-    ids = F.transform(F.regexp_extract_all(F.hex(F.encode(_col(c), "UTF-8")), F.lit(".."), 0),
-                      lambda h: F.conv(h, 16, 10).cast("int"))
+    """One token per byte of the sequence (its UTF-8 value), no specials. ASCII text (every
+    normalised DNA sequence) takes the direct code-point path; other text goes through its bytes."""
+    c = _col(c)
+    via_bytes = F.transform(F.regexp_extract_all(F.hex(F.encode(c, "UTF-8")), F.lit(".."), 0),
+                            lambda h: F.conv(h, 16, 10).cast("int"))
+    direct = F.transform(F.split(c, ""), lambda ch: F.ascii(ch))
+    ids = F.when(c == "", F.array().cast("array<int>")).when(c.rlike("[^\\x00-\\x7F]"), via_bytes).otherwise(direct)
     return F.slice(ids, 1, max_length) if max_length else ids
 
 

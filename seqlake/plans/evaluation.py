@@ -286,3 +286,45 @@ def result_record(spark, d):
     """The nested per-run record (no SQL oracle: nested output)."""
     p = _layer_preds(spark, d).withColumnRenamed("layer", "epoch")
     return M.result_record(M.epoch_scores(p), "bag-of-dims", "lang", 0, 0.0)
+
+
+def bag_of_tokens_model(vocab_size: int):
+    """A stand-in encoder for V10: the token histogram of each window (mean one-hot over the
+    unmasked positions). Real models are passed the same way."""
+    def make():
+        import numpy as np
+
+        def predict(ids, mask):
+            out = np.zeros((ids.shape[0], vocab_size), dtype=np.float64)
+            rows = np.repeat(np.arange(ids.shape[0]), ids.shape[1])
+            np.add.at(out, (rows, ids.ravel()), mask.ravel())
+            return out / np.maximum(mask.sum(1, keepdims=True), 1)
+        return predict
+    return make
+
+
+@register("embed_pool_probe")
+def embed_pool_probe(spark, d):
+    """V10 -> V7 -> P3/P6 -> Q1 -> Q2 -> M7: the layer-sweep job end to end with a bag-of-tokens
+    encoder: windows are embedded in batches of 24, averaged per sequence, split into seeded
+    stratified folds, standardised on each fold's train rows and probed by one MLP per
+    (seed, fold). No SQL oracle (numpy training)."""
+    from seqlake.plans.tokens import CONTEXT, VOCAB_SIZE, _encoded
+    from seqlake.operators import windows as W
+    enc, _ = _encoded(spark, d)
+    win = W.windows(enc.select("seq_id", "input_ids"), CONTEXT)
+    emb = V.embed_windows(win.select("seq_id", "window_no", "input_ids"), bag_of_tokens_model(VOCAB_SIZE),
+                          VOCAB_SIZE, batch_size=24, keys=["seq_id", "window_no"])
+    pooled = V.pool_windows(V.long_form(emb, ["seq_id", "window_no"]), ["seq_id"])
+    docs = _docs(spark, d).withColumnRenamed("row_id", "seq_id")
+    roles = P.fold_table(P.stratified_kfold(docs.withColumnRenamed("seq_id", "row_id"), K), K) \
+        .withColumnRenamed("row_id", "seq_id")
+    z = Q.standardise(roles.join(pooled, "seq_id"), ["seed", "fold"])
+    feats = V.to_arrays(z, ["seq_id", "seed", "fold", "role"], out="x").join(docs.select("seq_id", "y"), "seq_id")
+    preds = Q.fit_probes(feats.withColumnRenamed("seq_id", "row_id"), ["seed", "fold"], classification=True,
+                         n_out=None)
+    preds = preds.withColumn("y", F.col("y").cast("int")).withColumn("p", F.col("pred").cast("int"))
+    s = M.classification_scores(preds, ["seed", "fold", "role"])
+    loss = preds.groupBy("seed", "fold").agg(F.first("val_loss").alias("val_loss"))
+    fs = M.fold_scores(s, ["seed", "fold"], "role", ["accuracy", "macro_f1", "mcc"])
+    return fs.join(loss, ["seed", "fold"])
