@@ -3,7 +3,9 @@ size-checked broadcasts."""
 from __future__ import annotations
 
 import os
+import re
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -34,19 +36,34 @@ def local_session(cores: int | str | None = None, shuffle_partitions: int | None
 def checkpoint_dir(spark: SparkSession) -> str:
     """The shared checkpoint folder named by the cluster (``spark.checkpoint.dir``).
 
-    Only when the session has none (local tests) a private folder is created and set.
+    Only a plain local session (tests, one machine) that has none gets a private folder; on any
+    other master a missing folder is an error, since executors could not see the driver's disk.
     """
     sc = spark.sparkContext
-    current = sc.getCheckpointDir()
-    if current:
-        return current
-    conf = spark.conf.get("spark.checkpoint.dir", None)
-    if conf:
+    conf = sc.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
+    if not conf:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", sc.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
+        conf = tempfile.mkdtemp(prefix="seqlake-ckpt-")
+    if not sc.getCheckpointDir():
         sc.setCheckpointDir(conf)
-        return sc.getCheckpointDir() or conf
-    path = tempfile.mkdtemp(prefix="seqlake-ckpt-")
-    sc.setCheckpointDir(path)
-    return sc.getCheckpointDir() or path
+    return sc.getCheckpointDir() or conf
+
+
+def settle(df: DataFrame) -> DataFrame:
+    """Write ``df`` as a table in the shared checkpoint folder and read it back.
+
+    Cuts the lineage, survives lost executors, and gives the planner the table's true size in
+    bytes, so that joins against it are broadcast or shuffled by the session's own threshold.
+    The files go when the session ends.
+    """
+    spark = df.sparkSession
+    path = f"{checkpoint_dir(spark)}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    jvm = spark.sparkContext._jvm
+    hadoop_path = jvm.org.apache.hadoop.fs.Path(path)
+    hadoop_path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(hadoop_path)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def cut_lineage(df: DataFrame, eager: bool = True) -> DataFrame:
