@@ -3,10 +3,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from seqlake.llm import simhash_dedup
+from seqlake.llm import line_dedup, packing, simhash_dedup
 from seqlake.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -26,3 +27,47 @@ def register(name: str, sql: str | None = None):
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = simhash_dedup.near_duplicates(table(spark, sf_dir, "documents"), shingle_words=3, max_bits=2)
     return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+@register("op10_best_fit_packing")
+def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    cut = packing.pieces(docs, public_tokenizers.path("byte_bpe_50k.json"), capacity=2048, end_id=0)
+    return packing.pack(cut, capacity=2048)
+
+
+LINE_WORDS = 10   # shorter lines are never cut
+
+OP6_SQL = f"""
+WITH docs AS (
+  SELECT DISTINCT doc_id, coalesce(text, '') AS text FROM documents),
+lines AS (
+  SELECT doc_id, text, unnest(string_split(text, chr(10))) AS line,
+         unnest(range(len(string_split(text, chr(10))))) AS pos
+  FROM docs),
+words AS (
+  SELECT doc_id, text, pos, line,
+         trim(regexp_replace(translate(line, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                             '[\\x09-\\x0D ]+', ' ', 'g')) AS unit
+  FROM lines),
+ranked AS (
+  SELECT *, unit <> '' AND len(string_split(unit, ' ')) >= {LINE_WORDS} AND
+            row_number() OVER (PARTITION BY unit ORDER BY doc_id, pos) > 1 AS gone,
+         coalesce(sum(length(line) + 1) OVER (PARTITION BY doc_id ORDER BY pos
+                  ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start
+  FROM words)
+SELECT doc_id,
+       coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (NOT gone), '') AS text,
+       count(*) FILTER (gone) AS n_removed,
+       coalesce(string_agg(CAST(start AS BIGINT) || '-' || CAST(start + length(line) AS BIGINT), ',' ORDER BY pos)
+                FILTER (gone), '') AS removed
+FROM ranked GROUP BY doc_id"""
+
+
+@register("op6_line_dedup", OP6_SQL)
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    out = line_dedup.dedup_units(docs, min_words=LINE_WORDS)
+    spans = F.transform("removed_spans", lambda s: F.concat_ws("-", s["start"].cast("string"), s["end"].cast("string")))
+    return out.select("doc_id", "text", F.size("removed_spans").cast("bigint").alias("n_removed"),
+                      F.array_join(spans, ",").alias("removed"))
