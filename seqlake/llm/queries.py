@@ -7,8 +7,9 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from seqlake.llm import line_dedup, packing, simhash_dedup
+from seqlake.llm import line_dedup, mixing, packing, simhash_dedup
 from seqlake.llm.common import table
+from seqlake.session import settle
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -71,3 +72,11 @@ def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     spans = F.transform("removed_spans", lambda s: F.concat_ws("-", s["start"].cast("string"), s["end"].cast("string")))
     return out.select("doc_id", "text", F.size("removed_spans").cast("bigint").alias("n_removed"),
                       F.array_join(spans, ",").alias("removed"))
+
+
+@register("op9_source_mixing")
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
+    m = mixing.mix(settle(mixing.sizes(docs.withColumn("rid", F.monotonically_increasing_id()), "rid")))
+    return (mixing.taken_words(m).join(m.sources, "source_no")
+            .select("doc_id", "size", "source_size", "target", "taken"))
