@@ -31,7 +31,7 @@ from seqlake.session import settle
 
 WORD = re.compile("[^\x20\x09-\x0d]+")
 SLOTS_PER_SHARD = 1 << 15
-DOCS_PER_BUCKET = 4096
+DOCS_PER_BUCKET = 512
 
 
 @dataclass
@@ -199,7 +199,7 @@ def mix(sized: DataFrame, block_words: int = 32, weights: tuple = (3, 1, 2), sha
 
 def taken_words(m: Mix) -> DataFrame:
     """(rid, doc_id, source_no, size, taken): the words the mix takes of each document, repeats counted."""
-    takes = m.slots.groupBy("source_no", "block").agg(F.count("*").alias("times"))
+    takes = m.slots.groupBy("source_no", "block").agg(F.count("*").alias("times")).hint("merge")   # as long as the corpus
     return (m.pieces.join(takes, ["source_no", "block"], "left")
             .groupBy("rid", "doc_id", "source_no", "size")
             .agg(F.coalesce(F.sum((F.col("last") - F.col("first")) * F.col("times")), F.lit(0)).alias("taken")))
@@ -215,7 +215,7 @@ def mixed_documents(docs: DataFrame, block_words: int = 32, weights: tuple = (3,
     numbered = settle(docs.withColumn("__rid", F.monotonically_increasing_id()))
     m = mix(settle(sizes(numbered, "__rid")), block_words, weights, share, limit, seed)
     word = F.struct((F.col("first") - F.col("start")).alias("a"), (F.col("last") - F.col("start")).alias("b"))
-    parts = (m.pieces.join(m.slots.select("source_no", "block", "pass"), ["source_no", "block"])
+    parts = (m.pieces.join(m.slots.select("source_no", "block", "pass").hint("merge"), ["source_no", "block"])
              .groupBy(F.col("rid").alias("__part_rid"), F.col("pass").alias("__pass"), F.col("size").alias("__size"))
              .agg(F.array_sort(F.collect_list(word)).alias("__parts")))
 

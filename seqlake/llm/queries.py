@@ -7,7 +7,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from seqlake.llm import line_dedup, mixing, packing, simhash_dedup
+from seqlake.llm import line_dedup, mixing, packing, simhash_dedup, token_counts
 from seqlake.llm.common import table
 from seqlake.session import settle
 
@@ -80,3 +80,9 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     m = mixing.mix(settle(mixing.sizes(docs.withColumn("rid", F.monotonically_increasing_id()), "rid")))
     return (mixing.taken_words(m).join(m.sources, "source_no")
             .select("doc_id", "size", "source_size", "target", "taken"))
+
+
+@register("op4_token_counts")
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = token_counts.token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+    return out.withColumn("over_limit", F.col("n_tokens") > 4096)
