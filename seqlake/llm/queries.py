@@ -7,7 +7,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from seqlake.llm import line_dedup, mixing, packing, simhash_dedup, token_counts
+from seqlake.llm import line_dedup, mixing, packing, simhash_dedup, token_counts, url_filter
 from seqlake.llm.common import table
 from seqlake.session import settle
 
@@ -86,3 +86,27 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = token_counts.token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
     return out.withColumn("over_limit", F.col("n_tokens") > 4096)
+
+
+URL_RULES = [("block", "net/"), ("allow", "example.net/en/"), ("block", "example.com/de/"), ("allow", "org/fr/")]
+
+OP5_SQL = """
+WITH parts AS (
+  SELECT page_id, CASE WHEN strpos(url, '://') > 0 THEN substr(url, strpos(url, '://') + 3) END AS rest FROM pages),
+keyed AS (
+  SELECT row_number() OVER () AS rid, page_id,
+         coalesce(translate(regexp_extract(rest, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '') AS host,
+         coalesce(regexp_extract(rest, '^[^/?#]*([^?#]*)', 1), '') AS path
+  FROM parts),
+rules(verdict, rule, rhost, rpath) AS (VALUES """ + ", ".join(
+    f"('{v}', '{r}', '{url_filter.split_rule(r)[0]}', '{url_filter.split_rule(r)[1]}')" for v, r in URL_RULES) + """),
+fits AS (
+  SELECT rid, rule, verdict, row_number() OVER (PARTITION BY rid ORDER BY length(rule) DESC) AS n
+  FROM keyed JOIN rules ON (host = rhost OR ends_with(host, '.' || rhost)) AND starts_with(path, rpath))
+SELECT page_id, host, path, rule, coalesce(verdict, 'allow') AS verdict
+FROM keyed LEFT JOIN (SELECT * FROM fits WHERE n = 1) USING (rid)"""
+
+
+@register("op5_url_filter", OP5_SQL)
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter.judge(table(spark, sf_dir, "pages").select("page_id", "url"), URL_RULES)
