@@ -7,7 +7,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from seqlake.llm import line_dedup, mixing, packing, simhash_dedup, token_counts, url_filter
+from seqlake.llm import line_dedup, mixing, packing, quality, simhash_dedup, token_counts, url_filter
 from seqlake.llm.common import table
 from seqlake.session import settle
 
@@ -110,3 +110,9 @@ FROM keyed LEFT JOIN (SELECT * FROM fits WHERE n = 1) USING (rid)"""
 @register("op5_url_filter", OP5_SQL)
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge(table(spark, sf_dir, "pages").select("page_id", "url"), URL_RULES)
+
+
+@register("op1_quality_classifier")
+def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return out.drop("text_hash")
