@@ -1,8 +1,7 @@
 """Quality classifier: hierarchical empirical Bayes.
 
-Document evidence is the log likelihood ratio of a naive Bayes model over the text's shape (how
-its words, characters and lines are made up), each feature cut at quantiles of the labelled
-documents. It is combined with the posterior good rate of the document's path (source and
+Document evidence is the log odds of a logistic regression over the text's shape (how its words,
+characters and lines are made up; each feature is cut into bins), less the global log odds. It is combined with the posterior good rate of the document's path (source and
 language) and host (source): each host's good rate is shrunk towards the global rate, each path's
 towards its host's, the more so the fewer documents the site has. How strongly is estimated from
 the data: the prior weight of a level is the one whose beta distribution has the spread that the
@@ -10,8 +9,9 @@ sites' rates show beyond sampling noise (method of moments). Labelled documents
 as labelled, all others by their evidence under the global rate, so a site without labels has a
 posterior too.
 
-All fitting is grouped aggregation over all labels and documents; the driver gets only one row of
-quantiles, the (feature, bin, label) counts and the two prior weights.
+The document model is fitted by Spark's learner on at most ``max_labelled`` labelled rows; site
+posteriors are grouped aggregations over all labels and all documents. The driver gets one row of
+quantiles, the model and the two prior weights.
 
 Defined results: a null or empty text has all features zero; null hosts and paths are sites of
 their own; repeated labels of a doc_id are averaged (half or more: good), labels of unknown
@@ -24,15 +24,20 @@ import math
 
 import numpy as np
 import pandas as pd
+from pyspark.ml import Pipeline, PipelineModel
+from pyspark.ml.classification import LogisticRegression
+from pyspark.ml.feature import Bucketizer, OneHotEncoder, VectorAssembler
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from seqlake.llm.common import same, small_batches
 from seqlake.session import settle
 
-BINS = 24
-FEATURES = ["words", "word_length", "distinct_words", "top_word", "upper", "letters", "digits", "blanks",
-            "marks", "distinct_lines", "line_words", "mark_words"]
+CUTS = 16
+MAX_LABELLED = 50_000    # labelled rows that the document model is fitted on
+FEATURES = ["word_length", "same_again", "top_word", "upper", "letters", "digits", "blanks", "marks", "same_lines",
+            "bare_marks"]    # none of them depends on how long the text is
 _SENTENCE_MARKS = str.maketrans("", "", ".,;:'\"-?()")
 
 
@@ -54,9 +59,10 @@ def shape(text: str) -> list[float]:
     total = max(1, len(kinds))
     lines = [ln for ln in text.split("\n") if ln.strip()]
     bare = sum(c for w, c in counts.items() if not w[-1].isalnum() and w[-1] not in ".,;:'\"?)")
-    return [math.log1p(n), len(joined) / n, len(counts) / n, max(counts.values()) / n, upper / total,
-            (upper + lower) / total, digits / total, (chars - len(joined)) / chars,
-            (total - upper - lower - digits) / total, len(set(lines)) / len(lines), math.log1p(n / len(lines)), bare / n]
+    again = sum(map(str.__eq__, words, words[1:]))
+    return [len(joined) / n, again / n, (max(counts.values()) - 1) / n, upper / total, (upper + lower) / total,
+            digits / total, (chars - len(joined)) / chars, (total - upper - lower - digits) / total,
+            1 - len(set(lines)) / len(lines), bare / n]
 
 
 def features(docs: DataFrame) -> DataFrame:
@@ -66,39 +72,38 @@ def features(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", F.xxhash64("text").alias("text_hash"), "host", "path", x("text").alias("x"))
 
 
-def _bins(x: Column, cuts: list[list[float]]) -> Column:
-    @F.pandas_udf("array<int>")
-    def bins(xs: pd.Series) -> pd.Series:
-        if not len(xs):
-            return pd.Series([], dtype=object)
-        table = np.array(xs.tolist(), dtype=float).reshape(len(xs), -1)
-        return pd.Series(list(np.stack([np.searchsorted(c, table[:, i]) for i, c in enumerate(cuts)], axis=1).astype(np.int32)))
-    return bins(x)
-
-
-def _evidence(bins: Column, ratios: np.ndarray) -> Column:
-    @F.pandas_udf("double")
-    def evidence(b: pd.Series) -> pd.Series:
-        if not len(b):
-            return pd.Series([], dtype=float)
-        table = np.array(b.tolist(), dtype=np.int64).reshape(len(b), -1)
-        return pd.Series(ratios[np.arange(table.shape[1]), table].sum(axis=1))
-    return evidence(bins)
-
-
-def fit_evidence(labelled: DataFrame, n_bins: int = BINS) -> tuple[list[list[float]], np.ndarray]:
-    """(cuts per feature, log ratio per feature and bin) from ``labelled`` (x, good boolean), all of it."""
-    probs = [i / n_bins for i in range(1, n_bins)]
-    quantiles = labelled.agg(*[F.percentile_approx(F.col("x")[i], probs, 10_000) for i in range(len(FEATURES))]).first()
-    cuts = [sorted(set(q)) if q else [] for q in quantiles]
-    seen = (labelled.select("good", F.posexplode(_bins(F.col("x"), cuts)).alias("feature", "bin"))
-            .groupBy("feature", "bin", "good").agg(F.count("*").alias("n")).collect())
-    counts = np.zeros((2, len(FEATURES), n_bins + 1))
-    for r in seen:
-        counts[int(r["good"]), r["feature"], r["bin"]] = r["n"]
-    used = np.array([len(c) + 1 for c in cuts])[:, None]
-    ratios = np.log((counts + 0.5) / (counts.sum(axis=2, keepdims=True) + 0.5 * used))
-    return cuts, (ratios[1] - ratios[0]) * min(1.0, counts.sum())
+def fit_evidence(labelled: DataFrame, max_labelled: int, n_cuts: int = CUTS) -> PipelineModel | None:
+    """The document model over ``labelled`` (x, good): features cut at quantiles and at even steps, then a
+    logistic regression over the bins. Its training rows are the first ``max_labelled`` by hash of the text."""
+    sample = settle(labelled.orderBy("text_hash", "doc_id").limit(max_labelled)
+                    .select(F.col("good").cast("double").alias("label"), *_columns()))
+    n, kinds = sample.agg(F.count("*"), F.count_distinct("label")).first()
+    if kinds < 2:
+        return None
+    probs = [i / n_cuts for i in range(1, n_cuts)]
+    found = sample.agg(*[F.struct(F.percentile_approx(f, probs, 10_000).alias("cuts"), F.min(f).alias("low"),
+                                  F.max(f).alias("high")) for f in FEATURES]).first()
+    splits = [sorted({-math.inf, math.inf, *q["cuts"], *np.linspace(q["low"], q["high"], n_cuts + 1)[1:-1].tolist()})
+              for q in found]
+    binned, coded = ([f"{f}_{kind}" for f in FEATURES] for kind in ("bin", "code"))
+    return Pipeline(stages=[
+        Bucketizer(splitsArray=splits, inputCols=FEATURES, outputCols=binned),
+        OneHotEncoder(inputCols=binned, outputCols=coded, handleInvalid="keep"),
+        VectorAssembler(inputCols=coded, outputCol="features"),
+        LogisticRegression(maxIter=60, regParam=1e-4, standardization=False)]).fit(sample)
+
+
+def _columns() -> list[Column]:
+    return [F.col("x")[i].alias(f) for i, f in enumerate(FEATURES)]
+
+
+def with_evidence(rows: DataFrame, model: PipelineModel | None, odds: float) -> DataFrame:
+    """``rows`` (with x) with the model's log odds less the global ones; 0 without a model."""
+    if model is None:
+        return rows.withColumn("evidence", F.lit(0.0)).drop("x")
+    kept = [c for c in rows.columns if c != "x"]
+    scored = model.transform(rows.select(*kept, *_columns()))
+    return scored.select(*kept, (vector_to_array("rawPrediction")[1] - odds).alias("evidence"))
 
 
 def prior_weight(sites: DataFrame, towards: Column) -> float:
@@ -113,7 +118,8 @@ def prior_weight(sites: DataFrame, towards: Column) -> float:
     return float(min(1e6, max(1.0, row["single"] / between - 1))) if between > 0 else 1e6
 
 
-def classify(docs: DataFrame, labels: DataFrame, threshold: float = 0.5, id_col: str = "doc_id", text_col: str = "text",
+def classify(docs: DataFrame, labels: DataFrame, threshold: float = 0.5,
+             max_labelled: int = MAX_LABELLED, id_col: str = "doc_id", text_col: str = "text",
              host_col: str = "source", path_col: str = "lang") -> DataFrame:
     """(doc_id, text_hash, evidence, host_rate, path_rate, p_good, keep): one row per document row."""
     clean = docs.select(F.col(id_col).cast("bigint").alias("doc_id"),
@@ -123,12 +129,10 @@ def classify(docs: DataFrame, labels: DataFrame, threshold: float = 0.5, id_col:
     truth = (labels.where("doc_id is not null and quality is not null")
              .groupBy(F.col("doc_id").cast("bigint").alias("label_id")).agg((F.avg("quality") >= 0.5).alias("good")))
     marked = known.join(truth, F.col("doc_id") == F.col("label_id"), "left").drop("label_id")
-    cuts, ratios = fit_evidence(marked.where("good is not null"))
-    scored = settle(marked.withColumn("evidence", _evidence(_bins(F.col("x"), cuts), ratios)).drop("x"))
-
-    rate = scored.agg(F.avg(F.col("good").cast("double"))).first()[0]
+    rate = marked.agg(F.avg(F.col("good").cast("double"))).first()[0]
     rate = 0.5 if rate is None else min(max(rate, 1e-4), 1 - 1e-4)
     odds = math.log(rate / (1 - rate))
+    scored = settle(with_evidence(marked, fit_evidence(marked.where("good is not null"), max_labelled), odds))
     soft = F.coalesce(F.col("good").cast("double"), 1 / (1 + F.exp(-(F.col("evidence") + odds))))
     paths = scored.groupBy("host", "path").agg(F.sum(soft).alias("good"), F.count("*").alias("n"))
     hosts = paths.groupBy(F.col("host").alias("h")).agg(F.sum("good").alias("good"), F.sum("n").alias("n"))
