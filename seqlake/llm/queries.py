@@ -4,10 +4,11 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from seqlake.llm import line_dedup, mixing, packing, quality, simhash_dedup, token_counts, url_filter
+from seqlake.llm import (lattice_dedup, line_dedup, mixing, packing, quality, simhash_dedup, simhash_fingerprint, token_counts,
+                         url_filter)
 from seqlake.llm.common import table
 from seqlake.session import settle
 
@@ -27,7 +28,7 @@ def register(name: str, sql: str | None = None):
 @register("op7_simhash_near_dedup")
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = simhash_dedup.near_duplicates(table(spark, sf_dir, "documents"), shingle_words=3, max_bits=2)
-    return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    return out.select("doc_id", _hex("fp").alias("fingerprint"), "component_id")
 
 
 @register("op10_best_fit_packing")
@@ -116,3 +117,40 @@ def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
     return out.drop("text_hash")
+
+
+OP2_SQL = """
+WITH RECURSIVE v AS (
+  SELECT vec_id, label, list_transform(embedding, lambda x: x::DOUBLE) AS e FROM embeddings),
+usable AS (
+  SELECT * FROM v WHERE label IS NOT NULL AND len(e) > 0 AND list_sum(list_transform(e, lambda x: x * x)) > 0),
+links AS (
+  SELECT a.vec_id AS a, b.vec_id AS b FROM usable a JOIN usable b ON a.label = b.label AND a.vec_id <> b.vec_id
+  WHERE list_cosine_similarity(a.e, b.e) >= 0.98),
+reach(vec_id, other) AS (
+  SELECT vec_id, vec_id FROM v
+  UNION SELECT reach.vec_id, links.b FROM reach JOIN links ON links.a = reach.other)
+SELECT vec_id, (SELECT count(*) FROM links WHERE links.a = v.vec_id) AS n_links, component_id, vec_id = component_id AS kept
+FROM v JOIN (SELECT vec_id, min(other) AS component_id FROM reach GROUP BY vec_id) USING (vec_id)"""
+
+
+@register("op2_lattice_near_dedup", OP2_SQL)
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lattice_dedup.near_duplicates(table(spark, sf_dir, "embeddings"), cosine=0.98)
+
+
+def _hex(column: str) -> Column:
+    return F.lower(F.lpad(F.hex(column), 16, "0"))
+
+
+@register("op3_simhash_fingerprints")
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    prints = settle(simhash_fingerprint.fingerprints(table(spark, sf_dir, "documents")))
+    asked = F.col("doc_id") % 20 == 0
+    near = simhash_fingerprint.near_counts(prints.where(asked), prints, radius=3)
+    found = prints.where(asked).join(near, "fp").select("*", (F.col("n_near") - 1).alias("n_within_3_bits")).drop("n_near")
+    rest = prints.where(~F.coalesce(asked, F.lit(False))).withColumn("n_within_3_bits", F.lit(None).cast("bigint"))
+    return found.unionByName(rest).select(
+        "doc_id", "n_chars", "edited_sha256", _hex("fp").alias("fingerprint"), _hex("edited_fp").alias("edited_fingerprint"),
+        simhash_fingerprint.likeness("fp", "edited_fp").alias("near_edited"),
+        simhash_fingerprint.likeness("fp", "next_fp").alias("near_next"), "n_within_3_bits")
