@@ -38,6 +38,7 @@ CELL_ROWS = 1024        # vectors of a cell that are verified against each other
 ROWS_PER_BUCKET = 16384  # entries that go to one verifying group, on average
 SCALE = 0.2             # of the lattice, for unit vectors
 SEED = 8
+PAIRS_AT_ONCE = 1 << 15
 
 
 @lru_cache(maxsize=1)
@@ -134,29 +135,45 @@ def _unit(m: np.ndarray) -> np.ndarray:
     return m / np.sqrt((m * m).sum(axis=1, keepdims=True))
 
 
-def verify(cosine: float):
-    """Grouped function: the pairs of a bucket that meet in a cell and have the cosine."""
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("cell_id", kind="stable")
-        node, chunk, lone = (pdf[c].to_numpy() for c in ("node", "chunk", "one_chunk"))
-        ids = pdf["cell_id"].to_numpy()
+def _meeting(unit_a: np.ndarray, unit_b: np.ndarray, scale: float) -> np.ndarray:
+    """(table, doubled cell) where a linked pair counts: the table in which its projections are closest, and there
+    the cell of the point halfway, which both are entered in."""
+    turn = rotation(unit_a.shape[1])
+    a, b = ((u @ turn).reshape(len(u), -1, 8) / scale for u in (unit_a, unit_b))
+    table = ((a - b) ** 2).sum(axis=2).argmin(axis=1)
+    at = np.arange(len(a))
+    return np.c_[table, 2 * decode_e8((a[at, table] + b[at, table]) / 2)].astype(np.int16)
+
+
+def verify(cosine: float, scale: float):
+    """Grouped function: the pairs of a bucket that have the cosine, each in the one cell where it counts."""
+    def pairs(unit: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         edge = np.r_[0, np.flatnonzero(ids[1:] != ids[:-1]) + 1, len(ids)]
-        found = set()
-        vectors = pdf["v"].to_numpy()
+        found = [np.zeros((2, 0), dtype=np.int64)]
         for a, b in zip(edge[:-1], edge[1:]):
-            if b - a < 2 or len({len(v) for v in vectors[a:b]}) > 1:
-                continue
-            m = np.stack([np.asarray(v, dtype=float) for v in vectors[a:b]])
-            unit = _unit(m)
-            i, j = np.nonzero(np.triu(unit @ unit.T >= cosine - 1e-9, 1))
-            for x, y in zip(i, j):
-                p, q = node[a + x], node[a + y]
-                if p == q or (not lone[a] and chunk[a + x] == chunk[a + y]):
-                    continue
-                dot = float(m[x] @ m[y]) / math.sqrt(float(m[x] @ m[x]) * float(m[y] @ m[y]))
-                if dot >= cosine:
-                    found.add((min(p, q), max(p, q)))
-        return pd.DataFrame(sorted(found), columns=["a", "b"], dtype="int64")
+            if b - a > 1:
+                found.append(a + np.stack(np.nonzero(np.triu(unit[a:b] @ unit[a:b].T >= cosine - 1e-9, 1))))
+        return tuple(np.concatenate(found, axis=1))
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        out = []
+        for _, same_length in pdf.groupby(pdf["v"].map(len)):
+            rows = same_length.sort_values("cell_id", kind="stable")
+            m = np.array(rows["v"].tolist(), dtype=float)
+            unit, cell = _unit(m), np.frombuffer(b"".join(rows["cell"]), dtype=np.int16).reshape(-1, 9)
+            node, label, chunk, lone = (rows[c].to_numpy() for c in ("node", "label", "chunk", "one_chunk"))
+            i, j = pairs(unit, rows["cell_id"].to_numpy())
+            keep = (node[i] != node[j]) & (label[i] == label[j]) & (lone[i] | (chunk[i] != chunk[j]))
+            i, j = i[keep], j[keep]
+            norm = np.sqrt((m * m).sum(axis=1))
+            for at in range(0, len(i), PAIRS_AT_ONCE):
+                x, y = i[at:at + PAIRS_AT_ONCE], j[at:at + PAIRS_AT_ONCE]
+                near = (m[x] * m[y]).sum(axis=1) / (norm[x] * norm[y]) >= cosine
+                x, y = x[near], y[near]
+                here = (_meeting(unit[x], unit[y], scale) == cell[x]).all(axis=1)
+                p, q = node[x[here]], node[y[here]]
+                out.append(pd.DataFrame({"a": np.minimum(p, q), "b": np.maximum(p, q)}))
+        return pd.concat(out) if out else pd.DataFrame({"a": [], "b": []}, dtype="int64")
     return run
 
 
@@ -164,18 +181,17 @@ def near_links(nodes: DataFrame, cosine: float, scale: float) -> DataFrame:
     """Distinct (a, b): the nodes of a label at the cosine or above."""
     placed = settle(entries(nodes, cosine, scale))
     cell = ["label", "dim", "cell"]
-    rows = placed.count()
-    crowded = settle(placed.groupBy(*cell).agg(F.count("*").alias("n")).where(F.col("n") > CELL_ROWS)
-                     .withColumn("chunks", F.ceil(F.col("n") / (CELL_ROWS // 2)).cast("int")).drop("n"))
-    chunks = F.coalesce("chunks", F.lit(1))
-    dealt = (placed.join(crowded, cell, "left").withColumn("chunk", F.pmod(F.xxhash64("node"), chunks).cast("int"))
-             .withColumn("other", F.explode(F.sequence(F.lit(0), chunks - 1)))
+    shared = settle(placed.groupBy(*cell).agg(F.count("*").alias("n")).where("n > 1")
+                    .select(*cell, F.when(F.col("n") > CELL_ROWS, F.ceil(F.col("n") / (CELL_ROWS // 2))).otherwise(1)
+                            .cast("int").alias("chunks")))
+    dealt = (placed.join(shared, cell).withColumn("chunk", F.pmod(F.xxhash64("node"), "chunks").cast("int"))
+             .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
              .withColumn("cell_id", F.xxhash64(*cell, F.least("chunk", "other"), F.greatest("chunk", "other")))
-             .select("node", "chunk", (F.col("chunk") == F.col("other")).alias("one_chunk"), "cell_id"))
-    buckets = 1 + rows // ROWS_PER_BUCKET
+             .select("node", "label", "cell", "chunk", (F.col("chunk") == F.col("other")).alias("one_chunk"), "cell_id"))
+    buckets = 1 + placed.count() // ROWS_PER_BUCKET
     return (dealt.join(nodes.select("node", "v"), "node")
             .groupBy(F.pmod("cell_id", F.lit(buckets)).alias("bucket"))
-            .applyInPandas(verify(cosine), "a bigint, b bigint").distinct())
+            .applyInPandas(verify(cosine, scale), "a bigint, b bigint"))
 
 
 def near_duplicates(vectors: DataFrame, cosine: float = 0.98, scale: float = SCALE, id_col: str = "vec_id",
@@ -183,7 +199,7 @@ def near_duplicates(vectors: DataFrame, cosine: float = 0.98, scale: float = SCA
     """(vec_id, n_links, component_id, kept): one row per row of ``vectors``."""
     v = F.col(vector_col).cast("array<double>")
     rows = vectors.select(F.col(id_col).cast("bigint").alias("vec_id"), F.col(label_col).cast("bigint").alias("label"),
-                          F.transform(v, lambda x: x + F.lit(0.0)).alias("v"))
+                          F.transform(v, lambda x: x + F.lit(0.0)).alias("v"))    # no negative zeros
     able = F.col("label").isNotNull() & usable(F.col("v"))
     keyed = rows.withColumn("h1", F.when(able, F.xxhash64("label", "v"))).withColumn(
         "h2", F.when(able, F.xxhash64(F.lit(SEED), "v", "label")))
