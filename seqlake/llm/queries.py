@@ -7,8 +7,8 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from seqlake.llm import (lattice_dedup, line_dedup, mixing, packing, quality, simhash_dedup, simhash_fingerprint, token_counts,
-                         url_filter)
+from seqlake.llm import (context_tree, lattice_dedup, line_dedup, mixing, packing, quality, simhash_dedup, simhash_fingerprint,
+                         token_counts, url_filter)
 from seqlake.llm.common import table
 from seqlake.session import settle
 
@@ -154,3 +154,8 @@ def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", "n_chars", "edited_sha256", _hex("fp").alias("fingerprint"), _hex("edited_fp").alias("edited_fingerprint"),
         simhash_fingerprint.likeness("fp", "edited_fp").alias("near_edited"),
         simhash_fingerprint.likeness("fp", "next_fp").alias("near_next"), "n_within_3_bits")
+
+
+@register("op8_context_tree_scoring")
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return context_tree.score(table(spark, sf_dir, "documents"))
