@@ -34,7 +34,8 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register("op10_best_fit_packing")
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    cut = packing.pieces(docs, public_tokenizers.path("byte_bpe_50k.json"), capacity=2048, end_id=0)
+    cut = packing.pieces(docs, public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("byte_bpe_50k.tiktoken"),
+                         public_tokenizers.PATTERN, capacity=2048, end_id=0)
     return packing.pack(cut, capacity=2048)
 
 
