@@ -15,6 +15,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -23,7 +24,7 @@ from pyspark.sql import DataFrame
 from seqlake.llm.common import small_batches, texts
 
 MARK = "▁"                     # stands for a blank
-CACHED_UNITS = 400_000         # remembered pre-tokens per Python worker; beyond, the memory starts afresh
+CACHED_UNITS = 250_000         # remembered pre-tokens per Python worker; beyond, the memory starts afresh
 NO_PAIR = np.int64(1) << 40    # rank of a pair that does not merge
 _UNIT = re.compile(f"{MARK}+[^{MARK}]*")
 
@@ -153,12 +154,18 @@ class TokenCounter:
         return np.array([sum(map(known.__getitem__, us)) for us in cut], dtype=np.int64)
 
 
+@lru_cache(maxsize=1)
+def counter_of(model_file: str) -> TokenCounter:
+    """The worker's counter, kept for its later tasks."""
+    return TokenCounter(model_file)
+
+
 def token_counts(docs: DataFrame, model_file: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n_bytes, n_tokens): one row per document row."""
     small_batches(docs.sparkSession)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        counter = TokenCounter(model_file)
+        counter = counter_of(model_file)
         for pdf in batches:
             text = pdf.pop("text").tolist()
             pdf["n_bytes"] = [len(t.encode("utf-8", "replace")) for t in text]
