@@ -37,7 +37,7 @@ from pyspark.sql import functions as F
 from seqlake.llm.common import small_batches, texts
 from seqlake.session import settle
 
-DEPTH = 4
+DEPTH = 6                  # context bytes; a key has one more, at most seven in all
 SHARD_ROWS = 100_000       # distinct (context, byte) rows of a tree shard, on average
 MAX_MODEL_ROWS = 6_000_000  # 16 bytes each
 FREQUENT = 400_000
