@@ -37,10 +37,10 @@ from pyspark.sql import functions as F
 from seqlake.llm.common import small_batches, texts
 from seqlake.session import settle
 
-DEPTH = 6                  # context bytes; a key has one more, at most seven in all
+DEPTH = 5                  # context bytes; a key has one more, at most seven in all
 SHARD_ROWS = 100_000       # distinct (context, byte) rows of a tree shard, on average
-MAX_MODEL_ROWS = 6_000_000  # 16 bytes each
-FREQUENT = 400_000
+MAX_MODEL_ROWS = 4_000_000  # in a table of at most 100 MB
+FREQUENT = 150_000
 FLUSH_BYTES = 8 << 20      # a batch counts this much text before it passes its counts on
 KEPT_WORDS = 300_000       # remembered words per Python worker; beyond, the memory starts afresh
 END = b"\n"                # cannot be in a word
@@ -211,9 +211,10 @@ def model_table(counts: DataFrame, depth: int) -> DataFrame:
     def score(pdf: pd.DataFrame) -> pd.DataFrame:
         keys = pdf["key"].to_numpy()
         levels = build(keys, pdf["n"].to_numpy(), depth, 2)
-        return pd.DataFrame({"key": keys, "logp": log10_probability(keys, [*levels, *held.value], depth)})
+        logp = log10_probability(keys, [*levels, *held.value], depth)
+        return pd.DataFrame({"key": keys, "logp": logp.astype(np.float32)})
 
-    return counts.groupBy(shard).applyInPandas(score, "key bigint, logp double")
+    return counts.groupBy(shard).applyInPandas(score, "key bigint, logp float")
 
 
 def _upper_level(nodes: np.ndarray, zeros: pd.Series, ones: pd.Series, below: pd.Series) -> Level:
@@ -230,7 +231,7 @@ class Slots:
     def __init__(self, keys: np.ndarray, values: np.ndarray):
         self.bits = max(4, (2 * len(keys)).bit_length())
         self.keys = np.full(1 << self.bits, -1, dtype=np.int64)
-        self.values = np.zeros(1 << self.bits)
+        self.values = np.zeros(1 << self.bits, dtype=np.float32)
         left, at = np.arange(len(keys)), self._home(keys)
         while len(left):
             free = self.keys[at] == -1
@@ -245,7 +246,7 @@ class Slots:
     def look_up(self, keys: np.ndarray) -> np.ndarray:
         """The values of keys, all of which are in the table."""
         at = self._home(keys)
-        out = self.values[at]
+        out = self.values[at].astype(float)
         wrong = np.flatnonzero(self.keys[at] != keys)
         at = at[wrong]
         while len(wrong):
@@ -275,7 +276,10 @@ def score(docs: DataFrame, depth: int = DEPTH, max_model_rows: int = MAX_MODEL_R
     small = model.count() <= max_model_rows
     if small:
         rows = model.toPandas()
-        held = spark.sparkContext.broadcast((common, Slots(rows["key"].to_numpy(), rows["logp"].to_numpy())))
+        slots = Slots(rows["key"].to_numpy(), rows["logp"].to_numpy())
+        del rows
+        held = spark.sparkContext.broadcast((common, slots))
+        del slots
     else:
         held = spark.sparkContext.broadcast((common, None))
 
