@@ -39,6 +39,7 @@ ROWS_PER_BUCKET = 16384  # entries that go to one verifying group, on average
 SCALE = 0.2             # of the lattice, for unit vectors
 SEED = 8
 PAIRS_AT_ONCE = 1 << 15
+MOST_REACH = 0.43       # of a ball, in units of the scale: see neighbours()
 
 
 @lru_cache(maxsize=1)
@@ -89,13 +90,18 @@ def rotation(dim: int) -> np.ndarray:
     return q[:dim]
 
 
+def lattice_scale(dim: int, cosine: float, least: float) -> float:
+    """The lattice's scale: ``least``, or as much more as keeps a ball's reach inside the next cells (few tables)."""
+    tables = -(-dim // 8)
+    return max(least, math.sqrt(2 - 2 * cosine) / math.sqrt(tables) / 2 / MOST_REACH)
+
+
 def cells(unit: np.ndarray, cosine: float, scale: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(row, table, cell as eight doubled coordinates) of all entries of the unit vectors ``unit``."""
+    scale = lattice_scale(unit.shape[1], cosine, scale)
     z = (unit @ rotation(unit.shape[1])).reshape(-1, 8) / scale
     tables = len(z) // len(unit)
     reach = (math.sqrt(2 - 2 * cosine) / math.sqrt(tables) / 2) * (1 + 1e-9) / scale + 1e-9
-    if reach > 0.44:
-        raise ValueError("the lattice is too fine for this cosine")
     home = decode_e8(z)
     vectors, squares = neighbours()
     # the plane halfway to a neighbouring lattice point is no farther than the ball reaches
@@ -135,10 +141,10 @@ def _unit(m: np.ndarray) -> np.ndarray:
     return m / np.sqrt((m * m).sum(axis=1, keepdims=True))
 
 
-def _meeting(unit_a: np.ndarray, unit_b: np.ndarray, scale: float) -> np.ndarray:
+def _meeting(unit_a: np.ndarray, unit_b: np.ndarray, cosine: float, scale: float) -> np.ndarray:
     """(table, doubled cell) where a linked pair counts: the table in which its projections are closest, and there
     the cell of the point halfway, which both are entered in."""
-    turn = rotation(unit_a.shape[1])
+    turn, scale = rotation(unit_a.shape[1]), lattice_scale(unit_a.shape[1], cosine, scale)
     a, b = ((u @ turn).reshape(len(u), -1, 8) / scale for u in (unit_a, unit_b))
     table = ((a - b) ** 2).sum(axis=2).argmin(axis=1)
     at = np.arange(len(a))
@@ -170,7 +176,7 @@ def verify(cosine: float, scale: float):
                 x, y = i[at:at + PAIRS_AT_ONCE], j[at:at + PAIRS_AT_ONCE]
                 near = (m[x] * m[y]).sum(axis=1) / (norm[x] * norm[y]) >= cosine
                 x, y = x[near], y[near]
-                here = (_meeting(unit[x], unit[y], scale) == cell[x]).all(axis=1)
+                here = (_meeting(unit[x], unit[y], cosine, scale) == cell[x]).all(axis=1)
                 p, q = node[x[here]], node[y[here]]
                 out.append(pd.DataFrame({"a": np.minimum(p, q), "b": np.maximum(p, q)}))
         return pd.concat(out) if out else pd.DataFrame({"a": [], "b": []}, dtype="int64")
