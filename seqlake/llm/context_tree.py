@@ -201,7 +201,7 @@ def model_table(counts: DataFrame, depth: int) -> DataFrame:
     upper = (counts.groupBy(shard).applyInPandas(summarise, "context bigint, number bigint, zeros bigint, ones bigint, below double")
              .groupBy("context", "number").agg(F.sum("zeros").alias("zeros"), F.sum("ones").alias("ones"),
                                                F.sum("below").alias("below"))
-             .orderBy("context", "number").toPandas())    # at most 256 x 255 rows
+             .orderBy("context", "number").toArrow().to_pandas())    # at most 256 x 255 rows
     context, number = (upper[c].to_numpy(dtype=np.int64) for c in ("context", "number"))
     one = _upper_level(context << 8 | number, upper["zeros"], upper["ones"], upper["below"])
     by_number = upper.assign(below=one.log_weighted).groupby("number")[["zeros", "ones", "below"]].sum()
@@ -270,12 +270,12 @@ def score(docs: DataFrame, depth: int = DEPTH, max_model_rows: int = MAX_MODEL_R
     total, kinds = words.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
     total, kinds = total + ends, kinds + (ends > 0)
     denominator = total + 0.5 * (kinds + 1)
-    common = words.where(F.col("n") * frequent > total).toPandas()    # fewer than `frequent` rows
+    common = words.where(F.col("n") * frequent > total).toArrow().to_pandas()    # fewer than `frequent` rows
     common = {(k, m): n for k, m, n in zip(common["key"], common["more"], common["n"])}
     model = settle(model_table(grams_, depth))
     small = model.count() <= max_model_rows
     if small:
-        rows = model.toPandas()
+        rows = model.toArrow().to_pandas()    # Arrow: no Python object per row
         slots = Slots(rows["key"].to_numpy(), rows["logp"].to_numpy())
         del rows
         held = spark.sparkContext.broadcast((common, slots))

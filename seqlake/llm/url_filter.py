@@ -114,7 +114,7 @@ def _level(spark: SparkSession, keys: DataFrame, n: int, salt: int, bits_per_key
             yield pd.DataFrame({"word": word, "value": values.view(np.int64)})
 
     rows = keys.mapInPandas(run, "word bigint, value bigint").groupBy("word").agg(F.bit_or("value").alias("value"))
-    got = rows.toPandas()    # at most bits / 64 rows
+    got = rows.toArrow().to_pandas()    # at most bits / 64 rows
     words = np.zeros(bits // 64, dtype=np.int64)
     words[got["word"].to_numpy(dtype=np.int64)] = got["value"].to_numpy(dtype=np.int64)
     return Level(salt, bits, hashes, words.view(np.uint64))
