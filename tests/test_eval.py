@@ -48,3 +48,20 @@ def test_regression_scores_ties_and_constant(spark):
     c = spark.createDataFrame([(0, 0, 1.0, 2.0), (0, 1, 1.0, 3.0)], "g int, row_id long, y double, p double")
     rc = M.regression_scores(c, ["g"]).first()
     assert rc.r2 == 0.0 and rc.spearman != rc.spearman  # NaN when constant
+
+
+def test_layer_selection_leaves_nan_out(spark):
+    from seqlake.operators import metrics
+    nan = float("nan")
+    fs = spark.createDataFrame([(1, 0.5, 0.6), (1, nan, 0.8), (2, nan, nan), (2, nan, nan), (3, 0.4, 0.65)],
+                               "layer int, test_spearman double, val_spearman double")
+    means = {r["layer"]: (r["test_mean"], r["val_mean"]) for r in metrics.layer_means(fs, "spearman").collect()}
+    assert means[2] == (None, None) and abs(means[1][1] - 0.7) < 1e-9 and means[1][0] == 0.5
+    best = metrics.select_layer(metrics.layer_means(fs, "spearman")).first()
+    assert best["selected_layer"] == 1 and abs(best["mean_over_layers"] - 0.45) < 1e-9
+
+
+def test_primary_metric_of_the_named_tasks():
+    from seqlake.operators import metrics
+    assert [metrics.primary_metric(task=t) for t in ("virus/covid", "virus/species_40", "fungi/species_20", "covid")] == [
+        "macro_f1", "macro_f1", "macro_f1", "mcc"]
