@@ -40,7 +40,7 @@ from seqlake.session import settle
 DEPTH = 5                  # context bytes; a key has one more, at most seven in all
 SHARD_ROWS = 100_000       # distinct (context, byte) rows of a tree shard, on average
 MAX_MODEL_ROWS = 4_000_000  # in a table of at most 100 MB
-FREQUENT = 150_000
+FREQUENT = 2_000_000       # 20 bytes each
 FLUSH_BYTES = 8 << 20      # a batch counts this much text before it passes its counts on
 KEPT_WORDS = 300_000       # remembered words per Python worker; beyond, the memory starts afresh
 END = b"\n"                # cannot be in a word
@@ -160,27 +160,27 @@ def count_tokens(docs: DataFrame, depth: int) -> DataFrame:
     """Training counts of every (context, byte) of the corpus and of every training word; ``docs`` (doc_id, text, held_out)."""
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         def flush():
-            keys, lengths = grams(streams, depth)
-            unique, place = np.unique(keys, return_inverse=True)
-            n = np.bincount(place, weights=np.repeat(train, lengths), minlength=len(unique)).astype(np.int64)
-            yield pd.DataFrame({"kind": np.int32(0), "key": unique, "more": np.int32(0), "n": n})
+            learnt, n = np.unique(grams(train, depth)[0], return_counts=True)
+            unseen = np.setdiff1d(grams(held_out, depth)[0], learnt)    # need a probability, count for nothing
+            yield pd.DataFrame({"kind": np.int32(0), "key": np.r_[learnt, unseen], "more": np.int32(0),
+                                "n": np.r_[n, np.zeros(len(unseen), dtype=np.int64)]})
             hashed = np.array([word_key(w) for w in seen], dtype=np.int64).reshape(-1, 2)
             yield pd.DataFrame({"kind": np.int32(1), "key": hashed[:, 0], "more": hashed[:, 1].astype(np.int32),
                                 "n": np.array(list(seen.values()), dtype=np.int64)})
 
-        streams, train, seen, held = [], [], Counter(), 0
+        train, held_out, seen, size = [], [], Counter(), 0
         for pdf in batches:
-            for text, held_out in zip(pdf["text"], pdf["held_out"]):
+            for text, left_out in zip(pdf["text"], pdf["held_out"]):
                 words = words_of(text)
-                streams.append(b" ".join(words) + END)
-                train.append(not held_out)
-                if not held_out:
+                stream = b" ".join(words) + END
+                (held_out if left_out else train).append(stream)
+                if not left_out:
                     seen.update(words)
-                held += len(streams[-1])
-                if held >= FLUSH_BYTES:
+                size += len(stream)
+                if size >= FLUSH_BYTES:
                     yield from flush()
-                    streams, train, seen, held = [], [], Counter(), 0
-        if streams:
+                    train, held_out, seen, size = [], [], Counter(), 0
+        if train or held_out:
             yield from flush()
 
     return (docs.select("text", "held_out").mapInPandas(run, COUNT_SCHEMA)
@@ -270,8 +270,8 @@ def score(docs: DataFrame, depth: int = DEPTH, max_model_rows: int = MAX_MODEL_R
     total, kinds = words.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
     total, kinds = total + ends, kinds + (ends > 0)
     denominator = total + 0.5 * (kinds + 1)
-    common = words.where(F.col("n") * frequent > total).toArrow().to_pandas()    # fewer than `frequent` rows
-    common = {(k, m): n for k, m, n in zip(common["key"], common["more"], common["n"])}
+    common = words.where(F.col("n") * frequent > total).toArrow().to_pandas().sort_values("key")    # fewer than `frequent` rows
+    common = tuple(common[c].to_numpy() for c in ("key", "more", "n"))
     model = settle(model_table(grams_, depth))
     small = model.count() <= max_model_rows
     if small:
@@ -284,13 +284,17 @@ def score(docs: DataFrame, depth: int = DEPTH, max_model_rows: int = MAX_MODEL_R
         held = spark.sparkContext.broadcast((common, None))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        common_, table = held.value
+        (common_keys, common_mores, common_n), table = held.value
         met: dict[bytes, tuple[int, float, int, int]] = {}    # word -> (known, log10 share, key, more); known -1: rare
 
         def meet(word: bytes):
             key, more = word_key(word)
-            n = common_.get((key, more))
-            met[word] = (-1, 0.0, key, more) if n is None else (1, math.log10((n + 0.5) / denominator), key, more)
+            met[word] = -1, 0.0, key, more
+            at = int(np.searchsorted(common_keys, key))
+            while at < len(common_keys) and common_keys[at] == key:
+                if common_mores[at] == more:
+                    met[word] = 1, math.log10((common_n[at] + 0.5) / denominator), key, more
+                at += 1
             return met[word]
 
         end = math.log10((ends + 0.5) / denominator)
@@ -302,11 +306,11 @@ def score(docs: DataFrame, depth: int = DEPTH, max_model_rows: int = MAX_MODEL_R
                 words_ = words_of(text)
                 streams.append(b" ".join(words_) + END)
                 got = [met.get(w) or meet(w) for w in words_]
-                rare = [g for g in got if g[0] < 0]
-                out.append((len(words_) + 1, len(words_) - len(rare) + (ends > 0), end + sum(g[1] for g in got),
-                            [g[2] for g in rare], [g[3] for g in rare]))
-            pdf[["n_tokens", "n_known", "base_score", "keys", "mores"]] = pd.DataFrame(
-                out, columns=["n_tokens", "n_known", "base_score", "keys", "mores"], index=pdf.index)
+                rare = Counter(g[2:] for g in got if g[0] < 0)
+                out.append((len(words_) + 1, len(words_) - rare.total() + (ends > 0), end + sum(g[1] for g in got),
+                            [key for key, _ in rare], [more for _, more in rare], list(rare.values())))
+            columns = ["n_tokens", "n_known", "base_score", "keys", "mores", "times"]
+            pdf[columns] = pd.DataFrame(out, columns=columns, index=pdf.index)
             pdf["score"] = 0.0
             if table is not None:
                 pdf["text"] = None
@@ -314,11 +318,11 @@ def score(docs: DataFrame, depth: int = DEPTH, max_model_rows: int = MAX_MODEL_R
             yield pdf
 
     scored = settle(marked.mapInPandas(run, "doc_id bigint, held_out boolean, n_tokens bigint, n_known bigint, "
-                                            "base_score double, keys array<bigint>, mores array<int>, score double, text string")
+                                            "base_score double, keys array<bigint>, mores array<int>, times array<int>, "
+                                            "score double, text string")
                     .withColumn("rid", F.monotonically_increasing_id()))
-    rare = (scored.select("rid", F.inline(F.arrays_zip("keys", "mores")).alias("key", "more"))
-            .groupBy("rid", "key", "more").agg(F.count("*").alias("times"))
-            .join(words.hint("merge"), ["key", "more"], "left")
+    rare = (scored.select("rid", F.inline(F.arrays_zip("keys", "mores", "times")).alias("key", "more", "times"))
+            .join(words.where(F.col("n") * frequent <= total).hint("merge"), ["key", "more"], "left")
             .groupBy("rid").agg(
                 F.sum(F.col("times") * F.log10((F.coalesce("n", F.lit(0)) + 0.5) / F.lit(denominator))).alias("rare_score"),
                 F.sum(F.when(F.col("n") > 0, F.col("times")).otherwise(0)).alias("rare_known")))
