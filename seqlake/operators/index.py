@@ -1,72 +1,39 @@
 """Dense global row positions without an unpartitioned window.
 
-Rows are cut into key-range buckets whose bounds are drawn once from a sample and then fixed as
-literals, so the bucket of a row is a pure function of its key: however often Spark re-evaluates
-a branch (retries, lost executors, the two branches below) every row lands in the same bucket.
-Inside a bucket ``row_number()`` gives the local rank (a window partitioned by bucket); per-bucket
-counts (one small row per bucket) give each bucket its offset through a broadcast join.
-The order key must be unique (add the row key as the last tie-breaker).
+The input is written once (so it is run once, however costly or nested it is), dealt out by key
+range, sorted within each range and written again with the number of its range and its place there.
+Only the row counts of the ranges, at most ``MAX_RANGES`` numbers, pass through the driver; they give
+each range its offset. The result is read from the written table, so positions stay as they are
+when a reader's executors are lost. The order key must be unique (add the row key as the last
+tie-breaker). Nulls come first.
 """
 from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-ROWS_PER_BUCKET = 200_000   # target bucket size
-SAMPLES_PER_BUCKET = 64     # sample rows drawn per bucket to place the bounds
-
-
-def _lt(keys: list[Column], bound: tuple) -> Column:
-    """Lexicographic ``keys < bound`` (nulls first, like ascending sort)."""
-    out = None
-    for i in range(len(keys) - 1, -1, -1):
-        k, b = keys[i], bound[i]
-        if b is None:
-            less, equal = F.lit(False), k.isNull()
-        else:
-            less, equal = k.isNull() | (k < F.lit(b)), k.isNotNull() & (k == F.lit(b))
-        out = less if out is None else (less | (equal & out))
-    return out
-
-
-def _bucket_expr(keys: list[Column], bounds: list[tuple], lo: int, hi: int) -> Column:
-    """Binary search over the sorted bounds: bucket ``i`` holds keys in ``[bounds[i-1], bounds[i])``."""
-    if lo == hi:
-        return F.lit(lo)
-    mid = (lo + hi) // 2
-    return F.when(_lt(keys, bounds[mid]), _bucket_expr(keys, bounds, lo, mid)).otherwise(
-        _bucket_expr(keys, bounds, mid + 1, hi))
-
-
-def _plain(order) -> list[str]:
-    names = []
-    for c in order:
-        if not isinstance(c, str):
-            raise TypeError("row_index takes column names (ascending order)")
-        names.append(c)
-    return names
-
-
-def row_index(df: DataFrame, order: list, name: str = "pos", rows_per_bucket: int = ROWS_PER_BUCKET) -> DataFrame:
-    keys = _plain(order)
-    n = df.count()
-    buckets = max(1, math.ceil(n / rows_per_bucket))
-    if buckets == 1:
-        bucket = F.lit(0)
-    else:
-        target = buckets * SAMPLES_PER_BUCKET
-        sample = df.select(*keys).sample(False, min(1.0, 2.0 * target / n), seed=17).collect()
-        pts = sorted((tuple(r) for r in sample), key=lambda t: tuple((v is not None, v) for v in t))
-        bounds = [pts[(i * len(pts)) // buckets] for i in range(1, buckets)] if pts else []
-        bounds = sorted(set(bounds), key=lambda t: tuple((v is not None, v) for v in t))
-        bucket = _bucket_expr([F.col(k) for k in keys], bounds, 0, len(bounds)) if bounds else F.lit(0)
-    tagged = df.withColumn("_bucket", bucket.cast("int"))
-    local = F.row_number().over(Window.partitionBy("_bucket").orderBy(*keys)) - 1
-    before = Window.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = (tagged.groupBy("_bucket").count()
-               .select("_bucket", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("_off")))
-    return (tagged.withColumn("_local", local).join(F.broadcast(offsets), "_bucket")
-            .withColumn(name, (F.col("_off") + F.col("_local")).cast("bigint"))
-            .drop("_bucket", "_local", "_off"))
+from seqlake.session import settle
+
+ROWS_PER_RANGE = 200_000   # target size of a range
+MAX_RANGES = 10_000        # beyond, ranges grow instead
+PLACE_BITS = 33            # monotonically_increasing_id: partition above, place within it below
+
+
+def row_index(df: DataFrame, order: list[str], name: str = "pos", rows_per_range: int = ROWS_PER_RANGE) -> DataFrame:
+    if not all(isinstance(c, str) for c in order):
+        raise TypeError("row_index takes column names (ascending order)")
+    rows = settle(df)
+    ranges = min(MAX_RANGES, max(1, math.ceil(rows.count() / rows_per_range)))
+    place = F.monotonically_increasing_id()
+    dealt = settle(rows.repartitionByRange(ranges, *order).sortWithinPartitions(*order).select(
+        "*", F.shiftright(place, PLACE_BITS).cast("int").alias("_range"),
+        place.bitwiseAND(F.lit((1 << PLACE_BITS) - 1)).alias("_place")))
+    offset, offsets = 0, []
+    for r in dealt.groupBy("_range").count().orderBy("_range").collect():    # at most MAX_RANGES rows
+        offsets.append((r["_range"], offset))
+        offset += r["count"]
+    table = df.sparkSession.createDataFrame(offsets, "_range int, _offset bigint")
+    return (dealt.join(F.broadcast(table), "_range")
+            .withColumn(name, F.col("_offset") + F.col("_place")).drop("_range", "_offset", "_place"))

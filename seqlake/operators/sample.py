@@ -6,10 +6,6 @@ from pyspark.sql import functions as F
 
 from seqlake.functions.hashing import hash_int, seeded_hash
 from seqlake.operators.index import row_index
-from seqlake.session import broadcast_if_bounded
-
-# Largest id list broadcast to the shard scan (the reference's list is one id per species).
-MAX_BROADCAST_IDS = 2_000_000
 
 
 def sample_per_group(df: DataFrame, group: str, id_col: str, n: int = 1, seed: int = 42) -> DataFrame:
@@ -33,11 +29,9 @@ def select_sequences(ids: DataFrame, shards: DataFrame) -> DataFrame:
     Per id the first shard (smallest ``file``) holding it wins and all its rows in that shard stay;
     ids absent from every shard drop out (see :func:`missing_ids`).
     """
-    wanted = broadcast_if_bounded(ids.select("source", "seq_id").distinct(), MAX_BROADCAST_IDS)
+    wanted = ids.select("source", "seq_id").distinct()
     hits = shards.join(wanted, ["source", "seq_id"], "left_semi")
     first = hits.groupBy("source", "seq_id").agg(F.min("file").alias("file"))
-    # at most one row per listed id: bounded by the id list checked above
-    first = broadcast_if_bounded(first, MAX_BROADCAST_IDS)
     return hits.join(first, ["source", "seq_id", "file"], "left_semi")
 
 

@@ -1,5 +1,4 @@
-"""Session helpers: a local session for tests and benchmarks, the shared checkpoint folder and
-size-checked broadcasts."""
+"""Session helpers: a local session for tests and benchmarks, and the shared checkpoint folder."""
 from __future__ import annotations
 
 import os
@@ -8,7 +7,6 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 
 def local_session(cores: int | str | None = None, shuffle_partitions: int | None = None,
@@ -70,13 +68,3 @@ def cut_lineage(df: DataFrame, eager: bool = True) -> DataFrame:
     """Reliable checkpoint into the shared checkpoint folder (survives executor loss)."""
     checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=eager)
-
-
-def broadcast_if_bounded(df: DataFrame, max_rows: int) -> DataFrame:
-    """Broadcast-hint ``df`` only after checking it has at most ``max_rows`` rows.
-
-    Beyond the bound the frame is returned as is, so the join falls back to a shuffle join
-    (and AQE may still switch to a broadcast once it has measured the real size).
-    """
-    n = df.limit(max_rows + 1).count()
-    return F.broadcast(df) if n <= max_rows else df

@@ -9,7 +9,7 @@ from pyspark.sql import types as T
 
 from seqlake.functions.dna import mask_unknown, normalise_dna
 from seqlake.operators.bpe import BpeModel, encode_bpe
-from seqlake.operators.species import resolve_names
+from seqlake.operators.species import match_names
 
 SHARD_SCHEMA = T.StructType([T.StructField("seq_id", T.StringType()), T.StructField("sequence", T.StringType())])
 
@@ -22,14 +22,13 @@ def read_shard_stream(spark: SparkSession, folder: str, max_files_per_trigger: i
 
 def normalise_stream(stream: DataFrame, model: BpeModel | None = None, vocab: DataFrame | None = None,
                      species_col: str | None = None) -> DataFrame:
-    """D1 + D5 on every row; B4 token ids when a model is given; species ids (R5, a stream-static
-    join against the bounded vocabulary) when a vocabulary and a name column are given."""
+    """D1 + D5 on every row; B4 token ids when a model is given; species ids (R5, stream-static
+    joins of computed keys with the vocabulary's indexes) when a vocabulary and a name column are given."""
     out = stream.withColumn("sequence", mask_unknown(normalise_dna(F.col("sequence"))))
     if model is not None:
         out = encode_bpe(out, model)
     if vocab is not None and species_col:
-        r = resolve_names(vocab.select(F.col("name").alias(species_col)), vocab, species_col)
-        out = out.join(F.broadcast(r.select(F.col("name").alias(species_col), "species_id", "match")), species_col, "left")
+        out = match_names(out, vocab, species_col)
     return out
 
 

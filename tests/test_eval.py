@@ -7,7 +7,7 @@ from seqlake.operators.index import row_index
 
 def test_row_index_dense(spark):
     df = spark.range(0, 3000).select((F.col("id") % 7).alias("a"), F.col("id").alias("b"))
-    got = row_index(df, ["a", "b"], "pos", rows_per_bucket=300).orderBy("pos").collect()
+    got = row_index(df, ["a", "b"], "pos", rows_per_range=300).orderBy("pos").collect()
     assert [r.pos for r in got] == list(range(3000))
     assert [(r.a, r.b) for r in got] == sorted((r.a, r.b) for r in got)
 
