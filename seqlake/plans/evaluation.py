@@ -154,17 +154,17 @@ def early_stopping(spark, d):
 
 
 @register("window_average", """
-WITH w AS (SELECT vec_id // 3 AS seq_id, CAST(embedding[1:10] AS DOUBLE[]) AS z FROM embeddings),
+WITH w AS (SELECT vec_id // 3 AS seq_id, CAST(embedding AS DOUBLE[]) AS z FROM embeddings),
 p AS (SELECT seq_id, list_transform(z, lambda x: exp(x - list_max(z))) AS e FROM w),
 q AS (SELECT seq_id, list_transform(e, lambda x: x / list_sum(e)) AS pr FROM p),
-x AS (SELECT seq_id, unnest(range(10)) AS k, unnest(pr) AS prob FROM q),
+x AS (SELECT seq_id, unnest(range(len(pr))) AS k, unnest(pr) AS prob FROM q),
 a AS (SELECT seq_id, k, avg(prob) AS prob FROM x GROUP BY ALL),
 m AS (SELECT seq_id, arg_max(k, prob) AS pred, max(prob) AS pmax FROM (SELECT seq_id, k, prob FROM a) GROUP BY seq_id)
 SELECT seq_id, CAST(pred AS INTEGER) AS pred, round(pmax, 6) + 0.0 AS pmax FROM m""")
 def window_average(spark, d):
     """Q4-Q6: window logits -> softmax -> probabilities averaged per sequence -> argmax."""
     e = views.table(spark, d, "embeddings").select((F.col("vec_id") / 3).cast("bigint").alias("seq_id"),
-                                                   F.slice("embedding", 1, 10).alias("logits"))
+                                                   F.col("embedding").alias("logits"))
     out = Q.average_windows(e)
     return out.select("seq_id", "pred", r6(F.array_max("probs")).alias("pmax"))
 
@@ -191,13 +191,13 @@ scores AS (SELECT {k}, correct / n AS accuracy, macro_f1,
 
 
 PRED_SRC = """pr AS (SELECT CAST(vec_id % 3 AS INTEGER) AS fold, label AS y,
-                   CAST(list_position(embedding[1:10], list_max(embedding[1:10])) - 1 AS INTEGER) AS p FROM embeddings)"""
+                   CAST(list_position(embedding, list_max(embedding)) - 1 AS INTEGER) AS p FROM embeddings)"""
 
 
 @register("classification_metrics", f"""WITH {_cls_sql(PRED_SRC, ['fold'])}
 SELECT fold, round(accuracy, 6) + 0.0 AS accuracy, round(macro_f1, 6) + 0.0 AS macro_f1, round(mcc, 6) + 0.0 AS mcc FROM scores""")
 def classification_metrics(spark, d):
-    """M1-M3 per fold: label vs argmax of the first ten dimensions."""
+    """M1-M3 per fold: label vs argmax of the vector."""
     s = M.classification_scores(views.predictions(spark, d), ["fold"])
     return s.select("fold", *[r6(c).alias(c) for c in ("accuracy", "macro_f1", "mcc")])
 
@@ -223,14 +223,14 @@ def regression_metrics(spark, d):
 
 LAYER_SRC = """pr AS (SELECT CAST(l AS INTEGER) AS layer, CAST(vec_id % 3 AS INTEGER) AS seed, CAST((vec_id // 3) % 10 + 1 AS INTEGER) AS fold,
                     CASE WHEN (vec_id // 30) % 2 = 0 THEN 'test' ELSE 'val' END AS split, label AS y,
-                    CAST(list_position(embedding[l * 16 + 1:l * 16 + 10], list_max(embedding[l * 16 + 1:l * 16 + 10])) - 1 AS INTEGER) AS p
+                    CAST(list_position(embedding[l * 16 + 1:l * 16 + 16], list_max(embedding[l * 16 + 1:l * 16 + 16])) - 1 AS INTEGER) AS p
              FROM embeddings, (SELECT unnest(range(4)) AS l) ll)"""
 
 
 def _layer_preds(spark, d):
     e = views.table(spark, d, "embeddings")
     return e.select(F.posexplode(F.transform(F.sequence(F.lit(0), F.lit(3)),
-                                             lambda l: argmax(F.slice("embedding", l * 16 + 1, 10)))).alias("layer", "p"),
+                                             lambda l: argmax(F.slice("embedding", l * 16 + 1, 16)))).alias("layer", "p"),
                     F.pmod("vec_id", F.lit(3)).cast("int").alias("seed"),
                     (F.pmod((F.col("vec_id") / 3).cast("bigint"), F.lit(10)) + 1).cast("int").alias("fold"),
                     F.when(F.pmod((F.col("vec_id") / 30).cast("bigint"), F.lit(2)) == 0, "test").otherwise("val").alias("split"),

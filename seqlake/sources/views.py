@@ -106,11 +106,11 @@ def token_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(y, p) classification pairs: label vs argmax of the first ten dimensions, with a fold key."""
+    """(y, p) classification pairs: label vs argmax of the vector, with a fold key."""
     e = table(spark, sf_dir, "embeddings")
     return e.select("vec_id", F.pmod("vec_id", F.lit(3)).cast("int").alias("fold"),
                     F.col("label").cast("int").alias("y"),
-                    argmax(F.slice("embedding", 1, 10)).alias("p"))
+                    argmax(F.col("embedding")).alias("p"))
 
 
 def regression_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
