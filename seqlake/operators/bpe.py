@@ -4,8 +4,8 @@ State representation: every token id is one BMP character ``chr(0x4E00 + id)``,
 tokens is a plain string; a merge is the built-in ``replace`` and pair counting is a
 ``transform(sequence(...), substring)`` explode, both inside whole-stage codegen.
 
-Training (B3) runs one Spark job per merge over the compact distinct-segment table (B1); merges
-are picked as "highest weighted count, ties to the smallest (left id, right id)".
+Training (B3) runs one Spark job per round of merges over the compact distinct-segment table (B1);
+merges are picked as "highest weighted count, ties to the smallest (left id, right id)".
 """
 from __future__ import annotations
 
@@ -28,9 +28,10 @@ UNK = "N"
 
 # Token id i is written as the character CHAR_BASE + i inside the merge state.
 CHAR_BASE = 0x4E00
-MAX_TOKENS = 0xFFFF - CHAR_BASE  # ids that fit into the BMP from CHAR_BASE on
+MAX_TOKENS = 0xD800 - CHAR_BASE  # ids before the surrogates, which are no characters
 MAX_INLINE_MERGES = 200           # replace-chain length kept inside one projection
-CHECKPOINT_EVERY = 50             # training rounds between lineage cuts
+CHECKPOINT_EVERY = 50             # merges between lineage cuts
+TOP_PAIRS = 64                    # best pairs a training job returns to the driver
 
 
 def tchar(i: int) -> str:
@@ -100,6 +101,13 @@ def train_bpe(segs: DataFrame, vocab_size: int = 8192, min_frequency: int = 0,
     A, T, C, G, N), then one token per merge until ``vocab_size`` is reached or no pair is left.
     A merge whose token already exists reuses its id; a merge longer than ``max_token_length`` is
     skipped; training stops when the best count is below ``min_frequency`` (or 1).
+
+    One job counts all pairs; the best ones are merged together as long as that cannot differ from
+    merging one at a time. A merge of (a, b) changes only pairs with a, b or the new token, and a
+    pair with the new token is at most as frequent as one with a or b that is ranked below. So the
+    next pair is safe if it shares no symbol with the merges before it in this job and the pair
+    ranked after it is strictly rarer. A pair of two equal symbols, or one whose token has an id
+    already, can raise counts otherwise and ends the round.
     """
     # the compact segment table is computed once and kept cached for the whole loop (released
     # at the end, after the tables built on it, so no dependent cache is rebuilt)
@@ -128,27 +136,39 @@ def train_bpe(segs: DataFrame, vocab_size: int = 8192, min_frequency: int = 0,
             s = F.replace(s, F.lit(p), F.lit(ch))
         return base.select(s.alias("s"), "n")
 
-    while len(index) < vocab_size:
+    done = False
+    while len(index) < vocab_size and not done:
         counts = pair_counts(current(), "s", "n")
         if skipped:
             counts = counts.where(~F.col("pair").isin(list(skipped)))
-        top = counts.orderBy(F.desc("n"), F.asc("pair")).limit(1).collect()
-        if not top or top[0].n < 1 or top[0].n < min_frequency:
-            break
-        pair, n = top[0].pair, top[0].n
-        left, right = ord(pair[0]) - CHAR_BASE, ord(pair[1]) - CHAR_BASE
-        token = tokens[left] + tokens[right]
-        if max_token_length is not None and len(token) > max_token_length:
-            skipped.add(pair)
-            continue
-        new_id = index.get(token)
-        if new_id is None:
-            new_id = len(tokens)
-            tokens.append(token)
-            index[token] = new_id
-        merges.append((rank, left, right, new_id, token, int(n)))
-        rank += 1
-        pending.append((pair, tchar(new_id)))
+        top = counts.orderBy(F.desc("n"), F.asc("pair")).limit(TOP_PAIRS).collect()
+        done = not top
+        touched: set[str] = set()                        # symbols of the merges of this job
+        for i, (pair, n) in enumerate((r.pair, r.n) for r in top):
+            if touched:
+                below = top[i + 1].n if i + 1 < len(top) else n if len(top) == TOP_PAIRS else 0
+                if touched & set(pair) or below >= n:
+                    break
+            if n < 1 or n < min_frequency:
+                done = True
+                break
+            left, right = ord(pair[0]) - CHAR_BASE, ord(pair[1]) - CHAR_BASE
+            token = tokens[left] + tokens[right]
+            if max_token_length is not None and len(token) > max_token_length:
+                skipped.add(pair)
+                continue
+            new_id = index.get(token)
+            fresh = new_id is None
+            if fresh:
+                new_id = len(tokens)
+                tokens.append(token)
+                index[token] = new_id
+            merges.append((rank, left, right, new_id, token, int(n)))
+            rank += 1
+            pending.append((pair, tchar(new_id)))
+            touched |= set(pair)
+            if not fresh or left == right or len(index) >= vocab_size:
+                break
         if len(pending) >= CHECKPOINT_EVERY:
             nxt = cut_lineage(current().where(F.length("s") >= 2)).persist(StorageLevel.MEMORY_AND_DISK)
             base.unpersist()

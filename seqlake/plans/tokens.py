@@ -1,6 +1,8 @@
 """Tokenisation queries: BPE training / encoding / decoding (B*), windows and batches (W*)."""
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
@@ -8,7 +10,8 @@ from seqlake.operators import bpe
 from seqlake.operators import windows as W
 from seqlake.plans.corpus import SEGS_CTE
 from seqlake.plans.registry import register
-from seqlake.sources import views
+from seqlake.session import checkpoint_dir
+from seqlake.sources import io, views
 
 # Query parameters: a small vocabulary keeps the SQL oracle (one CTE chain per merge) readable.
 VOCAB_SIZE = 24
@@ -18,8 +21,18 @@ BATCH = 24
 _ALPHA = "ACGNT"  # sorted alphabet of the DNA view (A C G T plus the initial N)
 
 
+_TRAINED: dict[tuple[str, str], str] = {}    # (application, input) -> folder of its vocabulary
+
+
 def _model(spark, d) -> bpe.BpeModel:
-    return bpe.train_bpe(bpe.segment_counts(views.sequences(spark, d)), vocab_size=VOCAB_SIZE)
+    """The vocabulary of the input: trained by the first query that needs it, written, and read by the others."""
+    key = spark.sparkContext.applicationId, d
+    if key not in _TRAINED:
+        model = bpe.train_bpe(bpe.segment_counts(views.sequences(spark, d)), vocab_size=VOCAB_SIZE)
+        path = f"{checkpoint_dir(spark)}/vocabulary-{uuid.uuid4().hex}"
+        io.write_vocab(model.vocab_df(spark), model.merges_df(spark), path)
+        _TRAINED[key] = path
+    return bpe.BpeModel.from_frames(*io.read_vocab(spark, _TRAINED[key]))
 
 
 def _encoded(spark, d, model=None):
