@@ -14,7 +14,7 @@ from seqlake.session import checkpoint_dir
 from seqlake.sources import io, views
 
 # Query parameters: a small vocabulary keeps the SQL oracle (one CTE chain per merge) readable.
-VOCAB_SIZE = 24
+VOCAB_SIZE = 64
 CONTEXT = 512
 BASE_CONTEXT = 4096
 BATCH = 24
