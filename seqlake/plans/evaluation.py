@@ -308,8 +308,8 @@ def bag_of_tokens_model(vocab_size: int):
 def embed_pool_probe(spark, d):
     """V10 -> V7 -> P3/P6 -> Q1 -> Q2 -> M7: the layer-sweep job end to end with a bag-of-tokens
     encoder: windows are embedded in batches of 24, averaged per sequence, split into seeded
-    stratified folds, standardised on each fold's train rows and probed by one MLP per
-    (seed, fold). No SQL oracle (numpy training)."""
+    stratified folds, standardised on each fold's train rows and probed by a logistic regression per
+    (seed, fold). No SQL oracle (iterative fit)."""
     from seqlake.plans.tokens import CONTEXT, VOCAB_SIZE, _encoded
     from seqlake.operators import windows as W
     enc, _ = _encoded(spark, d)
@@ -322,8 +322,7 @@ def embed_pool_probe(spark, d):
         .withColumnRenamed("row_id", "seq_id")
     z = Q.standardise(roles.join(pooled, "seq_id"), ["seed", "fold"])
     feats = V.to_arrays(z, ["seq_id", "seed", "fold", "role"], out="x").join(docs.select("seq_id", "y"), "seq_id")
-    preds = Q.fit_probes(feats.withColumnRenamed("seq_id", "row_id"), ["seed", "fold"], classification=True,
-                         n_out=None)
+    preds = Q.fit_probes(feats.withColumnRenamed("seq_id", "row_id"), ["seed", "fold"], classification=True)
     preds = preds.withColumn("y", F.col("y").cast("int")).withColumn("p", F.col("pred").cast("int"))
     s = M.classification_scores(preds, ["seed", "fold", "role"])
     loss = preds.groupBy("seed", "fold").agg(F.first("val_loss").alias("val_loss"))

@@ -6,10 +6,10 @@ import uuid
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from seqlake.operators import bpe
+from seqlake.operators import bpe, sample
 from seqlake.operators import windows as W
-from seqlake.plans.corpus import SEGS_CTE
-from seqlake.plans.registry import register
+from seqlake.plans.corpus import SEGS_CTE, SHARDS_CTE
+from seqlake.plans.registry import H, HINT, register
 from seqlake.session import checkpoint_dir
 from seqlake.sources import io, views
 
@@ -47,11 +47,11 @@ def _chars(ids):
     return "".join(chr(bpe.CHAR_BASE + i) for i in ids)
 
 
-def bpe_sql_ctes(vocab_size: int = VOCAB_SIZE, extra_rounds: int = 3) -> str:
+def bpe_sql_ctes(vocab_size: int = VOCAB_SIZE, extra_rounds: int = 3, segs: str = SEGS_CTE) -> str:
     base = bpe.CHAR_BASE
     alpha_ids = {c: 3 + i for i, c in enumerate(_ALPHA)}
     v0 = ", ".join(f"({i}, '{t}')" for i, t in enumerate(bpe.SPECIALS + list(_ALPHA)))
-    ctes = [SEGS_CTE,
+    ctes = [segs,
             f"s0 AS MATERIALIZED (SELECT translate(segment, '{_ALPHA}', '{_chars(alpha_ids[c] for c in _ALPHA)}') AS s, n FROM seg)",
             f"v0 AS MATERIALIZED (SELECT * FROM (VALUES {v0}) t(id, tok))"]
     rounds = vocab_size - 8 + extra_rounds
@@ -113,6 +113,35 @@ def bpe_train(spark, d):
     return _model(spark, d).merges_df(spark)
 
 
+# The sequences of a new tokenizer: up to PER_SPECIES ids of every species, from the first shard that has
+# them, each cropped to at most CROP characters.
+PER_SPECIES, CROP = 50, 1000
+CORPUS_SEGS_CTE = SHARDS_CTE + f""",
+ids AS (SELECT source, seq_id FROM (
+          SELECT source, seq_id, row_number() OVER (PARTITION BY species ORDER BY {H('seq_id')}, seq_id) AS rn FROM dna)
+        WHERE rn <= {PER_SPECIES}),
+hits AS (SELECT s.* FROM shards s JOIN ids USING (source, seq_id)),
+chosen AS (SELECT h.* FROM hits h JOIN (SELECT source, seq_id, min(file) AS file FROM hits GROUP BY ALL) USING (source, seq_id, file)),
+cropped AS (SELECT CASE WHEN length(sequence) > {CROP}
+                        THEN substr(sequence, {HINT('seq_id')} % (length(sequence) - {CROP} + 1) + 1, {CROP}) ELSE sequence END AS sequence
+            FROM chosen),
+seg AS (SELECT segment, count(*) AS n FROM (SELECT unnest(string_split(upper(sequence), 'N')) AS segment FROM cropped)
+        WHERE segment <> '' GROUP BY segment)"""
+
+
+@register("corpus_to_tokenizer", f"""
+WITH {bpe_sql_ctes(segs=CORPUS_SEGS_CTE)}
+SELECT CAST(rank AS INTEGER) AS rank, CAST(left_id AS INTEGER) AS left_id, CAST(right_id AS INTEGER) AS right_id,
+       CAST(new_id AS INTEGER) AS new_id, token, CAST(cnt AS BIGINT) AS n
+FROM merges
+""")
+def corpus_to_tokenizer(spark, d):
+    """C1 -> C3 -> C5 -> B1 -> B3: ids sampled per species, their shards' sequences cropped, merges learned from these."""
+    ids = sample.sample_per_group(views.sequences(spark, d).select("source", "species", "seq_id"), "species", "seq_id", PER_SPECIES)
+    cropped = sample.random_crop(sample.select_sequences(ids, views.shards(spark, d)), "sequence", "seq_id", CROP)
+    return bpe.train_bpe(bpe.segment_counts(cropped), vocab_size=VOCAB_SIZE).merges_df(spark)
+
+
 @register("bpe_vocab", f"""
 WITH {bpe_sql_ctes()}
 SELECT CAST(id AS INTEGER) AS token_id, tok AS token FROM vocab
