@@ -27,7 +27,7 @@ def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def substring_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Lines that repeat an earlier document's are cut from the texts."""
+    """Lines that repeat an earlier document's are cut from the texts, short ones if frequent or in a run of repeats."""
     out = line_dedup.dedup_units(docs, min_words=LINE_WORDS).drop("removed_spans")
     if "n_chars" in out.columns:
         out = out.withColumn("n_chars", F.length("text").cast(dict(docs.dtypes)["n_chars"]))

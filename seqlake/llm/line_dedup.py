@@ -3,9 +3,16 @@
 Texts are cut into units at a separator; a unit is normalised (A-Z lower-cased, white space
 collapsed) and hashed to 128 bits. Digests are grouped globally with a partial minimum, which
 keeps the earliest occurrence by (doc_id, hash of the text, position), so a unit that a third of
-all documents share costs one row per task, not a group. The later occurrences are cut from their
-documents, with their code-point offsets in the original text retained. Units of fewer than
-``min_words`` words (headings, single words) are never cut.
+all documents share costs one row per task, not a group. Every unit that is not blank is hashed. Later
+occurrences are cut from their documents, with their code-point offsets in the original text
+retained, if the unit
+
+- has ``min_words`` words or ``min_bytes`` bytes (normalised, UTF-8: a text without blanks has length too), or
+- stands in ``frequent`` documents or more, or
+- lies in a run of consecutive later occurrences (blank units aside) of ``min_bytes`` bytes or more in all.
+
+What is left is a short unit that few documents have, away from other repeats (a heading, a "Yes."). With
+``min_bytes=None`` only units of ``min_words`` words are looked at.
 
 Defined results: a null or empty text has no units and stays (null becomes empty); a null doc_id
 ranks last; rows that repeat both doc_id and text are one document and get the same result; an
@@ -16,6 +23,7 @@ from __future__ import annotations
 import hashlib
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -23,24 +31,31 @@ from pyspark.sql import functions as F
 from seqlake.llm.common import same, small_batches
 from seqlake.session import settle
 
-UNIT_SCHEMA = "doc_id bigint, text_hash bigint, pos int, start long, end long, digest binary"
+MIN_BYTES = 50    # of a unit, or of a run of units, that is long enough to be cut at its first repeat
+FREQUENT = 10     # documents with a short unit, from which on it is cut anywhere
+
+UNIT_SCHEMA = "doc_id bigint, text_hash bigint, pos int, nth int, start long, end long, size int, long boolean, digest binary"
 
 
-def units(docs: DataFrame, min_words: int, separator: str) -> DataFrame:
-    """(doc_id, text_hash, pos, start, end, digest) of every unit of ``docs`` (doc_id, text) long enough to cut."""
+def units(docs: DataFrame, min_words: int, separator: str, min_bytes: int | None = MIN_BYTES) -> DataFrame:
+    """(doc_id, text_hash, pos, nth, start, end, size, long, digest) of every unit of ``docs`` (doc_id, text) that is not
+    blank (``min_bytes`` None: that has the words); ``nth`` counts these, ``size`` is in bytes, ``long`` needs no company."""
     small_batches(docs.sparkSession)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             rows = []
             for i, text in enumerate(pdf["text"]):
-                at = 0
+                at = nth = 0
                 for k, unit in enumerate(text.split(separator)):
                     words = unit.encode("utf-8", "replace").lower().split()
-                    if len(words) >= min_words:
-                        rows.append((i, k, at, at + len(unit), hashlib.md5(b" ".join(words)).digest()))
+                    if words and (min_bytes is not None or len(words) >= min_words):
+                        plain = b" ".join(words)
+                        enough = len(words) >= min_words or len(plain) >= min_bytes
+                        rows.append((i, k, nth, at, at + len(unit), len(plain), enough, hashlib.md5(plain).digest()))
+                        nth += 1
                     at += len(unit) + len(separator)
-            out = pd.DataFrame(rows, columns=["row", "pos", "start", "end", "digest"])
+            out = pd.DataFrame(rows, columns=["row", "pos", "nth", "start", "end", "size", "long", "digest"])
             row = out.pop("row").to_numpy(dtype="int64")
             out.insert(0, "doc_id", pdf["doc_id"].array[row])
             out.insert(1, "text_hash", pdf["text_hash"].array[row])
@@ -49,23 +64,41 @@ def units(docs: DataFrame, min_words: int, separator: str) -> DataFrame:
     return docs.select("doc_id", F.xxhash64("text").alias("text_hash"), "text").mapInPandas(run, UNIT_SCHEMA)
 
 
-def repeated_units(found: DataFrame) -> DataFrame:
-    """Per document (doc_id, text_hash) the units that repeat an earlier one: cut array<struct<pos,start,end>>."""
+def repeated_units(found: DataFrame, min_bytes: int | None = MIN_BYTES, frequent: int = FREQUENT) -> DataFrame:
+    """Per document (doc_id, text_hash) the units to cut, which repeat an earlier one: cut array<struct<pos,start,end>>."""
     rank = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "text_hash", "pos")
-    first = (found.groupBy(F.col("digest").alias("d")).agg(F.min(rank).alias("first"), F.max(rank).alias("final"))
-             .where("first <> final").select("d", "first"))
+    enough = F.count_distinct(F.struct("doc_id", "text_hash")) >= frequent if min_bytes is not None else F.lit(True)
+    first = (found.groupBy(F.col("digest").alias("d"))
+             .agg(F.min(rank).alias("first"), F.max(rank).alias("final"), enough.alias("often"))
+             .where("first <> final").select("d", "first", "often"))
     again = found.join(first, F.col("digest") == F.col("d")).where(rank != F.col("first"))
-    return (again.groupBy("doc_id", "text_hash")
-            .agg(F.array_sort(F.collect_set(F.struct("pos", "start", "end"))).alias("cut")))
+    whole = again.groupBy("doc_id", "text_hash").agg(F.array_sort(F.collect_set(F.struct(
+        "pos", "nth", "start", "end", "size", (F.col("long") | F.col("often")).alias("sure")))).alias("met"))
+
+    @F.pandas_udf("array<boolean>")
+    def in_run(nth: pd.Series, size: pd.Series) -> pd.Series:
+        out = []
+        for at, n in zip(nth, size):
+            new = np.r_[True, np.diff(at) != 1]
+            out.append(np.add.reduceat(n.astype(np.int64), np.flatnonzero(new))[np.cumsum(new) - 1] >= min_bytes)
+        return pd.Series(out)
+
+    goes = lambda u, i: u["sure"]
+    if min_bytes is not None:
+        whole = whole.withColumn("run", in_run("met.nth", "met.size"))
+        goes = lambda u, i: u["sure"] | F.get("run", i)
+    cut = F.transform(F.filter("met", goes), lambda u: F.struct(*(u[c].alias(c) for c in ("pos", "start", "end"))))
+    return whole.select("doc_id", "text_hash", cut.alias("cut")).where(F.size("cut") > 0)
 
 
 def dedup_units(docs: DataFrame, min_words: int = 10, separator: str = "\n",
-                id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` with every repeated unit but the earliest cut from its text, and the column
+                id_col: str = "doc_id", text_col: str = "text", min_bytes: int | None = MIN_BYTES,
+                frequent: int = FREQUENT) -> DataFrame:
+    """``docs`` with the later occurrences of units cut from its texts by the rule above, and the column
     ``removed_spans``: array<struct<start,end>> of the cut units in the original text."""
     doc_id, text = F.col(id_col).cast("bigint"), F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    found = settle(units(docs.select(doc_id.alias("doc_id"), text.alias("text")), min_words, separator))
-    cuts = repeated_units(found).select(F.col("doc_id").alias("__cut_id"), F.col("text_hash").alias("__cut_hash"),
+    found = settle(units(docs.select(doc_id.alias("doc_id"), text.alias("text")), min_words, separator, min_bytes))
+    cuts = repeated_units(found, min_bytes, frequent).select(F.col("doc_id").alias("__cut_id"), F.col("text_hash").alias("__cut_hash"),
                                         F.col("cut").alias("__cut"))
     joined = docs.join(cuts, same((doc_id, F.col("__cut_id")), (F.xxhash64(text), F.col("__cut_hash"))), "left")
     parts = F.split(text, _literal(separator))

@@ -39,7 +39,7 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(cut, capacity=2048)
 
 
-LINE_WORDS = 10   # shorter lines are never cut
+LINE_WORDS = 10   # op6 looks only at lines of as many words, as its statement does
 
 OP6_SQL = f"""
 WITH docs AS (
@@ -70,7 +70,7 @@ FROM ranked GROUP BY doc_id"""
 @register("op6_line_dedup", OP6_SQL)
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    out = line_dedup.dedup_units(docs, min_words=LINE_WORDS)
+    out = line_dedup.dedup_units(docs, min_words=LINE_WORDS, min_bytes=None)
     spans = F.transform("removed_spans", lambda s: F.concat_ws("-", s["start"].cast("string"), s["end"].cast("string")))
     return out.select("doc_id", "text", F.size("removed_spans").cast("bigint").alias("n_removed"),
                       F.array_join(spans, ",").alias("removed"))
