@@ -21,10 +21,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id long, text string): null texts become empty; every other column is left out."""
+def texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *carried: str) -> DataFrame:
+    """(doc_id long, text string): null texts become empty; every other column but ``carried`` is left out."""
     return docs.select(F.col(id_col).cast("bigint").alias("doc_id"),
-                       F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
+                       F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"), *carried)
 
 
 def same(*pairs: tuple[Column, Column]) -> Column:

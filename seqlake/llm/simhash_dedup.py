@@ -49,15 +49,16 @@ def simhash(text: str, shingle_words: int) -> int:
     return int(np.packbits(2 * votes > len(hashes), bitorder="little").view("<u8")[0])
 
 
-def fingerprints(docs: DataFrame, shingle_words: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, fp long): one row per document row."""
+def fingerprints(docs: DataFrame, shingle_words: int = 3, id_col: str = "doc_id", text_col: str = "text",
+                 *carried: str) -> DataFrame:
+    """(doc_id, fp long) and the columns ``carried``: one row per document row."""
     small_batches(docs.sparkSession)
 
     @F.pandas_udf("bigint")
     def fp(text: pd.Series) -> pd.Series:
         return pd.Series(np.array([simhash(t, shingle_words) for t in text], dtype=np.uint64).view(np.int64))
 
-    return texts(docs, id_col, text_col).select("doc_id", fp("text").alias("fp"))
+    return texts(docs, id_col, text_col, *carried).select("doc_id", fp("text").alias("fp"), *carried)
 
 
 def block_tables(max_bits: int, blocks: int) -> list[tuple[int, list[int]]]:
@@ -88,24 +89,31 @@ def near_links(nodes: DataFrame, max_bits: int = 2, blocks: int = 8) -> DataFram
             .select(F.col("x.fp").alias("a"), F.col("y.fp").alias("b")))
 
 
-def near_duplicates(docs: DataFrame, shingle_words: int = 3, max_bits: int = 2, blocks: int = 8,
-                    id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, fp, component_id): one row per document row; component_id is the smallest doc_id
-    reachable over links of at most ``max_bits`` differing bits."""
-    prints = settle(fingerprints(docs, shingle_words, id_col, text_col))
+def named_components(prints: DataFrame, max_bits: int = 2, blocks: int = 8) -> DataFrame:
+    """(fp, root, component_id) of every value ``fp`` of ``prints`` (doc_id, fp): the component's smallest value and doc_id."""
     nodes = settle(prints.groupBy("fp").agg(F.min("doc_id").alias("low")))
     roots = components(near_links(nodes, max_bits, blocks))
     placed = nodes.join(roots, nodes.fp == roots.node, "left").select(
         "fp", "low", F.coalesce("root", "fp").alias("root"))
     lowest = placed.groupBy("root").agg(F.min("low").alias("component_id"))
-    named = settle(placed.join(lowest, "root").select("fp", "component_id"))
-    return prints.join(named, "fp").select("doc_id", "fp", "component_id")
-
+    return settle(placed.join(lowest, "root").select("fp", "root", "component_id"))
 
-def keep_one(docs: DataFrame, shingle_words: int = 3, max_bits: int = 2, id_col: str = "doc_id") -> DataFrame:
-    """The rows of ``docs`` without the members of near-duplicate groups other than the smallest doc_id.
 
-    Rows that repeat a kept doc_id and rows with a null doc_id stay."""
-    gone = (near_duplicates(docs, shingle_words, max_bits, id_col=id_col).where("doc_id <> component_id")
-            .select(F.col("doc_id").alias("__gone")).distinct())
-    return docs.join(gone, docs[id_col].cast("bigint") == F.col("__gone"), "left_anti")
+def near_duplicates(docs: DataFrame, shingle_words: int = 3, max_bits: int = 2, blocks: int = 8,
+                    id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, fp, component_id): one row per document row; component_id is the smallest doc_id
+    reachable over links of at most ``max_bits`` differing bits."""
+    prints = settle(fingerprints(docs, shingle_words, id_col, text_col))
+    return prints.join(named_components(prints, max_bits, blocks), "fp").select("doc_id", "fp", "component_id")
+
+
+def keep_one(docs: DataFrame, shingle_words: int = 3, max_bits: int = 2, id_col: str = "doc_id",
+             text_col: str = "text") -> DataFrame:
+    """One row of ``docs`` for each component: that of the smallest doc_id, null ids last, and of rows that
+    repeat this id (or of null ids only) the first."""
+    rows = settle(docs.withColumn("__row", F.monotonically_increasing_id()))
+    prints = settle(fingerprints(rows, shingle_words, id_col, text_col, "__row"))
+    rank = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "__row")
+    kept = (prints.join(named_components(prints, max_bits).select("fp", "root"), "fp")
+            .groupBy("root").agg(F.min(rank).alias("first")).select(F.col("first.__row").alias("__kept")))
+    return rows.join(kept, F.col("__row") == F.col("__kept"), "left_semi").drop("__row")

@@ -137,6 +137,15 @@ def test_simhash_components(spark, corpus):
     assert 0 in kept and not any(200 <= (i or 0) < 240 for i in kept)
 
 
+def test_one_row_of_every_component_stays(spark):
+    """A repeated doc_id loses no text of its own; of copies under null or repeated ids one row stays."""
+    rng = random.Random(5)
+    a, b, c, d = (words(rng, 40, 1000) for _ in range(4))
+    rows = [(1, a, "s"), (2, a, "s"), (2, b, "s"), (None, c, "s"), (None, c, "t"), (None, a, "s"), (3, d, "s"), (3, d, "t")]
+    kept = sorted((str(r["doc_id"]), r["text"], r["size"]) for r in simhash_dedup.keep_one(docs(spark, rows)).collect())
+    assert kept == sorted([("1", a, 7), ("2", b, 7), ("None", c, 7), ("3", d, 7)])
+
+
 def test_block_tables_find_all_close_pairs(spark):
     rng = random.Random(2)
     values = [rng.getrandbits(63) for _ in range(60)]
