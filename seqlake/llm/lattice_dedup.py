@@ -10,7 +10,8 @@ no link. Vectors that meet are verified by cosine in double precision.
 
 Equal vectors of a label are one node with a count, so a vector that a third of all rows share
 costs one row. Cells with more than ``CELL_ROWS`` vectors are divided into chunks, and each pair of
-chunks is verified on its own, so no task ever holds more than two chunks of a cell.
+chunks is verified on its own. Verifying groups take ``ROWS_PER_BUCKET`` rows on average, counted after
+that division.
 
 Defined results: vectors without label, null or empty vectors and such that hold a null, NaN or
 infinity or only zeros link with nothing and are their own component; vectors of different
@@ -183,18 +184,23 @@ def verify(cosine: float, scale: float):
     return run
 
 
+def bucket_count(shared: DataFrame) -> int:
+    """Verifying groups for the cells of ``shared`` (n, chunks): their rows are counted as dealt, each once per chunk."""
+    return 1 + shared.agg(F.coalesce(F.sum(F.col("n") * F.col("chunks")), F.lit(0))).first()[0] // ROWS_PER_BUCKET
+
+
 def near_links(nodes: DataFrame, cosine: float, scale: float) -> DataFrame:
     """Distinct (a, b): the nodes of a label at the cosine or above."""
     placed = settle(entries(nodes, cosine, scale))
     cell = ["label", "dim", "cell"]
     shared = settle(placed.groupBy(*cell).agg(F.count("*").alias("n")).where("n > 1")
-                    .select(*cell, F.when(F.col("n") > CELL_ROWS, F.ceil(F.col("n") / (CELL_ROWS // 2))).otherwise(1)
+                    .select(*cell, "n", F.when(F.col("n") > CELL_ROWS, F.ceil(F.col("n") / (CELL_ROWS // 2))).otherwise(1)
                             .cast("int").alias("chunks")))
-    dealt = (placed.join(shared, cell).withColumn("chunk", F.pmod(F.xxhash64("node"), "chunks").cast("int"))
+    dealt = (placed.join(shared.drop("n"), cell).withColumn("chunk", F.pmod(F.xxhash64("node"), "chunks").cast("int"))
              .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
              .withColumn("cell_id", F.xxhash64(*cell, F.least("chunk", "other"), F.greatest("chunk", "other")))
              .select("node", "label", "cell", "chunk", (F.col("chunk") == F.col("other")).alias("one_chunk"), "cell_id"))
-    buckets = 1 + placed.count() // ROWS_PER_BUCKET
+    buckets = bucket_count(shared)
     return (dealt.join(nodes.select("node", "v"), "node")
             .groupBy(F.pmod("cell_id", F.lit(buckets)).alias("bucket"))
             .applyInPandas(verify(cosine, scale), "a bigint, b bigint"))

@@ -115,6 +115,23 @@ def test_near_duplicate_vectors(spark, monkeypatch):
     assert sorted((tuple(r) for r in got), key=key) == sorted(want, key=key)
 
 
+def test_hot_cell_is_verified_in_small_groups(spark, monkeypatch):
+    """A cell of many chunks: groups are as many as its rows need after each is dealt once per chunk."""
+    monkeypatch.setattr(lattice_dedup, "CELL_ROWS", 8)
+    monkeypatch.setattr(lattice_dedup, "ROWS_PER_BUCKET", 64)
+    asked = []
+    count = lattice_dedup.bucket_count
+    monkeypatch.setattr(lattice_dedup, "bucket_count", lambda shared: asked.append(
+        (shared.agg(F.sum(F.col("n") * F.col("chunks"))).first()[0], count(shared))) or asked[-1][1])
+    rng = np.random.default_rng(2)
+    base = rng.normal(size=8)
+    rows = [(i, (base + rng.normal(size=8) * 1e-3).tolist(), 0) for i in range(120)]
+    got = lattice_dedup.near_duplicates(spark.createDataFrame(rows, "vec_id bigint, embedding array<double>, label int")).collect()
+    assert all(r["n_links"] == 119 and r["component_id"] == 0 for r in got) and len(got) == 120
+    (dealt, buckets), = asked
+    assert dealt >= 120 * 30 and dealt / buckets <= 64    # 120 rows in 30 chunks
+
+
 def test_simhash_components(spark, corpus):
     got = simhash_dedup.near_duplicates(docs(spark, corpus)).collect()
     prints = [(i, simhash_dedup.simhash(t or "", 3)) for i, t, _ in corpus]
