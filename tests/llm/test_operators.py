@@ -276,6 +276,14 @@ def test_context_tree(spark, corpus, monkeypatch):
         math.log10((counts.get(w, 0) + 0.5) / (total + 0.5 * (len(counts) + 1))) for w in tokens))
 
 
+def test_context_reaches_six_bytes(spark):
+    """The byte that tells the next one apart is the sixth before it: five bytes cannot, six can, either way."""
+    rows = [(i, f"{c}aaaaa{c}" * 3, "s") for i in range(60) for c in "xy"]
+    scores = [sum(r["score"] for r in context_tree.score(docs(spark, rows), **way).collect() if r["held_out"])
+              for way in ({}, {"max_model_rows": 0}, {"depth": 5})]
+    assert scores[0] == pytest.approx(scores[1], rel=1e-6) and scores[0] > 0.7 * scores[2]    # logarithms: less is worse
+
+
 def test_context_tree_weights_by_hand():
     """Depth 2 over a short text: the weighted probability equals the recursion over all contexts."""
     keys, _ = context_tree.grams([b"abab\n", b"abba\n"], 2)
