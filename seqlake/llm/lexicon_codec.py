@@ -1,15 +1,16 @@
 """BPE encoding and decoding: minimal acyclic transducer lexicon.
 
-Words (a blank with what follows it up to the next blank) that are frequent in the corpus are
-compiled, with their token ids as outputs, into a minimal acyclic transducer: states whose
-remaining words and outputs are equal are one state (shared suffixes), and ids are written as
-early on a path as all words through it agree. Its arcs are flat arrays in a file in the shared
-checkpoint folder, which Spark hands to every executor; workers map it into memory. All new words of a batch walk
-the transducer at the same time, a byte a step. Words that it does not accept are merged exactly:
-cut into pre-tokens as the tokenizer cuts them, then every pre-token merges its lowest-ranked pair, all
-pre-tokens at once, until none is left. Decoding joins the tokens' bytes and reads them as UTF-8.
-
-Which words are frequent is found by a Misra-Gries summary per task (``SUMMARY`` counters: a word
+Pre-tokens that are frequent in the corpus are compiled, with their token ids as outputs, into a
+minimal acyclic transducer: states whose remaining words and outputs are equal are one state
+(shared suffixes), and ids are written as early on a path as all words through it agree. Its arcs
+are flat arrays in a file in the shared checkpoint folder, which Spark hands to every executor; workers map
+it into memory. Texts are cut at blanks into words, and only the distinct words of a slice of texts are looked at:
+those the worker does not remember are cut into pre-tokens as the tokenizer cuts them, these walk the transducer
+all at the same time, a byte a step, and those it does not accept are merged exactly: every pre-token
+merges its lowest-ranked pair, all pre-tokens at once, until none is left. Decoding joins the tokens' bytes and reads
+them as UTF-8.
+
+Which pre-tokens are frequent is found by a Misra-Gries summary per task (``SUMMARY`` counters: a word
 with more than a SUMMARY-th of a task's words is never missed), summed by Spark; the ``lexicon_words`` most
 frequent are compiled. The choice decides speed alone: ids are the same with any lexicon.
 
@@ -28,11 +29,12 @@ import mmap
 import re
 import uuid
 from collections import Counter
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -44,26 +46,38 @@ from seqlake.session import checkpoint_dir
 SUMMARY = 1 << 15          # counters of a task's summary of frequent words
 LEXICON_WORDS = 1 << 16    # words compiled
 WORD_BYTES = 64            # longer words are neither compiled nor remembered
-SLICE_BYTES = 1 << 20      # of text encoded together
-CACHE_BYTES = 48 << 20     # of words remembered by a worker, in either of two generations
+SLICE_BYTES = 8 << 20      # of text encoded together
+CACHE_BYTES = 48 << 20     # of words, and of pre-tokens, remembered by a worker, in either of two generations
 ENTRY_BYTES = 200          # a remembered word besides its letters and ids
 NO_PAIR = np.int64(1) << 40
 
 # The public pattern of byte-level BPE pre-tokens (a fixed value).
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-_BLANK_AFTER_SPACE = re.compile("[\\s\u180e\u200b] ")
+START, LINE = "\x01", "\n"      # a word that begins a text is marked, one that begins a line keeps its break
+# Texts with other white space than single blanks and line breaks, or with the mark, are cut by _BOUNDARY.
+_ODD = "  |\n | \n|\n\n|[\x01\t\r\x0b\x0c\x1c-\x1f\u0085\u00a0\u1680\u180e\u2000-\u200b\u2028\u2029\u202f\u205f\u3000]"
 _BOUNDARY = re.compile("(?<=[^\\s\u180e\u200b])(?= )")
+# Latin letters with a blank before or not, then punctuation: two pre-tokens with any version of the classes.
+_SIMPLE = re.compile("( ?[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+)([.,;:!?]*)")
 
 
-def words_of(text: str) -> list[str]:
-    """The text cut before every blank that follows another character than white space: no pre-token spans such a place."""
-    if not text:
-        return []
-    if _BLANK_AFTER_SPACE.search(text):
-        return _BOUNDARY.split(text)
-    first, *rest = text.split(" ")
-    rest = [" " + w for w in rest]
-    return [first, *rest] if first else rest
+def cut_words(text: pa.Array, added: list[str]) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+    """(words one after the other, their offsets by text, numbers of the odd texts, which have no words here).
+    No pre-token spans two words. A word stands for itself after a blank, but for one that begins a text
+    (after START) or a line (after LINE)."""
+    odd = pc.match_substring_regex(text, _ODD)
+    for token in added:
+        odd = pc.or_(odd, pc.match_substring(text, token))
+    plain = pc.if_else(pc.or_(odd, pc.equal(text, "")), pa.scalar(None, text.type), text)
+    words = pc.split_pattern(pc.replace_substring(pc.binary_join_element_wise(pa.scalar(START, text.type), plain, pa.scalar("", text.type)), LINE, " " + LINE), " ")
+    at = np.zeros(len(text) + 1, dtype=np.int64)
+    np.cumsum(pc.list_value_length(words).fill_null(0), out=at[1:])
+    return words.flatten(), at, np.flatnonzero(odd)
+
+
+def spelled(word: str) -> str:
+    """The text a word stands for."""
+    return word[1:] if word[:1] == START else word if word[:1] == LINE else " " + word
 
 
 # ---------------------------------------------------------------- transducer
@@ -166,7 +180,7 @@ def look_up(lexicon: dict[str, np.ndarray], data: np.ndarray, at: np.ndarray, le
     key, edges = lexicon["key"], len(lexicon["key"])
     for step in range(int(length.max(initial=0))):
         alive = alive[length[alive] > step]
-        want = state[alive] << 8 | data[at[alive] + step]
+        want = state[alive] << 8 | data[at[alive] + step].astype(np.int64)
         arc = np.searchsorted(key, want)
         good = (arc < edges) & (key[np.minimum(arc, edges - 1)] == want) if edges else np.zeros(len(alive), dtype=bool)
         state[alive[~good]] = -1
@@ -244,12 +258,15 @@ class BytePairs:
         self.find_added = re.compile("(" + "|".join(map(re.escape, sorted(self.added, key=len, reverse=True))) + ")") if self.added else None
         self.classes, self.pattern = Classes(Tokenizer.from_file(tokenizer_file).pre_tokenizer), regex.compile(PATTERN)
 
-    def pre_tokens(self, word: str) -> list[str]:
-        if word.isascii():
-            return self.pattern.findall(word)
+    def pre_tokens(self, text: str) -> list[str]:
+        simple = _SIMPLE.fullmatch(text)
+        if simple:
+            return [simple[1], simple[2]] if simple[2] else [text]
+        if text.isascii():
+            return self.pattern.findall(text)
         out, at = [], 0
-        for piece in self.pattern.findall(word.translate(self.classes)):
-            out.append(word[at:at + len(piece)])
+        for piece in self.pattern.findall(text.translate(self.classes)):
+            out.append(text[at:at + len(piece)])
             at += len(piece)
         return out
 
@@ -260,6 +277,8 @@ class BytePairs:
 
     def merge(self, units: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """(ids one after the other, how many) of non-empty pre-tokens: in every round each merges all its pairs of lowest rank."""
+        if not units:
+            return np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
         length = np.array([len(u) for u in units], dtype=np.int64)
         sym = self.of_byte[np.frombuffer(b"".join(units), dtype=np.uint8)]
         seq = np.repeat(np.arange(len(units)), length)
@@ -287,8 +306,9 @@ class BytePairs:
             keep[hit + 1] = False
             place = np.cumsum(keep)[hit] - 1
             sym, seq, rank, merged = sym[keep], seq[keep], rank[keep], merged[keep]
-            todo = np.unique(np.r_[place, place - 1])
-            todo = todo[todo >= 0]
+            near = np.zeros(len(sym) + 1, dtype=bool)                   # pairs with a merged symbol; the last place stands for -1
+            near[place] = near[place - 1] = True
+            todo = np.flatnonzero(near[:-1])
             rank[todo] = NO_PAIR
             todo = todo[todo < len(sym) - 1]
             todo = todo[seq[todo] == seq[todo + 1]]
@@ -296,69 +316,116 @@ class BytePairs:
         sym, seq = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (done_sym, done_seq))
         return sym[np.argsort(seq, kind="stable")], np.bincount(seq, minlength=len(units))
 
-    def encode_words(self, words: list[str]) -> list[bytes]:
-        """The ids (little-endian uint32) of words, merged exactly."""
-        cut = [self.pre_tokens(w) for w in words]
-        distinct = list(dict.fromkeys(p for ps in cut for p in ps))
-        ids, n = self.merge([p.encode("utf-8", "replace") for p in distinct])
+    def merged_bytes(self, units: list[str]) -> list[bytes]:
+        """The ids (little-endian uint32) of distinct pre-tokens, merged exactly."""
+        ids, n = self.merge([u.encode("utf-8", "replace") for u in units])
         raw, at = ids.astype("<u4").tobytes(), (4 * offsets_of(n)).tolist()
-        known = {p: raw[at[i]:at[i + 1]] for i, p in enumerate(distinct)}
-        return [b"".join([known[p] for p in ps]) for ps in cut]
+        return [raw[a:b] for a, b in zip(at, at[1:])]
 
 
 # ---------------------------------------------------------------- the codec
 
-class Codec:
-    """Encodes and decodes whole texts; words once met are remembered in two generations bounded in bytes."""
+class Memory:
+    """What was made for short keys, in two generations bounded in bytes: what is not asked for in the newer one goes."""
 
-    def __init__(self, tokenizer_file: str, lexicon: dict[str, np.ndarray] | None = None):
-        self.pairs, self.lexicon = BytePairs(tokenizer_file), lexicon
+    def __init__(self):
         self.known: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
         self.held = 0
 
-    def _new_words(self, words: list[str]) -> list[bytes]:
-        if self.lexicon is None:
-            return self.pairs.encode_words(words)
-        raw = [w.encode("utf-8", "replace") for w in words]
-        length = np.array([len(r) for r in raw], dtype=np.int64)
-        data = np.frombuffer(b"".join(raw), dtype=np.uint8).astype(np.int64)
-        accepted, n, ids = look_up(self.lexicon, data, offsets_of(length)[:-1], np.where(length <= WORD_BYTES, length, 0))
-        accepted &= length <= WORD_BYTES
-        unseen = iter(self.pairs.encode_words([w for w, a in zip(words, accepted.tolist()) if not a]))
-        ids, at = ids.astype("<u4").tobytes(), (4 * offsets_of(n)).tolist()
-        return [ids[at[i]:at[i + 1]] if a else next(unseen) for i, a in enumerate(accepted.tolist())]
-
-    def encode_batch(self, batch: list[str]) -> list[bytes]:
-        """The ids of each text as little-endian uint32."""
+    def recall(self, keys: list[str], make) -> list[bytes]:
+        """The values of distinct keys; ``make`` gives those of a list of keys not remembered."""
+        found = list(map(self.known.get, keys))
+        gaps = [i for i, x in enumerate(found) if x is None]
+        for i in gaps if self.older else ():
+            found[i] = self.older.get(keys[i])
+        new = [i for i in gaps if found[i] is None]
+        for i, x in zip(new, make([keys[i] for i in new]) if new else ()):
+            found[i] = x
+        for i in gaps:
+            key, x = keys[i], found[i]
+            if len(key) <= WORD_BYTES:
+                self.known[key] = x
+                self.held += len(key) + len(x) + ENTRY_BYTES
         if self.held > CACHE_BYTES:
             self.known, self.older, self.held = {}, self.known, 0
-        known, older, cut, missing = self.known, self.older, [], {}
-        for text in batch:
-            parts = self.pairs.find_added.split(text) if self.pairs.find_added and any(s in text for s in self.pairs.added) else [text]
-            words = [words_of(p) if i % 2 == 0 else p for i, p in enumerate(parts)]    # every second part is an added token
-            cut.append(words)
-            for ws in words[::2]:
-                missing.update(dict.fromkeys([w for w in ws if w not in known]))
-        for w in [w for w in missing if w in older]:
-            known[w] = older[w]
-            self.held += len(w) + len(older[w]) + ENTRY_BYTES
-            del missing[w]
-        long_ = [w for w in missing if len(w) > WORD_BYTES]
-        if missing:
-            new = self._new_words(list(missing))
-            known.update(zip(missing, new))
-            self.held += sum(map(len, new)) + sum(map(len, missing)) + ENTRY_BYTES * len(new)
-        out = []
-        for words in cut:
-            out.append(b"".join([b"".join(map(known.__getitem__, ws)) if i % 2 == 0 else np.array([self.pairs.added[ws]], "<u4").tobytes()
-                                 for i, ws in enumerate(words)]))
-        for w in long_:
-            self.held -= len(w) + len(known.pop(w)) + ENTRY_BYTES
-        return out
+        return found
 
-    def decode(self, ids: bytes) -> str:
-        return b"".join(map(self.pairs.token.__getitem__, np.frombuffer(ids, "<u4").tolist())).decode("utf-8", "replace")
+
+class Codec:
+    """Encodes and decodes whole texts."""
+
+    def __init__(self, tokenizer_file: str, lexicon: dict[str, np.ndarray] | None = None):
+        self.pairs, self.lexicon = BytePairs(tokenizer_file), lexicon
+        self.words, self.units = Memory(), Memory()
+        size = max(self.pairs.token) + 1
+        length = np.zeros(size, dtype=np.int64)
+        for i, t in self.pairs.token.items():
+            length[i] = len(t)
+        self.token_at, self.token_size = offsets_of(length), length
+        self.token_bytes = np.frombuffer(b"".join(self.pairs.token.get(i, b"") for i in range(size)), dtype=np.uint8)
+
+    def unit_ids(self, units: list[str]) -> list[bytes]:
+        """The ids of distinct pre-tokens: those that the transducer accepts have them there, the others are merged."""
+        if self.lexicon is None:
+            return self.pairs.merged_bytes(units)
+        raw = [u.encode("utf-8", "replace") for u in units]
+        length = np.fromiter(map(len, raw), dtype=np.int64, count=len(raw))
+        short = length <= WORD_BYTES
+        data = np.frombuffer(b"".join(raw), dtype=np.uint8)
+        accepted, n, ids = look_up(self.lexicon, data, offsets_of(length)[:-1], np.where(short, length, 0))
+        ids, at = ids.astype("<u4").tobytes(), (4 * offsets_of(n)).tolist()
+        accepted = (accepted & short).tolist()
+        merged = iter(self.pairs.merged_bytes([u for u, a in zip(units, accepted) if not a]))
+        return [ids[x:y] if a else next(merged) for a, x, y in zip(accepted, at, at[1:])]
+
+    def text_ids(self, texts: list[str]) -> list[bytes]:
+        """The ids of short texts from their pre-tokens."""
+        cut = [self.pairs.pre_tokens(t) for t in texts]
+        distinct = list({u for us in cut for u in us})
+        known = dict(zip(distinct, self.units.recall(distinct, self.unit_ids)))
+        return [known[us[0]] if len(us) == 1 else b"".join([known[u] for u in us]) for us in cut]
+
+    def word_ids(self, words: list[str]) -> list[bytes]:
+        return self.text_ids(list(map(spelled, words)))
+
+    def _odd(self, text: str) -> bytes:
+        """The ids of a text with an added token or odd white space."""
+        parts = self.pairs.find_added.split(text) if self.pairs.find_added else [text]
+        return b"".join([b"".join(self.text_ids(_BOUNDARY.split(p))) if i % 2 == 0 else np.array([self.pairs.added[p]], "<u4").tobytes()
+                         for i, p in enumerate(parts)])      # every second part is an added token
+
+    def encode(self, text: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """(ids one after the other, how many of each text) of texts without nulls."""
+        words, at, odd = cut_words(text, list(self.pairs.added))
+        coded = words.dictionary_encode()
+        which = np.asarray(coded.indices)
+        raw = self.words.recall(coded.dictionary.to_numpy(zero_copy_only=False).tolist(), self.word_ids)
+        size = np.fromiter(map(len, raw), dtype=np.int64, count=len(raw)) // 4
+        flat, first = np.frombuffer(b"".join(raw), "<u4"), offsets_of(size)[:-1]
+        n_word = size[which]
+        ids = flat[spread(first[which], n_word)]
+        begin = offsets_of(n_word)[at]
+        n = np.diff(begin)
+        if len(odd):
+            pieces, here = [], 0
+            for i in odd.tolist():
+                own = np.frombuffer(self._odd(text[i].as_py()), "<u4")
+                pieces += (ids[here:begin[i]], own)
+                here, n[i] = begin[i], len(own)
+            ids = np.concatenate([*pieces, ids[here:]])
+        return ids, n
+
+    def decode(self, ids: np.ndarray, n: np.ndarray) -> pa.Array:
+        """The texts of ids, n[0] of the first one, n[1] of the second, and so on."""
+        size = self.token_size[ids]
+        data = self.token_bytes[spread(self.token_at[ids], size)]
+        at = offsets_of(size)[offsets_of(n)]
+        raw = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(n), [None, pa.py_buffer(at), pa.py_buffer(data)])
+        try:
+            return raw.cast(pa.large_string())
+        except pa.ArrowInvalid:       # ids that cut a character
+            return pa.array([x.as_py().decode("utf-8", "replace") for x in raw], pa.large_string())
 
 
 @lru_cache(maxsize=1)
@@ -374,8 +441,15 @@ class Summary:
     def __init__(self, size: int = SUMMARY):
         self.size, self.counts = size, Counter()
 
-    def add(self, words: Iterable[str]) -> None:
-        self.counts.update(words)
+    def add(self, words: pa.Array) -> None:
+        """Words with repeats; a summary of their own is made first, and the two are added."""
+        counted = words.value_counts()
+        distinct, n = counted.field(0), np.asarray(counted.field(1))
+        if len(n) > self.size:
+            n = n - np.partition(n, len(n) - self.size - 1)[len(n) - self.size - 1]
+            distinct, n = distinct.filter(pa.array(n > 0)), n[n > 0]
+        for w, k in zip(distinct.to_numpy(zero_copy_only=False).tolist(), n.tolist()):
+            self.counts[w] += k
         if len(self.counts) > 4 * self.size:
             self.shrink()
 
@@ -386,19 +460,22 @@ class Summary:
             self.counts = Counter({w: c - least for w, c in self.counts.items() if c > least})
 
 
-def frequent_words(docs: DataFrame, lexicon_words: int) -> list[str]:
-    """The most frequent words of the corpus, at most ``lexicon_words`` of at most WORD_BYTES characters."""
+def frequent_pre_tokens(docs: DataFrame, tokenizer_file: str, lexicon_words: int) -> list[str]:
+    """The pre-tokens of the corpus' frequent words, at most ``lexicon_words`` of at most WORD_BYTES bytes. Odd texts do not count."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        summary = Summary()
-        for batch in batches:
-            for text in batch.column("text"):
-                summary.add(words_of(text.as_py()))
+        summary, pairs = Summary(), BytePairs(tokenizer_file)
+        for part in byte_slices(batches, "text", SLICE_BYTES):
+            summary.add(cut_words(part.column("text").combine_chunks(), list(pairs.added))[0])
         summary.shrink()
-        kept = {w: n for w, n in summary.counts.items() if len(w.encode("utf-8", "replace")) <= WORD_BYTES}
-        yield pa.record_batch({"word": pa.array(list(kept), pa.string()), "n": pa.array(list(kept.values()), pa.int64())})
+        found = Counter()
+        for w, n in summary.counts.items():
+            for u in pairs.pre_tokens(spelled(w)):
+                if len(u.encode("utf-8", "replace")) <= WORD_BYTES:
+                    found[u] += n
+        yield pa.record_batch({"unit": pa.array(list(found), pa.string()), "n": pa.array(list(found.values()), pa.int64())})
 
-    counted = docs.select("text").mapInArrow(run, "word string, n bigint").groupBy("word").agg(F.sum("n").alias("n"))
-    return [r["word"] for r in counted.orderBy(F.desc("n"), "word").limit(lexicon_words).collect()]
+    counted = docs.select("text").mapInArrow(run, "unit string, n bigint").groupBy("unit").agg(F.sum("n").alias("n"))
+    return [r["unit"] for r in counted.orderBy(F.desc("n"), "unit").limit(lexicon_words).collect()]
 
 
 def share_file(spark, content: bytes) -> str:
@@ -417,18 +494,18 @@ def share_file(spark, content: bytes) -> str:
 
 def encode_decode(docs: DataFrame, tokenizer_file: str, lexicon_words: int = LEXICON_WORDS, id_col: str = "doc_id",
                   text_col: str = "text") -> DataFrame:
-    """(doc_id, text, ids, decoded): ids as little-endian uint32, decoded the text made from the ids alone."""
+    """(doc_id, n_tokens, ids, decoded): ids as little-endian uint32, decoded the text made from the ids alone."""
     spark, plain = docs.sparkSession, texts(docs, id_col, text_col)
-    words = sorted(frequent_words(plain, lexicon_words), key=lambda w: w.encode("utf-8", "replace"))
-    ids = [tuple(np.frombuffer(x, "<u4").tolist()) for x in BytePairs(tokenizer_file).encode_words(words)]
-    name = share_file(spark, to_bytes(compile_lexicon([w.encode("utf-8", "replace") for w in words], ids)))
+    units = sorted(frequent_pre_tokens(plain, tokenizer_file, lexicon_words), key=lambda u: u.encode("utf-8", "replace"))
+    ids = [tuple(np.frombuffer(x, "<u4").tolist()) for x in BytePairs(tokenizer_file).merged_bytes(units)]
+    name = share_file(spark, to_bytes(compile_lexicon([u.encode("utf-8", "replace") for u in units], ids)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = codec_of(tokenizer_file, name)
         for part in byte_slices(batches, "text", SLICE_BYTES):
-            text = part.column("text").to_pylist()
-            ids = codec.encode_batch(text)
-            yield pa.record_batch({"doc_id": part.column("doc_id").combine_chunks(), "text": pa.array(text, pa.string()),
-                                   "ids": pa.array(ids, pa.binary()), "decoded": pa.array([codec.decode(x) for x in ids], pa.string())})
+            ids, n = codec.encode(part.column("text").combine_chunks())
+            raw = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(n), [None, pa.py_buffer(4 * offsets_of(n)), pa.py_buffer(np.ascontiguousarray(ids))])
+            yield pa.record_batch({"doc_id": part.column("doc_id").combine_chunks(), "n_tokens": n, "ids": raw.cast(pa.binary()),
+                                   "decoded": codec.decode(ids, n).cast(pa.string())})
 
-    return plain.mapInArrow(run, "doc_id bigint, text string, ids binary, decoded string")
+    return plain.mapInArrow(run, "doc_id bigint, n_tokens bigint, ids binary, decoded string")

@@ -4,6 +4,7 @@ import random
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pyarrow.parquet as pq
 import pytest
 from tokenizers import Tokenizer
@@ -62,20 +63,34 @@ def odd_texts():
     return out
 
 
+def ids_of(codec, texts):
+    ids, n = codec.encode(pa.array(texts, pa.string()))
+    at = offsets_of(n)
+    return [ids[at[i]:at[i + 1]].tolist() for i in range(len(texts))]
+
+
 def test_codec_equals_the_library(library):
     texts = odd_texts() + pq.read_table("/root/testdata/sf0.001/documents.parquet").column("text").to_pylist()
-    words = sorted({w for t in texts[-100:] for w in lc.words_of(t) if len(w) < 30}, key=str.encode)
     pairs = lc.BytePairs(FILE)
-    ids = [tuple(np.frombuffer(x, "<u4").tolist()) for x in pairs.encode_words(words)]
-    lexicon = lc.compile_lexicon([w.encode() for w in words], ids)
+    units = sorted({u for t in texts[-100:] for u in pairs.pre_tokens(t) if len(u) < 30}, key=str.encode)
+    ids = [tuple(np.frombuffer(x, "<u4").tolist()) for x in pairs.merged_bytes(units)]
+    lexicon = lc.compile_lexicon([u.encode() for u in units], ids)
     want = [e.ids for e in library.encode_batch(texts, add_special_tokens=False)]
     for codec in (lc.Codec(FILE), lc.Codec(FILE, lexicon)):
-        got = [np.frombuffer(x, "<u4").tolist() for x in codec.encode_batch(texts)]
-        assert got == want
-        assert [codec.decode(np.array(x, "<u4").tobytes()) for x in want] == [library.decode(x, skip_special_tokens=False) for x in want]
+        assert ids_of(codec, texts) == want
+        n = np.array([len(x) for x in want])
+        assert codec.decode(np.array([i for x in want for i in x]), n).to_pylist() == [library.decode(x, skip_special_tokens=False) for x in want]
+        assert ids_of(codec, []) == []
     # ids that cut a character in two decode to replacement characters, as in the library
-    broken = [pairs.of_byte[0xE4], pairs.of_byte[0x61], pairs.of_byte[0xB8], 50256]
-    assert codec.decode(np.array(broken, "<u4").tobytes()) == library.decode([int(i) for i in broken], skip_special_tokens=False)
+    broken = [int(i) for i in (pairs.of_byte[0xE4], pairs.of_byte[0x61], pairs.of_byte[0xB8], 50256)]
+    assert codec.decode(np.array(broken), np.array([4])).to_pylist() == [library.decode(broken, skip_special_tokens=False)]
+
+
+def test_every_character_is_cut_as_the_library_cuts_it(library):
+    pairs = lc.BytePairs(FILE)
+    for block in range(0, 0x3000, 64):
+        text = "".join(f"a{chr(c)}b1{chr(c)}2 {chr(c)} !{chr(c)}?" for c in range(block, block + 64))
+        assert pairs.pre_tokens(text) == [text[a:b] for _, (a, b) in library.pre_tokenizer.pre_tokenize_str(text)]
 
 
 def test_memory_is_bounded_and_results_stay(library, monkeypatch):
@@ -83,16 +98,17 @@ def test_memory_is_bounded_and_results_stay(library, monkeypatch):
     rng, codec = random.Random(3), lc.Codec(FILE)
     for _ in range(20):
         batch = [" ".join(rng.choice(["alpha", "beta", "w" * 90, f"n{rng.randrange(200)}"]) for _ in range(40)) for _ in range(5)]
-        assert [np.frombuffer(x, "<u4").tolist() for x in codec.encode_batch(batch)] == [library.encode(t).ids for t in batch]
-        assert not any(len(w) > lc.WORD_BYTES for w in codec.known)
-    assert codec.held < 5000 + 200 * 300 and len(codec.older) < 300
+        assert ids_of(codec, batch) == [library.encode(t).ids for t in batch]
+        for memory in (codec.words, codec.units):
+            assert not any(len(w) > lc.WORD_BYTES for w in memory.known)
+            assert memory.held <= 5000 and len(memory.older) < 100
 
 
 def test_summary_never_misses_a_frequent_word():
     rng, s = random.Random(4), lc.Summary(size=20)
     words = [f"r{rng.randrange(5000)}" if rng.random() < 0.6 else f"f{rng.randrange(4)}" for _ in range(20_000)]
     for i in range(0, len(words), 50):
-        s.add(words[i:i + 50])
+        s.add(pa.array(words[i:i + 50]))
     s.shrink()
     assert len(s.counts) <= 20 and {f"f{i}" for i in range(4)} <= set(s.counts)
     assert all(0 <= words.count(f"f{i}") - s.counts[f"f{i}"] <= len(words) / 20 for i in range(4))
@@ -102,8 +118,8 @@ def test_encode_decode_of_odd_tables(spark, library):
     rows = [(1, "the cat sat on the mat", "s"), (2, None, "s"), (3, "", "s"), (None, "no id <|endoftext|>", None), (4, "the " * 20_000, "s"),
             (5, "\u00e9 \t x", "s"), (5, "\u00e9 \t x", "s")]
     got = lc.encode_decode(docs(spark, rows), FILE, lexicon_words=3).collect()
-    assert sorted((r["doc_id"] or 0, r["text"], np.frombuffer(r["ids"], "<u4").tolist(), r["decoded"]) for r in got) == sorted(
-        (i or 0, t or "", library.encode(t or "").ids, t or "") for i, t, _ in rows)
+    assert sorted((r["doc_id"] or 0, r["n_tokens"], np.frombuffer(r["ids"], "<u4").tolist(), r["decoded"]) for r in got) == sorted(
+        (i or 0, len(library.encode(t or "").ids), library.encode(t or "").ids, t or "") for i, t, _ in rows)
     assert lc.encode_decode(docs(spark, []), FILE).count() == 0
 
 
