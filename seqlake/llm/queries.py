@@ -39,38 +39,45 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(cut, capacity=2048)
 
 
-LINE_WORDS = 10   # op6 looks only at lines of as many words, as its statement does
-
 OP6_SQL = f"""
 WITH docs AS (
   SELECT DISTINCT doc_id, coalesce(text, '') AS text FROM documents),
-lines AS (
-  SELECT doc_id, text, unnest(string_split(text, chr(10))) AS line,
-         unnest(range(len(string_split(text, chr(10))))) AS pos
-  FROM docs),
-words AS (
-  SELECT doc_id, text, pos, line,
-         trim(regexp_replace(translate(line, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
-                             '[\\x09-\\x0D ]+', ' ', 'g')) AS unit
-  FROM lines),
+stops AS (
+  SELECT doc_id, regexp_replace(regexp_replace(text, '(\n|[.!?][\x20\x09-\x0D])([^\x1E\x20\x09-\x0D])', '\\1' || chr(30) || '\\2', 'g'),
+    '(\n|[.!?][\x20\x09-\x0D])([^\x1E\x20\x09-\x0D])', '\\1' || chr(30) || '\\2', 'g') AS text FROM docs),
+marked AS (
+  SELECT doc_id, regexp_replace(text, '([\x20\x09-\x0D])([A-Z\xC0-\xD6\xD8-\xDE])', '\\1' || chr(30) || '\\2', 'g') AS text FROM stops),
+cut AS (
+  SELECT doc_id, unnest(string_split(text, chr(30))) AS unit, unnest(range(len(string_split(text, chr(30))))) AS pos FROM marked),
+plain AS (
+  SELECT doc_id, pos, unit,
+         trim(regexp_replace(translate(unit, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                             '[\x09-\x0D ]+', ' ', 'g')) AS form
+  FROM cut),
 ranked AS (
-  SELECT *, unit <> '' AND len(string_split(unit, ' ')) >= {LINE_WORDS} AND
-            row_number() OVER (PARTITION BY unit ORDER BY doc_id, pos) > 1 AS gone,
-         coalesce(sum(length(line) + 1) OVER (PARTITION BY doc_id ORDER BY pos
-                  ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start
-  FROM words)
-SELECT doc_id,
-       coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (NOT gone), '') AS text,
-       count(*) FILTER (gone) AS n_removed,
-       coalesce(string_agg(CAST(start AS BIGINT) || '-' || CAST(start + length(line) AS BIGINT), ',' ORDER BY pos)
-                FILTER (gone), '') AS removed
-FROM ranked GROUP BY doc_id"""
+  SELECT *, row_number() OVER (PARTITION BY form ORDER BY doc_id, pos) > 1 AS again,
+         coalesce(sum(length(unit)) OVER (PARTITION BY doc_id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start,
+         CASE WHEN form = '' THEN 0 ELSE len(string_split(form, ' ')) END AS words, strlen(form) AS size
+  FROM plain),
+islands AS (
+  SELECT *, pos - row_number() OVER (PARTITION BY doc_id, again ORDER BY pos) AS island FROM ranked),
+runs AS (
+  SELECT *, again AND (sum(words) OVER run >= {line_dedup.MIN_WORDS} OR sum(size) OVER run >= {line_dedup.MIN_BYTES})
+            AND 2 * sum(CASE WHEN size >= {line_dedup.CLEAR_BYTES} THEN size ELSE 0 END) OVER run >= sum(size) OVER run AS gone
+  FROM islands WINDOW run AS (PARTITION BY doc_id, again, island)),
+spans AS (
+  SELECT doc_id, island, min(start)::BIGINT AS low, max(start + length(unit))::BIGINT AS high FROM runs WHERE gone GROUP BY doc_id, island),
+removed AS (
+  SELECT doc_id, count(*) AS n_removed, string_agg(low || '-' || high, ',' ORDER BY low) AS removed FROM spans GROUP BY doc_id),
+texts AS (
+  SELECT doc_id, coalesce(string_agg(unit, '' ORDER BY pos) FILTER (NOT gone), '') AS text FROM runs GROUP BY doc_id)
+SELECT doc_id, text, coalesce(n_removed, 0) AS n_removed, coalesce(removed, '') AS removed
+FROM texts LEFT JOIN removed USING (doc_id)"""
 
 
 @register("op6_line_dedup", OP6_SQL)
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    out = line_dedup.dedup_units(docs, min_words=LINE_WORDS, min_bytes=None)
+    out = line_dedup.dedup_units(table(spark, sf_dir, "documents").select("doc_id", "text"))
     spans = F.transform("removed_spans", lambda s: F.concat_ws("-", s["start"].cast("string"), s["end"].cast("string")))
     return out.select("doc_id", "text", F.size("removed_spans").cast("bigint").alias("n_removed"),
                       F.array_join(spans, ",").alias("removed"))

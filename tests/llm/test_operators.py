@@ -228,33 +228,6 @@ def test_cascade_is_exact_on_its_universe(spark):
     assert len(shards.shards) > 1 and set(np.array(keys)[shards.has(keys)]) == listed
 
 
-def test_line_dedup(spark):
-    unit = "One two three four five six seven eight nine TEN"
-    rows = [(2, f"{unit}\nx\n{unit}", "s"), (1, f"short\n  one two three four five six seven eight\tnine ten", "s"), (3, None, "s"),
-            (4, f"é\n{unit}", "s"), (4, f"é\n{unit}", "s"), (None, unit, None), (5, "short", "s")]
-    got = sorted((str(r["doc_id"]), r["text"], [tuple(s) for s in r["removed_spans"]], r["size"])
-                 for r in line_dedup.dedup_units(docs(spark, rows)).collect())
-    n = len(unit)
-    assert got == sorted([("1", rows[1][1], [], 7), ("2", "x", [(0, n), (n + 3, 2 * n + 3)], 7), ("3", "", [], 7),
-                          ("4", "é", [(2, n + 2)], 7), ("4", "é", [(2, n + 2)], 7), ("None", "", [(0, n)], 7), ("5", "short", [], 7)])
-
-
-def test_line_dedup_cuts_short_lines_too(spark):
-    """Frequent short lines, passages set in short lines and text without blanks; a lone rare short line stays."""
-    passage = "\n".join(f"verse {c * 9}" for c in "abcdefgh")                # eight lines of two words, 15 bytes each
-    chinese = "\u5929\u5730\u7384\u9ec3" * 5                                 # one word, 60 bytes
-    rows = [(i, f"Read  more\nown {i}", "s") for i in range(10)]
-    rows += [(20, f"{passage}\n{chinese}\nmine", "s"), (21, f"x\n{chinese}\ny", "s"),
-             (22, "top\n" + passage.replace("\n", "\n\n", 1) + "\nend", "s"), (23, "a\nverse aaaaaaaaa\nb", "s")]
-    rows += [(30, "twin", "s"), *[(31, "twin\nz", "s")] * 12]                 # one document, however often its row is there
-    got = {r["doc_id"]: (r["text"], len(r["removed_spans"])) for r in line_dedup.dedup_units(docs(spark, rows)).collect()}
-    want = {i: (f"own {i}", 1) for i in range(1, 10)} | {0: (rows[0][1], 0), 20: (rows[10][1], 0), 21: ("x\ny", 1)}
-    want |= {22: ("top\n\nend", 8), 23: (rows[13][1], 0), 30: ("twin", 0), 31: ("twin\nz", 0)}
-    assert got == want
-    few = line_dedup.dedup_units(docs(spark, rows[:9])).collect()             # nine documents: not frequent
-    assert all(not r["removed_spans"] for r in few)
-
-
 def test_context_tree(spark, corpus, monkeypatch):
     got = context_tree.score(docs(spark, corpus)).collect()
     joined = context_tree.score(docs(spark, corpus), max_model_rows=0, frequent=5).collect()    # the ways for large models
