@@ -13,8 +13,6 @@ from pyspark.sql import functions as F
 from seqlake.llm import line_dedup, mixing, packing, quality, simhash_dedup
 from seqlake.session import settle
 
-LINE_WORDS = 10
-
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier rejects go."""
@@ -27,8 +25,9 @@ def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def substring_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Lines that repeat an earlier document's are cut from the texts, short ones if frequent or in a run of repeats."""
-    out = line_dedup.dedup_units(docs, min_words=LINE_WORDS).drop("removed_spans")
+    """Passages that repeat an earlier document's are cut from the texts."""
+    out = line_dedup.dedup_units(docs)
+    out = out.drop(out.columns[-1])    # the spans that were cut
     if "n_chars" in out.columns:
         out = out.withColumn("n_chars", F.length("text").cast(dict(docs.dtypes)["n_chars"]))
     return out
