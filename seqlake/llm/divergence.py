@@ -32,7 +32,7 @@ from seqlake.llm.common import same
 from seqlake.llm.ragged import byte_slices, offsets_of, spread, text_buffer
 from seqlake.session import settle
 
-SLICE_BYTES = 12 << 20     # of text whose pointers are sorted together
+SLICE_BYTES = 6 << 20      # of text whose pointers are sorted together
 SOURCE_BLOCK = 512         # sources of a lang whose pair sums one matrix holds
 MATRICES = 32              # of a task, before they are sent on
 CELLS = 1 << 19            # of a block of terms times sources
