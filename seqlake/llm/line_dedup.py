@@ -36,7 +36,7 @@ from seqlake.session import settle
 MIN_WORDS, MIN_BYTES = 40, 400    # of a repeated passage
 CLEAR_BYTES = 16                  # of a unit that does not recur by chance
 HOT_ROWS, FEW_HOT = 1_000, 100_000    # a digest is hot from HOT_ROWS rows on, and from a FEW_HOT-th of all rows on
-SLICE_BYTES = 4 << 20             # of text cut together
+SLICE_BYTES = 1 << 20             # of text cut together: some numbers are kept for every byte
 SPANS = "array<struct<start:bigint,end:bigint>>"
 
 _BLANK = np.zeros(256, dtype=bool)
@@ -146,7 +146,7 @@ def dedup_units(docs: DataFrame, min_words: int = MIN_WORDS, min_bytes: int = MI
         T.StructField("start", T.LongType()), T.StructField("end", T.LongType())])))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (b for part in byte_slices(batches, text_col, SLICE_BYTES) for b in part.combine_chunks().to_batches()):
             later = batch.column(batch.num_columns - 1)
             texts = batch.column(place)
             hit = np.flatnonzero(later.is_valid())
