@@ -1,7 +1,7 @@
 """Helpers shared by the training-data operators."""
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 ROWS_PER_ARROW_BATCH = 256   # whole texts travel in small batches: a batch of very long ones must fit a worker
@@ -33,3 +33,17 @@ def same(*pairs: tuple[Column, Column]) -> Column:
     for a, b in pairs:
         out = a.eqNullSafe(b) if out is None else out & a.eqNullSafe(b)
     return out
+
+
+def counts_before(counts: DataFrame, key: str, block: str, n: str, name: str, bits: int = 12) -> DataFrame:
+    """``counts`` (key, block, n; block a whole number) with the sum of ``n`` over the key's earlier blocks as ``name``.
+    Sums run inside groups of 2**bits blocks and then over the groups, so a hot key is not one window."""
+    group = F.shiftright(block, bits).alias("block_group")
+    earlier = lambda by, order: F.coalesce(F.sum(n).over(
+        Window.partitionBy(*by).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    groups = counts.groupBy(key, group).agg(F.sum(n).alias(n)).withColumn("group_before", earlier([key], "block_group"))
+    inside = counts.withColumn("block_group", group).withColumn("inside_before", earlier([key, "block_group"], block))
+    return (inside.join(groups.select(F.col(key).alias("group_key"), F.col("block_group").alias("group_no"), "group_before"),
+                        same((F.col(key), F.col("group_key")), (F.col("block_group"), F.col("group_no"))))
+            .withColumn(name, F.col("inside_before") + F.col("group_before"))
+            .drop("group_key", "group_no", "group_before", "inside_before", "block_group"))

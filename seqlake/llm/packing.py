@@ -7,7 +7,7 @@ the corpus size. Lengths above a third of the capacity are matched greedily, at
 sequence (longest first, each with the longest partner that still fits); the shorter lengths,
 longest first, go to the fullest sequences that can still take them. The plan is kept as runs of
 equal sequences. Each piece then finds its place from its rank among the pieces of its length;
-ranks come from counts per (length, block of rows), so no length, however common, is ever sorted
+ranks come from counts per (length, block of rows), summed in two levels, so no length, however common, is ever sorted
 in one task.
 
 Defined results: a null or empty text is one piece holding the end id; repeated rows are packed
@@ -18,7 +18,6 @@ from __future__ import annotations
 
 import base64
 import json
-import re
 import zlib
 from array import array
 from collections.abc import Iterator
@@ -26,27 +25,25 @@ from functools import lru_cache
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from seqlake.llm.common import small_batches, texts
+from seqlake.llm.common import counts_before, texts
+from seqlake.llm.lexicon_codec import Memory, cut_words, spelled
+from seqlake.llm.ragged import byte_slices, offsets_of, spread
 from seqlake.session import settle
 
-CACHED_CHUNKS = 250_000    # remembered chunks per Python worker; beyond, the memory starts afresh
+SLICE_BYTES = 4 << 20      # of text encoded together
 ROWS_PER_RANK_BLOCK = 12   # as a power of two
 PIECE_SCHEMA = "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint"
 PIECE_COLUMNS = [c.split()[0] for c in PIECE_SCHEMA.split(", ")]
 PLACED_SCHEMA = PIECE_SCHEMA + ", sequence_id bigint, offset bigint"
 
-# A pre-token never ends inside a run of other characters than white space and never goes on over
-# the blank after it, so text may be cut before any blank or newline that follows such a
-# character; texts with further white space are encoded whole.
-_CHUNK = re.compile(r"[ \n]*[^ \n]+|[ \n]+")
-_OTHER_SPACE = re.compile("[^\\S \n]|[\u180e\u200b]")
-
 
 class ChunkEncoder:
-    """Token ids of whole texts as little-endian uint32 bytes, remembering chunks already encoded.
+    """Token ids of whole texts. Of a slice of texts only the distinct words (cut at blanks, which no pre-token spans)
+    are encoded, and words met before are remembered, bounded in bytes.
 
     Without ``ranks_file`` the tokenizer itself encodes. With one (the same vocabulary as ranks, and its
     pattern), the faster rank encoder does, and the tokenizer only texts with a special token's string;
@@ -61,7 +58,7 @@ class ChunkEncoder:
             with open(ranks_file, "rb") as f:
                 ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, f)}
             self.ranks = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
-        self.known: dict[str, bytes] = {}
+        self.words = Memory()
 
     def _encode(self, text: str) -> bytes:
         if self.ranks is not None and not any(s in text for s in self.special):
@@ -71,16 +68,23 @@ class ChunkEncoder:
             self.tokenizer = Tokenizer.from_file(self.tokenizer_file)
         return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
 
-    def encode(self, text: str) -> bytes:
-        if _OTHER_SPACE.search(text):
-            return self._encode(text)
-        chunks, known = _CHUNK.findall(text), self.known
-        if len(known) > CACHED_CHUNKS:
-            known.clear()
-        for c in chunks:
-            if c not in known:
-                known[c] = self._encode(c)
-        return b"".join(map(known.__getitem__, chunks))
+    def _words(self, words: list[str]) -> list[bytes]:
+        return [self._encode(spelled(w)) for w in words]
+
+    def encode(self, text: pa.Array) -> list[bytes]:
+        """The ids of each text (none null) as little-endian uint32."""
+        words, at, odd = cut_words(text, self.special)
+        coded = words.dictionary_encode()
+        which = np.asarray(coded.indices)
+        raw = self.words.recall(coded.dictionary.to_numpy(zero_copy_only=False).tolist(), self._words)
+        size = np.fromiter(map(len, raw), dtype=np.int64, count=len(raw)) // 4
+        n_word = size[which]
+        ids = np.frombuffer(b"".join(raw), "<u4")[spread(offsets_of(size)[:-1][which], n_word)].tobytes()
+        ends = (4 * offsets_of(n_word)[at]).tolist()
+        out = [ids[a:b] for a, b in zip(ends, ends[1:])]
+        for i in odd.tolist():      # with other white space, or a special token's string
+            out[i] = self._encode(text[i].as_py())
+        return out
 
 
 @lru_cache(maxsize=1)
@@ -100,22 +104,22 @@ def pieces(docs: DataFrame, tokenizer_file: str, ranks_file: str | None = None,
            capacity: int = 2048, end_id: int = 0, id_col: str = "doc_id",
            text_col: str = "text") -> DataFrame:
     """One row per piece: doc_id, piece, start, length, ids_crc32 (of its little-endian uint32 ids)."""
-    small_batches(docs.sparkSession)
     end = np.array([end_id], dtype="<u4").tobytes()
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = encoder_of(tokenizer_file, ranks_file, pattern)
-        for pdf in batches:
+        for part in byte_slices(batches, "text", SLICE_BYTES):
             rows = []
-            for i, text in enumerate(pdf["text"]):
-                ids = encoder.encode(text) + end
+            for i, ids in enumerate(encoder.encode(part.column("text").combine_chunks())):
+                ids += end
                 for k, (start, length) in enumerate(cut(len(ids) // 4, capacity)):
                     rows.append((i, k, start, length, zlib.crc32(ids[4 * start:4 * (start + length)])))
-            out = pd.DataFrame(rows, columns=["row", "piece", "start", "length", "ids_crc32"])
-            out.insert(0, "doc_id", pdf["doc_id"].array[out.pop("row").to_numpy(dtype=np.int64)])
-            yield out
+            row, piece, start, length, crc = zip(*rows)
+            yield pa.record_batch({"doc_id": part.column("doc_id").combine_chunks().take(pa.array(row, pa.int64())),
+                                   "piece": pa.array(piece, pa.int32()), "start": pa.array(start, pa.int64()),
+                                   "length": pa.array(length, pa.int64()), "ids_crc32": pa.array(crc, pa.int64())})
 
-    return texts(docs, id_col, text_col).mapInPandas(run, PIECE_SCHEMA)
+    return texts(docs, id_col, text_col).mapInArrow(run, PIECE_SCHEMA)
 
 
 def plan_bins(counts: dict[int, int], capacity: int) -> list[tuple[int, list[int]]]:
@@ -196,8 +200,7 @@ def pack(cut_pieces: DataFrame, capacity: int = 2048) -> DataFrame:
     counts = settle(numbered.groupBy("length", block.alias("block")).agg(F.count("*").alias("n")))
     by_length = counts.groupBy("length").agg(F.sum("n").alias("n")).collect()   # a row per length: at most `capacity`
     plan = spark.sparkContext.broadcast(places(plan_bins({r["length"]: r["n"] for r in by_length}, capacity)))
-    before = Window.partitionBy("length").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.select("length", "block", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before"))
+    offsets = counts_before(counts, "length", "block", "n", "before").drop("n")
     in_block = Window.partitionBy("length", "block").orderBy("rid")
     ranked = (numbered.withColumn("block", block).withColumn("rank", F.row_number().over(in_block) - 1)
               .join(offsets, ["length", "block"]).withColumn("rank", F.col("rank") + F.col("before"))

@@ -6,10 +6,11 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from seqlake.llm import (context_tree, lattice_dedup, line_dedup, mixing, packing, quality, simhash_dedup, simhash_fingerprint,
+from seqlake.llm import (common, context_tree, lattice_dedup, line_dedup, mixing, packing, quality, simhash_dedup, simhash_fingerprint,
                          token_counts, url_filter)
 
 DOCS = "doc_id bigint, text string, lang string, source string, n_chars bigint, fp string, size int, rid int"
@@ -344,6 +345,14 @@ def test_packing(spark, corpus):
         assert sorted((str(r["doc_id"]), r["piece"], r["start"], r["length"], r["ids_crc32"]) for r in got) == sorted(want)
 
 
+def test_counts_before_in_two_levels(spark):
+    rng = random.Random(8)
+    rows = [(k, b, rng.randrange(1, 9)) for k in (1, 2, None) for b in sorted(rng.sample(range(60), 25))]
+    got = common.counts_before(spark.createDataFrame(rows, "key int, block bigint, n bigint"), "key", "block", "n", "before", bits=2)
+    want = [(k, b, n, sum(m for j, c, m in rows if j == k and c < b)) for k, b, n in rows]
+    assert sorted((tuple(r) for r in got.collect()), key=str) == sorted(want, key=str)
+
+
 def test_plan_is_valid_and_tight():
     rng = random.Random(4)
     for _ in range(20):
@@ -364,9 +373,9 @@ def test_chunk_encoder_equals_the_tokenizer():
                                                                         public_tokenizers.PATTERN)
     rng = random.Random(6)
     parts = ["a", "the", " ", "  ", "\n", "\t", "\u00a0", "'s", "1", "!?", "é", "漢", "😀", "<|endoftext|>", "\r\n", "\x1c", "\u2003"]
-    for _ in range(1500):
-        text = "".join(rng.choice(parts) for _ in range(rng.randrange(25)))
-        assert np.frombuffer(encoder.encode(text), dtype="<u4").tolist() == tokenizer.encode(text, add_special_tokens=False).ids, repr(text)
+    texts = ["".join(rng.choice(parts) for _ in range(rng.randrange(25))) for _ in range(1500)]
+    for text, ids in zip(texts, encoder.encode(pa.array(texts))):
+        assert np.frombuffer(ids, dtype="<u4").tolist() == tokenizer.encode(text, add_special_tokens=False).ids, repr(text)
     for c in itertools.chain(range(0x3000), range(0x3000, 0x110000, 251)):
         if not 0xD800 <= c < 0xE000:
             text = f"a{chr(c)}1 {chr(c)}!{chr(c)}"
