@@ -8,15 +8,19 @@ context at all; a decision's probability is mixed along the path of its contexts
 weights, and the path ends where training has not seen the context. Probabilities sum to one over all texts, and the
 negative logarithm is the code length.
 
-Training counts every (context, byte) of the training texts over the whole corpus: batches count
-their own, then Spark adds them up. Trees are built in shards by the last two context bytes, whose
-deeper contexts are all in the shard; only the two levels above (at most 65,536 nodes) pass through the driver. Every
-(context, byte) of the corpus then has its probability in a table. That table grows with the corpus:
-while it has at most ``max_model_rows`` rows it is broadcast, beyond that texts are scored by
-joining their (context, byte) counts with it; both give the same scores.
+The work runs on blocks of documents (about ``BLOCK_BYTES`` of text, packed into one row of a written table)
+and shards of the model (by the last two context bytes, whose deeper contexts are all in the shard):
 
-The unigram base needs each token's training count. The frequent words (over one
-``FREQUENT``-th of all tokens, so fewer than ``FREQUENT`` words) are broadcast; the rest are joined by a 96-bit hash.
+1. every block asks once for the distinct (context, byte) keys it holds, as sorted packed arrays, one row per shard,
+   with its training counts;
+2. a shard adds up the counts of all blocks, builds its trees, and keeps them as one row. Only the two levels above the
+   shards (at most 65,536 nodes) pass through the driver and are broadcast;
+3. the rows of a shard lie together, the model's first: each block's keys get their log probabilities. Keys that training
+   has not seen are scored from the deepest context it has, and are in no table;
+4. the rows of a block lie together, the answers first: its documents are scored with them.
+
+Words for the unigram base go the same way, in shards of their 64-bit hashes. Nothing is joined a
+row per document and key, nothing that grows with the corpus is broadcast, and a task holds one block or one shard.
 
 Defined results: a null or empty text is the end mark alone; a null doc_id belongs to training;
 repeated rows are separate documents; without training texts every decision has probability 1/2
@@ -25,53 +29,132 @@ and the base is that of an empty count; an empty table gives an empty table; ext
 from __future__ import annotations
 
 import math
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from seqlake.llm.common import small_batches, texts
+from seqlake.llm.common import texts
+from seqlake.llm.ragged import byte_slices, offsets_of, text_buffer
 from seqlake.session import settle
 
 DEPTH = 6                  # context bytes; a key has one more, at most seven in all
-SHARD_ROWS = 100_000       # distinct (context, byte) rows of a tree shard, on average
-MAX_MODEL_ROWS = 4_000_000  # in a table of at most 100 MB
-FREQUENT = 2_000_000       # 20 bytes each
-FLUSH_BYTES = 8 << 20      # a batch counts this much text before it passes its counts on
-KEPT_WORDS = 300_000       # remembered words per Python worker; beyond, the memory starts afresh
-END = b"\n"                # cannot be in a word
+BLOCK_BYTES = 32 << 20     # of text in a block
+PIECE = 1 << 22            # bytes of a block whose keys are made at a time
+SHARD_BYTES = 8 << 20      # of text for each shard of keys, and of words
+MERGE_AT = 1 << 23         # keys of several blocks that a shard holds before it adds them up
+END = 10                   # the end mark: a line break, which cannot be in a word
 LOG_HALF = math.log(0.5)
+GRAMS, WORDS = 0, 1
 
+_BLANK = np.zeros(256, dtype=bool)
+_BLANK[[0x20, *range(9, 14)]] = True
+_LOWER = np.arange(256, dtype=np.uint8)
+_LOWER[0x41:0x5B] += 32
 
-# --- texts as byte decisions -------------------------------------------------------------------
 
-def words_of(text: str) -> list[bytes]:
-    return text.encode("utf-8", "replace").lower().split()
+# --- packed arrays -----------------------------------------------------------------------------
 
+def packed(values: np.ndarray, ascending: bool = False) -> bytes:
+    """Whole numbers as compressed bytes, the differences if they ascend; equal places of all numbers lie together."""
+    values = values.astype(np.int64)
+    if ascending:
+        values = np.diff(values, prepend=np.int64(0))
+    return zstandard.compress(values.view(np.uint8).reshape(-1, 8).T.tobytes(), 1)
 
-def grams(streams: list[bytes], depth: int) -> tuple[np.ndarray, np.ndarray]:
-    """(keys, lengths): per byte of each stream the number whose bytes are its context, nearest first, and itself."""
-    pad = END * depth
-    joined = np.frombuffer(b"".join(pad + s for s in streams), dtype=np.uint8).astype(np.int64)
-    lengths = np.array([len(s) for s in streams], dtype=np.int64)
-    real = np.ones(len(joined), dtype=bool)
-    starts = np.cumsum(lengths + depth) - (lengths + depth)
-    real[(starts[:, None] + np.arange(depth)).ravel()] = False
-    at = np.flatnonzero(real)
-    keys = joined[at]
-    for d in range(1, depth + 1):
-        keys = keys | joined[at - d] << (8 * (depth + 1 - d))
-    return keys, lengths
+
+def unpacked(data: bytes, ascending: bool = False) -> np.ndarray:
+    raw = np.frombuffer(zstandard.decompress(data), dtype=np.uint8)
+    values = np.ascontiguousarray(raw.reshape(8, -1).T).view(np.int64).reshape(-1)
+    return np.cumsum(values) if ascending else values
 
 
-def word_key(word: bytes) -> tuple[int, int]:
-    h = xxhash.xxh3_128_intdigest(word)
-    low = h & (1 << 64) - 1
-    return low - (1 << 64) if low >> 63 else low, h >> 64 & 0x7FFFFFFF
+# --- texts as byte decisions -------------------------------------------------------------------
+
+def stream(data: np.ndarray, doc_at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(bytes, offsets): the texts as their lower-cased words with one blank between them and the end mark after them."""
+    n, blank = len(data), _BLANK[data]
+    solid = np.flatnonzero(~blank)
+    keep = ~blank
+    doc = np.searchsorted(doc_at, solid, side="right")
+    gap = np.flatnonzero((np.diff(solid) > 1) & (doc[1:] == doc[:-1])) + 1      # a word after white space in the same text
+    keep[solid[gap] - 1] = True
+    at = offsets_of(keep)[doc_at]
+    plain = np.where(blank, np.uint8(0x20), _LOWER[data])[keep]
+    docs = len(doc_at) - 1
+    out = np.full(len(plain) + docs, END, dtype=np.uint8)
+    lengths = np.diff(at)
+    out[np.arange(len(plain)) + np.repeat(np.arange(docs), lengths)] = plain
+    return out, offsets_of(lengths + 1)
+
+
+def grams(data: np.ndarray, doc_at: np.ndarray, lo: int, hi: int, depth: int) -> np.ndarray:
+    """For every byte from ``lo`` to ``hi`` of the streams the number whose bytes are its context, nearest first, and itself."""
+    place = np.arange(lo, hi)
+    inside = place - doc_at[np.searchsorted(doc_at, place, side="right") - 1]      # bytes before it in its stream
+    keys = data[lo:hi].astype(np.int64)
+    for d in range(1, depth + 1):
+        earlier = np.where(inside >= d, data[np.maximum(place - d, 0)], np.uint8(END))
+        keys |= earlier.astype(np.int64) << (8 * (depth + 1 - d))
+    return keys
+
+
+def added_up(keys: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct keys, ascending, with the sums of their counts."""
+    key, n = np.concatenate([np.zeros(0, np.int64), *keys]), np.concatenate([np.zeros(0, np.int64), *counts])
+    order = np.argsort(key, kind="stable")
+    key, n = key[order], n[order]
+    first = np.flatnonzero(np.r_[True, key[1:] != key[:-1]]) if len(key) else np.zeros(0, np.int64)
+    return key[first], np.add.reduceat(n, first) if len(first) else n
+
+
+def gram_counts(data: np.ndarray, doc_at: np.ndarray, learnt: int, depth: int) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct keys of the streams with their counts in the first ``learnt`` bytes (the training texts)."""
+    keys, counts = [], []
+    for a, b, weight in ((0, learnt, 1), (learnt, len(data), 0)):
+        for lo in range(a, b, PIECE):
+            found, n = np.unique(grams(data, doc_at, lo, min(lo + PIECE, b), depth), return_counts=True)
+            keys.append(found)
+            counts.append(n * weight)
+    return added_up(keys, counts)
+
+
+def block_words(data: np.ndarray, doc_at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(hashes of the distinct words, number of the distinct word of every word, words of each stream)."""
+    solid = (data != 0x20) & (data != END)
+    first = np.flatnonzero(solid & ~np.r_[False, solid[:-1]])
+    last = np.flatnonzero(solid & ~np.r_[solid[1:], False])
+    words = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(first), [
+        None, pa.py_buffer(offsets_of(last + 1 - first)), pa.py_buffer(data[solid])]).dictionary_encode()
+    digest = xxhash.xxh64_intdigest
+    hashes = np.fromiter((digest(w) for w in words.dictionary.to_pylist()), dtype=np.uint64, count=len(words.dictionary))
+    return hashes.view(np.int64), np.asarray(words.indices), np.diff(np.searchsorted(first, doc_at))
+
+
+class Block:
+    """The documents of a block, training texts first, as one compressed value."""
+
+    @staticmethod
+    def pack(doc_id: pa.Array, held_out: np.ndarray, text: pa.Array) -> bytes:
+        order = np.argsort(held_out, kind="stable")
+        data, at = stream(*text_buffer(text.take(pa.array(order))))
+        ids = doc_id.take(pa.array(order))
+        head = np.array([len(order), int((~held_out).sum())], dtype=np.int64)
+        return zstandard.compress(b"".join([head.tobytes(), np.asarray(ids.fill_null(0)).astype(np.int64).tobytes(),
+                                            np.asarray(ids.is_null()).astype(np.int64).tobytes(), at.tobytes(), data.tobytes()]), 3)
+
+    def __init__(self, payload: bytes):
+        raw = zstandard.decompress(payload)
+        docs, self.training = np.frombuffer(raw, np.int64, 2).tolist()
+        ids, null, self.at = (np.frombuffer(raw, np.int64, n, o) for n, o in ((docs, 16), (docs, 16 + 8 * docs), (docs + 1, 16 + 16 * docs)))
+        self.doc_id = pa.array(ids, pa.int64(), mask=null > 0)
+        self.data = np.frombuffer(raw, np.uint8, offset=24 + 24 * docs)
+        self.learnt = int(self.at[self.training])
 
 
 # --- the tree of a shard -----------------------------------------------------------------------
@@ -153,68 +236,107 @@ def log10_probability(keys: np.ndarray, levels: list[Level], depth: int) -> np.n
 
 # --- Spark jobs --------------------------------------------------------------------------------
 
-COUNT_SCHEMA = "kind int, key bigint, more int, n bigint"    # kind 0: (context, byte); kind 1: word
-
-
-def count_tokens(docs: DataFrame, depth: int) -> DataFrame:
-    """Training counts of every (context, byte) of the corpus and of every training word; ``docs`` (doc_id, text, held_out)."""
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        def flush():
-            learnt, n = np.unique(grams(train, depth)[0], return_counts=True)
-            unseen = np.setdiff1d(grams(held_out, depth)[0], learnt)    # need a probability, count for nothing
-            yield pd.DataFrame({"kind": np.int32(0), "key": np.r_[learnt, unseen], "more": np.int32(0),
-                                "n": np.r_[n, np.zeros(len(unseen), dtype=np.int64)]})
-            hashed = np.array([word_key(w) for w in seen], dtype=np.int64).reshape(-1, 2)
-            yield pd.DataFrame({"kind": np.int32(1), "key": hashed[:, 0], "more": hashed[:, 1].astype(np.int32),
-                                "n": np.array(list(seen.values()), dtype=np.int64)})
-
-        train, held_out, seen, size = [], [], Counter(), 0
-        for pdf in batches:
-            for text, left_out in zip(pdf["text"], pdf["held_out"]):
-                words = words_of(text)
-                stream = b" ".join(words) + END
-                (held_out if left_out else train).append(stream)
-                if not left_out:
-                    seen.update(words)
-                size += len(stream)
-                if size >= FLUSH_BYTES:
-                    yield from flush()
-                    train, held_out, seen, size = [], [], Counter(), 0
-        if train or held_out:
-            yield from flush()
-
-    return (docs.select("text", "held_out").mapInPandas(run, COUNT_SCHEMA)
-            .groupBy("kind", "key", "more").agg(F.sum("n").alias("n")))
-
-
-def model_table(counts: DataFrame, depth: int) -> DataFrame:
-    """(key, logp): log10 probability of every (context, byte) of ``counts`` (key, n)."""
-    spark = counts.sparkSession
-    shards = 1 + counts.count() // SHARD_ROWS
-    shard = F.pmod(F.xxhash64(F.shiftright("key", 8 * (depth - 1))), F.lit(shards)).alias("shard")    # the last two context bytes
-
-    def summarise(pdf: pd.DataFrame) -> pd.DataFrame:
-        top = build(pdf["key"].to_numpy(), pdf["n"].to_numpy(), depth, 2)[-1]
-        return pd.DataFrame({"context": top.nodes >> 16, "number": top.nodes & 255, "zeros": top.zeros, "ones": top.ones,
-                             "below": top.log_weighted})
-
-    upper = (counts.groupBy(shard).applyInPandas(summarise, "context bigint, number bigint, zeros bigint, ones bigint, below double")
-             .groupBy("context", "number").agg(F.sum("zeros").alias("zeros"), F.sum("ones").alias("ones"),
-                                               F.sum("below").alias("below"))
-             .orderBy("context", "number").toArrow().to_pandas())    # at most 256 x 255 rows
-    context, number = (upper[c].to_numpy(dtype=np.int64) for c in ("context", "number"))
-    one = _upper_level(context << 8 | number, upper["zeros"], upper["ones"], upper["below"])
-    by_number = upper.assign(below=one.log_weighted).groupby("number")[["zeros", "ones", "below"]].sum()
+PACKED_SCHEMA = "block bigint, payload binary"
+ASKED_SCHEMA = "kind int, shard bigint, block bigint, keys binary, counts binary, n bigint, tokens bigint, ends bigint"
+MODEL_SCHEMA = "shard bigint, keys binary, counts binary, upper binary, below binary"
+ROW_SCHEMA = "block bigint, place int, kind int, keys binary, answers binary"
+SCORED_SCHEMA = "doc_id bigint, held_out boolean, n_tokens bigint, n_known bigint, base_score double, score double"
+
+
+def packed_blocks(docs: DataFrame) -> DataFrame:
+    """(block, payload); ``docs`` has doc_id, text, held_out."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+        task = TaskContext.get().partitionId() << 32
+        for i, part in enumerate(byte_slices(batches, "text", BLOCK_BYTES)):
+            part = part.combine_chunks()
+            payload = Block.pack(part.column("doc_id").combine_chunks(), np.asarray(part.column("held_out").combine_chunks().cast(pa.uint8())) > 0,
+                                 part.column("text").combine_chunks())
+            yield pa.record_batch({"block": pa.array([task + i]), "payload": pa.array([payload], pa.binary())})
+
+    return docs.select("doc_id", "text", "held_out").mapInArrow(run, PACKED_SCHEMA)
+
+
+def asked(blocks: DataFrame, depth: int, shards: int) -> DataFrame:
+    """What every block asks of every shard: its distinct keys with their training counts; words likewise. ``tokens`` and
+    ``ends`` (training words, training texts) stand in one row of a block."""
+    spread_ = np.random.default_rng(0).permutation(1 << 16) % shards       # shard of the last two context bytes
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for number, payload in zip(batch.column("block").to_pylist(), batch.column("payload")):
+                block, rows = Block(payload.as_py()), []
+                hashes, which, _ = block_words(block.data, block.at)
+                mine = int(np.count_nonzero((block.data[:block.learnt] == 0x20)) + np.count_nonzero(np.diff(block.at[:block.training + 1]) > 1))
+                counts = np.bincount(which[:mine], minlength=len(hashes))
+                order = np.argsort(hashes)
+                keys, n = gram_counts(block.data, block.at, block.learnt, depth)
+                for kind, key, count, shard in (
+                        (GRAMS, keys, n, spread_[keys >> 8 * (depth - 1)]),
+                        (WORDS, hashes[order], counts[order], (hashes[order].view(np.uint64) >> np.uint64(32)).astype(np.int64) * shards >> 32)):
+                    by = np.argsort(shard, kind="stable")
+                    edge = np.searchsorted(shard[by], np.arange(shards + 1))
+                    for s in np.flatnonzero(np.diff(edge)).tolist():
+                        part = by[edge[s]:edge[s + 1]]
+                        rows.append((kind, s, number, packed(key[part], True), packed(count[part]), len(part), 0, 0))
+                rows.append((-1, -1, number, b"", b"", 0, mine, block.training))
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows)], schema=pa.schema([
+                    ("kind", pa.int32()), ("shard", pa.int64()), ("block", pa.int64()), ("keys", pa.binary()), ("counts", pa.binary()),
+                    ("n", pa.int64()), ("tokens", pa.int64()), ("ends", pa.int64())]))
+
+    return blocks.mapInArrow(run, ASKED_SCHEMA)
+
+
+def model_shards(asks: DataFrame, depth: int) -> DataFrame:
+    """One row per shard: its training keys with their counts, and what the two levels above need of its trees: per
+    (nearest context byte, decision) zeros, ones and the logarithm of the weighted probability below."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, keys, counts, held = None, [], [], 0
+
+        def row():
+            key, n = added_up(keys, counts)
+            key, n = key[n > 0], n[n > 0]
+            top = build(key, n, depth, 2)[-1]
+            node, place = np.unique((top.nodes >> 16) << 8 | top.nodes & 255, return_inverse=True)
+            sums = [np.bincount(place, weights=w, minlength=len(node)) for w in (top.zeros, top.ones, top.log_weighted)]
+            upper = np.concatenate([node, *(x.astype(np.int64) for x in sums[:2])])
+            yield pa.record_batch({"shard": pa.array([now]), "keys": pa.array([packed(key, True)], pa.binary()),
+                                   "counts": pa.array([packed(n)], pa.binary()), "upper": pa.array([packed(upper)], pa.binary()),
+                                   "below": pa.array([sums[2].astype(float).tobytes()], pa.binary())})
+
+        for batch in batches:
+            for shard, key, n in zip(batch.column("shard").to_pylist(), batch.column("keys"), batch.column("counts")):
+                if shard != now:
+                    if now is not None:
+                        yield from row()
+                    now, keys, counts, held = shard, [], [], 0
+                keys.append(unpacked(key.as_py(), True))
+                counts.append(unpacked(n.as_py()))
+                held += len(keys[-1])
+                if held > MERGE_AT and len(keys) > 1:
+                    key, n = added_up(keys, counts)
+                    keys, counts, held = [key], [n], len(key) // 2
+        if now is not None:
+            yield from row()
+
+    return (asks.where(F.col("kind") == GRAMS).select("shard", "keys", "counts").repartition("shard")
+            .sortWithinPartitions("shard").mapInArrow(run, MODEL_SCHEMA))
+
+
+def upper_levels(model: DataFrame) -> tuple[Level, Level]:
+    """The levels of one context byte and of none; at most 256 x 255 rows come to the driver."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for upper, below in zip(batch.column("upper"), batch.column("below")):
+                node, zeros, ones = unpacked(upper.as_py()).reshape(3, -1)
+                yield pa.record_batch({"node": node, "zeros": zeros, "ones": ones, "below": np.frombuffer(below.as_py())})
+
+    upper = (model.select("upper", "below").mapInArrow(run, "node bigint, zeros bigint, ones bigint, below double")
+             .groupBy("node").agg(*(F.sum(c).alias(c) for c in ("zeros", "ones", "below"))).orderBy("node").toPandas())
+    one = _upper_level(upper["node"].to_numpy(dtype=np.int64), upper["zeros"], upper["ones"], upper["below"])
+    by_number = upper.assign(number=upper["node"] & 255, below=one.log_weighted).groupby("number")[["zeros", "ones", "below"]].sum()
     none = _upper_level(by_number.index.to_numpy(dtype=np.int64), by_number["zeros"], by_number["ones"], by_number["below"])
-    held = spark.sparkContext.broadcast((one, none))
-
-    def score(pdf: pd.DataFrame) -> pd.DataFrame:
-        keys = pdf["key"].to_numpy()
-        levels = build(keys, pdf["n"].to_numpy(), depth, 2)
-        logp = log10_probability(keys, [*levels, *held.value], depth)
-        return pd.DataFrame({"key": keys, "logp": logp.astype(np.float32)})
-
-    return counts.groupBy(shard).applyInPandas(score, "key bigint, logp float")
+    return one, none
 
 
 def _upper_level(nodes: np.ndarray, zeros: pd.Series, ones: pd.Series, below: pd.Series) -> Level:
@@ -225,6 +347,78 @@ def _upper_level(nodes: np.ndarray, zeros: pd.Series, ones: pd.Series, below: pd
     return level
 
 
+def gram_answers(asks: DataFrame, model: DataFrame, upper, depth: int) -> DataFrame:
+    """(block, place, kind, keys, answers): the log10 probability of every key that a block asks for, as float32."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known, logp, levels = None, None, None
+        for batch in batches:
+            for block, key, n in zip(batch.column("block").to_pylist(), batch.column("keys"), batch.column("counts")):
+                keys = unpacked(key.as_py(), True)
+                if block is None:                # the shard's model
+                    levels = [*build(keys, unpacked(n.as_py()), depth, 2), *upper.value]
+                    known, logp = keys, log10_probability(keys, levels, depth).astype(np.float32)
+                    continue
+                out = np.zeros(len(keys), dtype=np.float32)
+                at = np.minimum(np.searchsorted(known, keys), max(len(known) - 1, 0))
+                seen = known[at] == keys if len(known) else np.zeros(len(keys), dtype=bool)
+                out[seen] = logp[at[seen]]
+                out[~seen] = log10_probability(keys[~seen], levels, depth)
+                yield _answer(block, GRAMS, key.as_py(), out.tobytes())
+
+    rows = asks.where(F.col("kind") == GRAMS).select("shard", "block", "keys", "counts").unionByName(
+        model.select("shard", F.lit(None).cast("bigint").alias("block"), "keys", "counts"))
+    return rows.repartition("shard").sortWithinPartitions("shard", "block").mapInArrow(run, ROW_SCHEMA)
+
+
+def word_answers(asks: DataFrame) -> tuple[DataFrame, int]:
+    """The training count of every word that a block asks for, as rows like those of the keys; and how many words training has."""
+    def merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, keys, counts = None, [], []
+
+        def row():
+            key, n = added_up(keys, counts)
+            yield pa.record_batch({"shard": pa.array([now]), "keys": pa.array([packed(key[n > 0], True)], pa.binary()),
+                                   "counts": pa.array([packed(n[n > 0])], pa.binary()), "n": pa.array([int((n > 0).sum())])})
+
+        for batch in batches:
+            for shard, key, n in zip(batch.column("shard").to_pylist(), batch.column("keys"), batch.column("counts")):
+                if shard != now:
+                    if now is not None:
+                        yield from row()
+                    now, keys, counts = shard, [], []
+                keys.append(unpacked(key.as_py(), True))
+                counts.append(unpacked(n.as_py()))
+                if sum(map(len, keys)) > MERGE_AT and len(keys) > 1:
+                    key, n = added_up(keys, counts)
+                    keys, counts = [key], [n]
+        if now is not None:
+            yield from row()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known, total = None, None
+        for batch in batches:
+            for block, key, n in zip(batch.column("block").to_pylist(), batch.column("keys"), batch.column("counts")):
+                keys = unpacked(key.as_py(), True)
+                if block is None:
+                    known, total = keys, unpacked(n.as_py())
+                    continue
+                at = np.minimum(np.searchsorted(known, keys), max(len(known) - 1, 0))
+                found = np.where(known[at] == keys, total[at], 0) if len(known) else np.zeros(len(keys), np.int64)
+                yield _answer(block, WORDS, key.as_py(), packed(found))
+
+    words = asks.where(F.col("kind") == WORDS).select("shard", "block", "keys", "counts")
+    counted = settle(words.select("shard", "keys", "counts").repartition("shard").sortWithinPartitions("shard")
+                     .mapInArrow(merged, "shard bigint, keys binary, counts binary, n bigint"))
+    rows = words.unionByName(counted.select("shard", F.lit(None).cast("bigint").alias("block"), "keys", "counts"))
+    distinct = counted.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    return rows.repartition("shard").sortWithinPartitions("shard", "block").mapInArrow(run, ROW_SCHEMA), distinct
+
+
+def _answer(block: int, kind: int, keys: bytes, answers: bytes) -> pa.RecordBatch:
+    return pa.record_batch({"block": pa.array([block]), "place": pa.array([0], pa.int32()), "kind": pa.array([kind], pa.int32()),
+                            "keys": pa.array([keys], pa.binary()), "answers": pa.array([answers], pa.binary())})
+
+
 class Slots:
     """A hash table in numpy: open addressing with linear probing over at least twice as many slots as keys."""
 
@@ -257,98 +451,64 @@ class Slots:
         return out
 
 
-def score(docs: DataFrame, depth: int = DEPTH, max_model_rows: int = MAX_MODEL_ROWS, frequent: int = FREQUENT,
-          id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def scored_block(block: Block, answers: list[tuple[int, bytes, bytes]], depth: int, tokens: int, kinds: int, ends: int) -> pa.RecordBatch:
+    """The documents of a block with their scores; ``answers`` (kind, keys, answers) are those of all shards."""
+    docs = len(block.at) - 1
+    keys = np.concatenate([np.zeros(0, np.int64), *(unpacked(k, True) for kind, k, _ in answers if kind == GRAMS)])
+    logp = np.concatenate([np.zeros(0, np.float32), *(np.frombuffer(a, np.float32) for kind, _, a in answers if kind == GRAMS)])
+    slots, score = Slots(keys, logp), np.zeros(docs)
+    for lo in range(0, len(block.data), PIECE):
+        hi = min(lo + PIECE, len(block.data))
+        sums = offsets_of_floats(slots.look_up(grams(block.data, block.at, lo, hi, depth)))
+        score += np.diff(sums[np.clip(block.at, lo, hi) - lo])
+    hashes, which, words = block_words(block.data, block.at)
+    known = np.concatenate([np.zeros(0, np.int64), *(unpacked(k, True) for kind, k, _ in answers if kind == WORDS)])
+    count = np.concatenate([np.zeros(0, np.int64), *(unpacked(a) for kind, _, a in answers if kind == WORDS)])
+    order = np.argsort(known)
+    c = count[order][np.searchsorted(known[order], hashes)] if len(hashes) else count[:0]
+    denominator = tokens + 0.5 * (kinds + 1)
+    doc = np.repeat(np.arange(docs), words)
+    base = np.bincount(doc, weights=np.log10((c + 0.5) / denominator)[which], minlength=docs) + math.log10((ends + 0.5) / denominator)
+    n_known = np.bincount(doc, weights=(c > 0)[which], minlength=docs).astype(np.int64) + (ends > 0)
+    return pa.record_batch({"doc_id": block.doc_id, "held_out": pa.array(np.arange(docs) >= block.training), "n_tokens": words + 1,
+                            "n_known": n_known, "base_score": base, "score": score})
+
+
+def offsets_of_floats(values: np.ndarray) -> np.ndarray:
+    out = np.zeros(len(values) + 1)
+    np.cumsum(values, out=out[1:])
+    return out
+
+
+def score(docs: DataFrame, depth: int = DEPTH, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score): one row per document row."""
     spark = docs.sparkSession
-    small_batches(spark)
     marked = texts(docs, id_col, text_col).withColumn(
         "held_out", F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))) % 5 == 1)
-    counts = settle(count_tokens(marked, depth))
-    grams_, words = counts.where("kind = 0").select("key", "n"), counts.where("kind = 1").select("key", "more", "n")
-    ends = marked.where("not held_out").count()
-    total, kinds = words.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
-    total, kinds = total + ends, kinds + (ends > 0)
-    denominator = total + 0.5 * (kinds + 1)
-    common = words.where(F.col("n") * frequent > total).toArrow().to_pandas().sort_values("key")    # fewer than `frequent` rows
-    common = tuple(common[c].to_numpy() for c in ("key", "more", "n"))
-    model = settle(model_table(grams_, depth))
-    small = model.count() <= max_model_rows
-    if small:
-        rows = model.toArrow().to_pandas()    # Arrow: no Python object per row
-        slots = Slots(rows["key"].to_numpy(), rows["logp"].to_numpy())
-        del rows
-        held = spark.sparkContext.broadcast((common, slots))
-        del slots
-    else:
-        held = spark.sparkContext.broadcast((common, None))
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        (common_keys, common_mores, common_n), table = held.value
-        met: dict[bytes, tuple[int, float, int, int]] = {}    # word -> (known, log10 share, key, more); known -1: rare
-
-        def meet(word: bytes):
-            key, more = word_key(word)
-            met[word] = -1, 0.0, key, more
-            at = int(np.searchsorted(common_keys, key))
-            while at < len(common_keys) and common_keys[at] == key:
-                if common_mores[at] == more:
-                    met[word] = 1, math.log10((common_n[at] + 0.5) / denominator), key, more
-                at += 1
-            return met[word]
-
-        end = math.log10((ends + 0.5) / denominator)
-        for pdf in batches:
-            if len(met) > KEPT_WORDS:
-                met.clear()
-            out, streams = [], []
-            for text in pdf["text"]:
-                words_ = words_of(text)
-                streams.append(b" ".join(words_) + END)
-                got = [met.get(w) or meet(w) for w in words_]
-                rare = Counter(g[2:] for g in got if g[0] < 0)
-                out.append((len(words_) + 1, len(words_) - rare.total() + (ends > 0), end + sum(g[1] for g in got),
-                            [key for key, _ in rare], [more for _, more in rare], list(rare.values())))
-            columns = ["n_tokens", "n_known", "base_score", "keys", "mores", "times"]
-            pdf[columns] = pd.DataFrame(out, columns=columns, index=pdf.index)
-            pdf["score"] = 0.0
-            if table is not None:
-                pdf["text"] = None
-                pdf["score"] = _sums(streams, table, depth)
-            yield pdf
-
-    scored = settle(marked.mapInPandas(run, "doc_id bigint, held_out boolean, n_tokens bigint, n_known bigint, "
-                                            "base_score double, keys array<bigint>, mores array<int>, times array<int>, "
-                                            "score double, text string")
-                    .withColumn("rid", F.monotonically_increasing_id()))
-    rare = (scored.select("rid", F.inline(F.arrays_zip("keys", "mores", "times")).alias("key", "more", "times"))
-            .join(words.where(F.col("n") * frequent <= total).hint("merge"), ["key", "more"], "left")
-            .groupBy("rid").agg(
-                F.sum(F.col("times") * F.log10((F.coalesce("n", F.lit(0)) + 0.5) / F.lit(denominator))).alias("rare_score"),
-                F.sum(F.when(F.col("n") > 0, F.col("times")).otherwise(0)).alias("rare_known")))
-    out = scored.join(rare.hint("merge"), "rid", "left")
-    if not small:
-        out = out.drop("score").join(_joined_scores(scored, model, depth), "rid")
-    return out.select("doc_id", "held_out", "n_tokens",
-                      (F.col("n_known") + F.coalesce("rare_known", F.lit(0))).alias("n_known"),
-                      F.lit(total).cast("bigint").alias("train_tokens"),
-                      (F.col("base_score") + F.coalesce("rare_score", F.lit(0.0))).alias("base_score"), "score")
-
-
-def _sums(streams: list[bytes], table: Slots, depth: int) -> np.ndarray:
-    if not streams:
-        return np.zeros(0)
-    keys, lengths = grams(streams, depth)
-    return np.add.reduceat(table.look_up(keys), np.cumsum(lengths) - lengths)
-
-
-def _joined_scores(docs: DataFrame, model: DataFrame, depth: int) -> DataFrame:
-    """(rid, score) of ``docs`` (rid, text) by joining their (context, byte) counts with the model."""
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            for rid, text in zip(pdf["rid"], pdf["text"]):
-                unique, n = np.unique(grams([b" ".join(words_of(text)) + END], depth)[0], return_counts=True)
-                yield pd.DataFrame({"rid": rid, "key": unique, "times": n})
-
-    counted = docs.select("rid", "text").mapInPandas(run, "rid bigint, key bigint, times bigint")
-    return counted.join(model.hint("merge"), "key").groupBy("rid").agg(F.sum(F.col("times") * F.col("logp")).alias("score"))
+    blocks = settle(packed_blocks(marked))
+    size = marked.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
+    asks = settle(asked(blocks, depth, int(min(1 << 16, 1 + size // SHARD_BYTES))))
+    tokens, ends = asks.where("kind = -1").agg(F.coalesce(F.sum("tokens"), F.lit(0)), F.coalesce(F.sum("ends"), F.lit(0))).first()
+    model = settle(model_shards(asks, depth))
+    upper = spark.sparkContext.broadcast(upper_levels(model))
+    words, kinds = word_answers(asks)
+    tokens, kinds = tokens + ends, kinds + (ends > 0)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, answers = None, []
+        for batch in batches:
+            for block, place, kind, keys, value in zip(batch.column("block").to_pylist(), batch.column("place").to_pylist(),
+                                                       batch.column("kind").to_pylist(), batch.column("keys"), batch.column("answers")):
+                if block != now:
+                    now, answers = block, []
+                if place == 0:
+                    answers.append((kind, keys.as_py(), value.as_py()))
+                else:
+                    yield scored_block(Block(value.as_py()), answers, depth, tokens, kinds, ends)
+                    answers = []
+
+    payloads = blocks.select("block", F.lit(1).alias("place"), F.lit(None).cast("int").alias("kind"), F.lit(None).cast("binary").alias("keys"),
+                             F.col("payload").alias("answers"))
+    rows = gram_answers(asks, model, upper, depth).unionByName(words).unionByName(payloads)
+    scored = rows.repartition("block").sortWithinPartitions("block", "place").mapInArrow(run, SCORED_SCHEMA)
+    return scored.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(tokens).cast("bigint").alias("train_tokens"), "base_score", "score")

@@ -229,35 +229,6 @@ def test_cascade_is_exact_on_its_universe(spark):
     assert len(shards.shards) > 1 and set(np.array(keys)[shards.has(keys)]) == listed
 
 
-def test_context_tree(spark, corpus, monkeypatch):
-    got = context_tree.score(docs(spark, corpus)).collect()
-    joined = context_tree.score(docs(spark, corpus), max_model_rows=0, frequent=5).collect()    # the ways for large models
-    key = lambda r: (str(r["doc_id"]), r["n_tokens"])
-    assert len(got) == len(joined) == len(corpus)
-    for a, b in zip(sorted(got, key=key), sorted(joined, key=key)):
-        assert key(a) == key(b) and a["n_known"] == b["n_known"]
-        assert a["score"] == pytest.approx(b["score"], rel=1e-6) and a["base_score"] == pytest.approx(b["base_score"])
-    train = [(t or "").encode().lower().split() for i, t, _ in corpus if i is None or zlib.crc32(str(i).encode()) % 5 != 1]
-    counts = {}
-    for text in train:
-        for w in [*text, None]:
-            counts[w] = counts.get(w, 0) + 1
-    total = sum(counts.values())
-    first = next(r for r in got if r["doc_id"] == 0)
-    tokens = [*corpus[0][1].encode().split(), None]
-    assert first["train_tokens"] == total and first["n_tokens"] == len(tokens)
-    assert first["base_score"] == pytest.approx(sum(
-        math.log10((counts.get(w, 0) + 0.5) / (total + 0.5 * (len(counts) + 1))) for w in tokens))
-
-
-def test_context_reaches_six_bytes(spark):
-    """The byte that tells the next one apart is the sixth before it: five bytes cannot, six can, either way."""
-    rows = [(i, f"{c}aaaaa{c}" * 3, "s") for i in range(60) for c in "xy"]
-    scores = [sum(r["score"] for r in context_tree.score(docs(spark, rows), **way).collect() if r["held_out"])
-              for way in ({}, {"max_model_rows": 0}, {"depth": 5})]
-    assert scores[0] == pytest.approx(scores[1], rel=1e-6) and scores[0] > 0.7 * scores[2]    # logarithms: less is worse
-
-
 def test_context_tree_weights_by_hand():
     """Depth 2 over a short text: the weighted probability equals the recursion over all contexts."""
     keys, _ = context_tree.grams([b"abab\n", b"abba\n"], 2)
