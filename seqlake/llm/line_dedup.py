@@ -33,7 +33,7 @@ from seqlake.llm.common import same
 from seqlake.llm.ragged import byte_slices, offsets_of, text_buffer
 from seqlake.session import settle
 
-MIN_WORDS, MIN_BYTES = 40, 400    # of a repeated passage
+MIN_WORDS, MIN_BYTES = 30, 300    # of a repeated passage
 CLEAR_BYTES = 16                  # of a unit that does not recur by chance
 HOT_ROWS, FEW_HOT = 1_000, 100_000    # a digest is hot from HOT_ROWS rows on, and from a FEW_HOT-th of all rows on
 SLICE_BYTES = 1 << 20             # of text cut together: some numbers are kept for every byte
