@@ -328,10 +328,10 @@ class BytePairs:
 class Memory:
     """What was made for short keys, in two generations bounded in bytes: what is not asked for in the newer one goes."""
 
-    def __init__(self):
+    def __init__(self, limit: int | None = None):
         self.known: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
-        self.held = 0
+        self.held, self.limit = 0, limit or CACHE_BYTES
 
     def recall(self, keys: list[str], make) -> list[bytes]:
         """The values of distinct keys; ``make`` gives those of a list of keys not remembered."""
@@ -347,7 +347,7 @@ class Memory:
             if len(key) <= WORD_BYTES:
                 self.known[key] = x
                 self.held += len(key) + len(x) + ENTRY_BYTES
-        if self.held > CACHE_BYTES:
+        if self.held > self.limit:
             self.known, self.older, self.held = {}, self.known, 0
         return found
 

@@ -34,7 +34,8 @@ from seqlake.llm.lexicon_codec import Memory, cut_words, spelled
 from seqlake.llm.ragged import byte_slices, offsets_of, spread
 from seqlake.session import settle
 
-SLICE_BYTES = 4 << 20      # of text encoded together
+SLICE_BYTES = 8 << 20      # of text encoded together
+CACHE_BYTES = 128 << 20    # of words remembered by a worker, in either of two generations
 ROWS_PER_RANK_BLOCK = 12   # as a power of two
 PIECE_SCHEMA = "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint"
 PIECE_COLUMNS = [c.split()[0] for c in PIECE_SCHEMA.split(", ")]
@@ -58,7 +59,7 @@ class ChunkEncoder:
             with open(ranks_file, "rb") as f:
                 ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, f)}
             self.ranks = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
-        self.words = Memory()
+        self.words = Memory(CACHE_BYTES)
 
     def _encode(self, text: str) -> bytes:
         if self.ranks is not None and not any(s in text for s in self.special):
@@ -69,7 +70,10 @@ class ChunkEncoder:
         return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
 
     def _words(self, words: list[str]) -> list[bytes]:
-        return [self._encode(spelled(w)) for w in words]
+        if self.ranks is None:
+            return [self._encode(spelled(w)) for w in words]
+        encode = self.ranks.encode_ordinary      # texts with a special token's string are not cut into words
+        return [array("I", encode(spelled(w))).tobytes() for w in words]
 
     def encode(self, text: pa.Array) -> list[bytes]:
         """The ids of each text (none null) as little-endian uint32."""
