@@ -55,8 +55,3 @@ def text_to_dna(c) -> Column:
     return F.regexp_replace(
         F.translate(F.lower(_col(c)), "abcdefghijklmnopqrstuvwxyz", "ACGTACGTACGTACGTACGTACGTAC"),
         "[^ACGT]", "N")
-
-
-def hex_to_dna(c) -> Column:
-    """Test binding: an N-free view of any text through its hex digits."""
-    return F.translate(F.hex(_col(c)), "0123456789ABCDEF", "ACGTCGTAGTACTACG")

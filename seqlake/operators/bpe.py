@@ -1,23 +1,25 @@
 """Byte-pair encoding as corpus jobs.
 
-State representation: every token id is one BMP character ``chr(0x4E00 + id)``, so a sequence of
-tokens is a plain string; a merge is the built-in ``replace`` and pair counting is a
-``transform(sequence(...), substring)`` explode, both inside whole-stage codegen.
-
-Training (B3) runs one Spark job per round of merges over the compact distinct-segment table (B1);
-merges are picked as "highest weighted count, ties to the smallest (left id, right id)".
+Training (B3) is in :mod:`seqlake.operators.bpe_training`. Encoding (B4) is a map over the rows: the
+distinct N-free segments of a batch that the worker does not remember are merged over a linked
+array with a heap of pairs (lowest rank first, then leftmost), in time linear-logarithmic in
+the segment's length whatever the number of merges; nothing is shuffled.
 """
 from __future__ import annotations
 
+import heapq
+from collections.abc import Iterator
 from dataclasses import dataclass
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
 from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from seqlake.functions.dna import mask_unknown, n_free_segments, normalise_dna, upper_dna
-from seqlake.session import cut_lineage
+from seqlake.operators.bpe_training import MAX_PIECES, learn_merges
 
 # Special tokens (ids 0, 1, 2) and the alphabet every vocabulary starts with.
 PAD, BOS, EOS = "[PAD]", "[BOS]", "[EOS]"
@@ -26,16 +28,11 @@ PAD_ID, BOS_ID, EOS_ID = 0, 1, 2
 INITIAL_ALPHABET = ["A", "T", "C", "G", "N"]
 UNK = "N"
 
-# Token id i is written as the character CHAR_BASE + i inside the merge state.
-CHAR_BASE = 0x4E00
-MAX_TOKENS = 0xD800 - CHAR_BASE  # ids before the surrogates, which are no characters
-MAX_INLINE_MERGES = 200           # replace-chain length kept inside one projection
-CHECKPOINT_EVERY = 50             # merges between lineage cuts
-TOP_PAIRS = 64                    # best pairs a training job returns to the driver
-
-
-def tchar(i: int) -> str:
-    return chr(CHAR_BASE + i)
+MAX_TOKENS = 0xD800      # ids travel as characters between the driver and tasks: those before the surrogates
+SEPARATOR = "\x00"        # between the tokens of a decoding table
+CACHE_BYTES = 32 << 20    # of segments a worker remembers, in either of two generations
+CACHED_LENGTH = 256       # longer segments are not remembered
+ENTRY_BYTES = 200         # a remembered segment besides its letters and ids
 
 
 def _col(c):
@@ -93,87 +90,23 @@ class BpeModel:
         return BpeModel(toks, ms)
 
 
-def train_bpe(segs: DataFrame, vocab_size: int = 8192, min_frequency: int = 0,
-              max_token_length: int | None = None, col: str = "segment", weight: str = "n") -> BpeModel:
+def train_bpe(segs: DataFrame, vocab_size: int = 8192, min_frequency: int = 0, max_token_length: int | None = None,
+              col: str = "segment", weight: str = "n", max_pieces: int = MAX_PIECES, report=None) -> BpeModel:
     """Learn merges from a distinct-segment table (B1 output).
 
     Vocabulary = the three specials, then the sorted alphabet (every character of the corpus plus
-    A, T, C, G, N), then one token per merge until ``vocab_size`` is reached or no pair is left.
+    A, T, C, G, N), then one token per merge until ``vocab_size`` is reached or no pair is left. The next
+    merge is the pair of highest weighted count, ties to the smallest (left id, right id).
     A merge whose token already exists reuses its id; a merge longer than ``max_token_length`` is
     skipped; training stops when the best count is below ``min_frequency`` (or 1).
-
-    One job counts all pairs; the best ones are merged together as long as that cannot differ from
-    merging one at a time. A merge of (a, b) changes only pairs with a, b or the new token, and a
-    pair with the new token is at most as frequent as one with a or b that is ranked below. So the
-    next pair is safe if it shares no symbol with the merges before it in this job and the pair
-    ranked after it is strictly rarer. A pair of two equal symbols, or one whose token has an id
-    already, can raise counts otherwise and ends the round.
     """
-    # the compact segment table is computed once and kept cached for the whole loop (released
-    # at the end, after the tables built on it, so no dependent cache is rebuilt)
+    if vocab_size > MAX_TOKENS:
+        raise ValueError(f"vocab_size above {MAX_TOKENS} is not supported")
     segs = segs.select(F.col(col).alias(col), F.col(weight).alias(weight)).persist(StorageLevel.MEMORY_AND_DISK)
     chars = (segs.select(F.explode(F.regexp_extract_all(F.col(col), F.lit("(?s)."), 0)).alias("c"))
              .distinct().collect())
-    alphabet = sorted(set(r.c for r in chars) | set(INITIAL_ALPHABET), key=ord)
-    tokens = SPECIALS + alphabet
-    if vocab_size > MAX_TOKENS:
-        raise ValueError(f"vocab_size above {MAX_TOKENS} is not supported")
-    index = {t: i for i, t in enumerate(tokens)}
-    src = "".join(alphabet)
-    dst = "".join(tchar(index[c]) for c in alphabet)
-    state = (segs.select(F.translate(F.col(col), src, dst).alias("s"), F.col(weight).cast("bigint").alias("n"))
-             .where(F.length("s") >= 2))
-    # `base` is cached once; the merges of the current block are applied lazily on top of it as a
-    # replace chain, so no cache ever depends on another one. Every CHECKPOINT_EVERY merges the
-    # chain is written as a reliable checkpoint, which becomes the next base.
-    base = state.persist(StorageLevel.MEMORY_AND_DISK)
-    pending: list[tuple[str, str]] = []
-    merges, skipped, rank = [], set(), 0
-
-    def current():
-        s = F.col("s")
-        for p, ch in pending:
-            s = F.replace(s, F.lit(p), F.lit(ch))
-        return base.select(s.alias("s"), "n")
-
-    done = False
-    while len(index) < vocab_size and not done:
-        counts = pair_counts(current(), "s", "n")
-        if skipped:
-            counts = counts.where(~F.col("pair").isin(list(skipped)))
-        top = counts.orderBy(F.desc("n"), F.asc("pair")).limit(TOP_PAIRS).collect()
-        done = not top
-        touched: set[str] = set()                        # symbols of the merges of this job
-        for i, (pair, n) in enumerate((r.pair, r.n) for r in top):
-            if touched:
-                below = top[i + 1].n if i + 1 < len(top) else n if len(top) == TOP_PAIRS else 0
-                if touched & set(pair) or below >= n:
-                    break
-            if n < 1 or n < min_frequency:
-                done = True
-                break
-            left, right = ord(pair[0]) - CHAR_BASE, ord(pair[1]) - CHAR_BASE
-            token = tokens[left] + tokens[right]
-            if max_token_length is not None and len(token) > max_token_length:
-                skipped.add(pair)
-                continue
-            new_id = index.get(token)
-            fresh = new_id is None
-            if fresh:
-                new_id = len(tokens)
-                tokens.append(token)
-                index[token] = new_id
-            merges.append((rank, left, right, new_id, token, int(n)))
-            rank += 1
-            pending.append((pair, tchar(new_id)))
-            touched |= set(pair)
-            if not fresh or left == right or len(index) >= vocab_size:
-                break
-        if len(pending) >= CHECKPOINT_EVERY:
-            nxt = cut_lineage(current().where(F.length("s") >= 2)).persist(StorageLevel.MEMORY_AND_DISK)
-            base.unpersist()
-            base, pending = nxt, []
-    base.unpersist()
+    tokens = SPECIALS + sorted(set(r.c for r in chars) | set(INITIAL_ALPHABET), key=ord)
+    merges = learn_merges(segs, tokens, vocab_size, min_frequency, max_token_length, col, weight, max_pieces, report)
     segs.unpersist()
     return BpeModel(tokens, merges)
 
@@ -181,51 +114,91 @@ def train_bpe(segs: DataFrame, vocab_size: int = 8192, min_frequency: int = 0,
 # ---------------------------------------------------------------------------------------------
 # Encode and decode
 
-def _apply_merges_py(merges: list[tuple[str, str]]):
-    @F.pandas_udf("string")
-    def _udf(s: pd.Series) -> pd.Series:
-        def run(v):
-            if v is None:
-                return None
-            for pair, ch in merges:
-                if pair in v:
-                    v = v.replace(pair, ch)
-            return v
-        return s.map(run)
-    return _udf
-
-
-def to_token_string(c, model: BpeModel) -> Column:
-    """Normalised, masked sequence as a token-character string before any merge."""
-    alphabet = model.alphabet
-    masked = mask_unknown(normalise_dna(c), "".join(alphabet))
-    return F.translate(masked, "".join(alphabet), "".join(tchar(model.tokens.index(a)) for a in alphabet))
-
-
-def apply_merges(s: Column, model: BpeModel) -> Column:
-    """Merges in rank order; built-in ``replace`` up to MAX_INLINE_MERGES, else one Arrow UDF."""
-    steps = [(tchar(l) + tchar(r), tchar(new)) for (_, l, r, new, _, _) in model.merges]
-    if len(steps) <= MAX_INLINE_MERGES:
-        for pair, ch in steps:
-            s = F.replace(s, F.lit(pair), F.lit(ch))
-        return s
-    return _apply_merges_py(steps)(s)
-
-
-def token_ids(s: Column) -> Column:
-    """Token-character string -> array of ids."""
-    return F.transform(F.split(s, ""), lambda ch: (F.ascii(ch) - CHAR_BASE).cast("int"))
+class SegmentEncoder:
+    """Ids of segments by merging the pair of lowest rank, leftmost first, until no pair merges."""
+
+    def __init__(self, ids: dict[str, int], ranks: dict[tuple[int, int], tuple[int, int]]):
+        self.ids, self.ranks = ids, ranks
+        self.known: dict[str, bytes] = {"": b""}
+        self.older: dict[str, bytes] = {}
+        self.held = 0
+
+    def merge(self, segment: str) -> list[int]:
+        """Ids over a linked array: ``after`` and ``before`` link what is left, a heap has the pairs that may merge."""
+        sym = [self.ids[c] for c in segment]
+        end, ranks = len(sym), self.ranks
+        after, before = list(range(1, end + 1)), list(range(-1, end - 1))
+        heap = [(r[0], i) for i in range(end - 1) if (r := ranks.get((sym[i], sym[i + 1])))]
+        heapq.heapify(heap)
+        while heap:
+            rank, i = heapq.heappop(heap)
+            j = after[i]
+            if sym[i] < 0 or j >= end:
+                continue
+            found = ranks.get((sym[i], sym[j]))
+            if found is None or found[0] != rank:       # a symbol of the pair has merged meanwhile
+                continue
+            sym[i], sym[j] = found[1], -1
+            k = after[i] = after[j]
+            if k < end:
+                before[k] = i
+                if r := ranks.get((sym[i], sym[k])):
+                    heapq.heappush(heap, (r[0], i))
+            if (h := before[i]) >= 0 and (r := ranks.get((sym[h], sym[i]))):
+                heapq.heappush(heap, (r[0], h))
+        return [s for s in sym if s >= 0]
+
+    def encode(self, texts: list[str]) -> list[bytes]:
+        """Ids of masked texts as int32 bytes; every N is a piece of its own."""
+        if self.held > CACHE_BYTES:
+            self.known, self.older, self.held = {"": b""}, self.known, 0
+        n, known, long_ = np.int32(self.ids[UNK]).tobytes(), self.known, []
+        cut = [t.split(UNK) for t in texts]
+        for s in {s for c in cut for s in c if s not in known}:
+            ids = known[s] = self.older.get(s) or np.array(self.merge(s), np.int32).tobytes()
+            if len(s) > CACHED_LENGTH:
+                long_.append(s)
+            else:
+                self.held += len(s) + len(ids) + ENTRY_BYTES
+        out = [n.join(map(known.__getitem__, c)) for c in cut]
+        for s in long_:
+            del known[s]
+        return out
+
+
+def to_token_text(c, model: BpeModel) -> Column:
+    """Normalised sequence with the characters that have no token masked, before any merge."""
+    return mask_unknown(normalise_dna(c), "".join(model.alphabet))
 
 
 def encode_bpe(df: DataFrame, model: BpeModel, seq_col: str = "sequence", out: str = "input_ids") -> DataFrame:
-    """D1 normalisation, unknown characters to N, merges in rank order, ids (no specials)."""
-    s = apply_merges(to_token_string(F.col(seq_col), model), model)
-    return df.withColumn(out, F.when(F.length(s) > 0, token_ids(s)).otherwise(F.array().cast("array<int>")))
+    """D1 normalisation, unknown characters to N, merges, ids (no specials). A null sequence has no ids."""
+    ids = {t: i for i, t in enumerate(model.tokens) if i >= len(SPECIALS) and len(t) == 1}
+    ranks: dict[tuple[int, int], tuple[int, int]] = {}
+    for rank, left, right, new, _, _ in model.merges:
+        ranks[(left, right)] = (rank, new)
+    shared = df.sparkSession.sparkContext.broadcast((ids, ranks))
+    kept = [f for f in df.schema.fields if f.name != out]
+    schema = T.StructType(kept + [T.StructField(out, T.ArrayType(T.IntegerType()))])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encoder = SegmentEncoder(*shared.value)
+        for batch in batches:
+            raw = encoder.encode(batch.column(batch.num_columns - 1).to_pylist())
+            at = np.zeros(len(raw) + 1, dtype=np.int32)
+            np.cumsum([len(x) // 4 for x in raw], out=at[1:])
+            column = pa.ListArray.from_arrays(pa.array(at), pa.array(np.frombuffer(b"".join(raw), np.int32)))
+            yield pa.RecordBatch.from_arrays(batch.columns[:-1] + [column], names=[f.name for f in schema.fields])
+
+    text = F.coalesce(to_token_text(F.col(seq_col), model), F.lit(""))
+    return df.select(*(F.col(f"`{f.name}`") for f in kept), text.alias("__token_text")).mapInArrow(run, schema)
 
 
 def decode_bpe(ids, model: BpeModel) -> Column:
     """Token strings fused without separator (specials included as written)."""
-    table = F.lit(model.tokens)
+    if any(SEPARATOR in t for t in model.tokens):
+        raise ValueError("a token holds the separator of the decoding table")
+    table = F.split(F.lit(SEPARATOR.join(model.tokens)), SEPARATOR)      # folded to one constant
     return F.array_join(F.transform(_col(ids), lambda i: F.element_at(table, i + 1)), "")
 
 

@@ -127,19 +127,22 @@ def missing_ids(spark, d):
     return sample.missing_ids(views.wanted_ids(spark, d), views.shards(spark, d))
 
 
+CROP = 100_000
+
+
 @register("random_crop", f"""
 WITH {DNA_CTE},
 c AS (SELECT seq_id, sequence,
-             CASE WHEN length(sequence) > 1000 THEN {HINT('seq_id')} % (length(sequence) - 1000 + 1) ELSE 0 END AS crop_start
+             CASE WHEN length(sequence) > {CROP} THEN {HINT('seq_id')} % (length(sequence) - {CROP} + 1) ELSE 0 END AS crop_start
       FROM dna),
 k AS (SELECT seq_id, crop_start,
-             CASE WHEN length(sequence) > 1000 THEN substr(sequence, crop_start + 1, 1000) ELSE sequence END AS crop
+             CASE WHEN length(sequence) > {CROP} THEN substr(sequence, crop_start + 1, {CROP}) ELSE sequence END AS crop
       FROM c)
 SELECT seq_id, CAST(crop_start AS BIGINT) AS crop_start, CAST(length(crop) AS BIGINT) AS crop_len, md5(crop) AS crop_md5
 FROM k
 """)
 def random_crop(spark, d):
-    s = sample.random_crop(views.sequences(spark, d), "sequence", "seq_id", max_len=1000, seed=42,
+    s = sample.random_crop(views.sequences(spark, d), "sequence", "seq_id", max_len=CROP, seed=42,
                            start_col="crop_start")
     return s.select("seq_id", F.col("crop_start").cast("bigint"), F.length("sequence").cast("bigint").alias("crop_len"),
                     F.md5("sequence").alias("crop_md5"))

@@ -21,9 +21,8 @@ from pyspark.sql import functions as F
 from seqlake.functions.dna import text_to_dna
 from seqlake.functions.vectors import argmax
 from seqlake.operators.index import row_index
+from seqlake.operators.taxonomy import RANKS
 
-RANKS = ["Species", "Genus", "Family", "Order", "Class", "Phylum", "Kingdom",
-         "Domain_realm", "Domain_or_Viruses", "Life"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -49,6 +48,14 @@ def shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return base.unionByName(copies)
 
 
+def strains(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(source, seq_id, strain): a finer grouping than species, whose number of groups grows with the table
+    (each species' sequences of ten consecutive ids)."""
+    d = table(spark, sf_dir, "documents")
+    return d.select(F.col("lang").alias("source"), F.col("doc_id").alias("seq_id"),
+                    F.concat_ws(" ", "source", F.floor(F.col("doc_id") / 10).cast("string")).alias("strain"))
+
+
 def wanted_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The id list of C3/C4: every labelled document, looked up in its own folder, except toxic
     ones, looked up under ``en``."""
@@ -112,8 +119,3 @@ def predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
                     F.col("label").cast("int").alias("y"),
                     argmax(F.col("embedding")).alias("p"))
 
-
-def regression_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    li = table(spark, sf_dir, "lineitem")
-    return li.select(F.col("l_returnflag").alias("grp"), F.col("l_extendedprice").alias("y"),
-                     (F.col("l_quantity") * F.lit(1000.0) * (1 - F.col("l_discount"))).alias("p"))
