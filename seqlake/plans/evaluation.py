@@ -289,16 +289,19 @@ def result_record(spark, d):
     return M.result_record(M.epoch_scores(p.where("split = 'test'")).join(loss, "epoch"), "bag-of-dims", "lang", 0)
 
 
-def bag_of_tokens_model(vocab_size: int):
-    """A stand-in encoder for V10: the token histogram of each window (mean one-hot over the
+BAG_DIM = 64
+
+
+def bag_of_tokens_model(dim: int):
+    """A stand-in encoder for V10: the histogram of each window's token ids modulo ``dim`` (mean one-hot over the
     unmasked positions). Real models are passed the same way."""
     def make():
         import numpy as np
 
         def predict(ids, mask):
-            out = np.zeros((ids.shape[0], vocab_size), dtype=np.float64)
+            out = np.zeros((ids.shape[0], dim), dtype=np.float64)
             rows = np.repeat(np.arange(ids.shape[0]), ids.shape[1])
-            np.add.at(out, (rows, ids.ravel()), mask.ravel())
+            np.add.at(out, (rows, ids.ravel() % dim), mask.ravel())
             return out / np.maximum(mask.sum(1, keepdims=True), 1)
         return predict
     return make
@@ -308,14 +311,14 @@ def bag_of_tokens_model(vocab_size: int):
 def embed_pool_probe(spark, d):
     """V10 -> V7 -> P3/P6 -> Q1 -> Q2 -> M7: the layer-sweep job end to end with a bag-of-tokens
     encoder: windows are embedded in batches of 24, averaged per sequence, split into seeded
-    stratified folds, standardised on each fold's train rows and probed by a logistic regression per
-    (seed, fold). No SQL oracle (iterative fit)."""
-    from seqlake.plans.tokens import CONTEXT, VOCAB_SIZE, _encoded
+    stratified folds, standardised on each fold's train rows and probed by a two-layer network per
+    (seed, fold) that stops on its validation loss. No SQL oracle (iterative fit)."""
+    from seqlake.plans.tokens import CONTEXT, _encoded
     from seqlake.operators import windows as W
     enc, _ = _encoded(spark, d)
     win = W.windows(enc.select("seq_id", "input_ids"), CONTEXT)
-    emb = V.embed_windows(win.select("seq_id", "window_no", "input_ids"), bag_of_tokens_model(VOCAB_SIZE),
-                          VOCAB_SIZE, batch_size=24, keys=["seq_id", "window_no"])
+    emb = V.embed_windows(win.select("seq_id", "window_no", "input_ids"), bag_of_tokens_model(BAG_DIM),
+                          BAG_DIM, batch_size=24, keys=["seq_id", "window_no"])
     pooled = V.pool_windows(V.long_form(emb, ["seq_id", "window_no"]), ["seq_id"])
     docs = _docs(spark, d).withColumnRenamed("row_id", "seq_id")
     roles = P.fold_table(P.stratified_kfold(docs.withColumnRenamed("seq_id", "row_id"), K), K) \

@@ -78,15 +78,16 @@ def pool_assembly(spark, d):
 WITH e AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings),
 n AS (SELECT vec_id, v, sqrt(list_inner_product(v, v)) AS nrm FROM e),
 u AS (SELECT vec_id, nrm, list_transform(v, lambda x: CAST(CAST(x / greatest(nrm, 1e-12) AS FLOAT) AS DOUBLE)) AS uv FROM n)
-SELECT vec_id, round(nrm, 6) AS norm_in, abs(nrm - 1) <= 0.01 AS unit_ok,
+SELECT vec_id, round(nrm, 6) AS norm_in, abs(nrm - 1) <= 0.01 AND len(uv) = 64 AS unit_ok,
        round(sqrt(list_inner_product(uv, uv)), 6) AS norm_out, list_bool_or(list_transform(uv, lambda x: isnan(x))) AS has_nan
 FROM u""")
 def l2_normalise_q(spark, d):
     """V1 + V3 + V9: unit vectors, the unit-norm check and the NaN guard."""
     e = views.table(spark, d, "embeddings")
-    u = e.select("vec_id", norm("embedding").alias("nrm"), l2_normalise("embedding").alias("uv"))
-    V.nan_guard(u.select("vec_id", "uv"), "uv", "vec_id")
-    return u.select("vec_id", F.round("nrm", 6).alias("norm_in"), (F.abs(F.col("nrm") - 1) <= 0.01).alias("unit_ok"),
+    u = e.select("vec_id", norm("embedding").alias("nrm"), V.check_unit("embedding", 1e-2, 64).alias("unit_ok"),
+                 l2_normalise("embedding").alias("uv"))
+    u = V.nan_guard(u, "uv", "vec_id")
+    return u.select("vec_id", F.round("nrm", 6).alias("norm_in"), "unit_ok",
                     F.round(norm("uv"), 6).alias("norm_out"), has_nan("uv").alias("has_nan"))
 
 
@@ -107,3 +108,23 @@ def running_standardise(spark, d):
                                                      "vec_id", F.col("embedding").alias("vec"))
     _, table = V.running_standardise(e, "batch", keys=["vec_id"])
     return table.select(F.col("dim").cast("int"), F.round("mu", 6).alias("mu"), F.round("sd", 6).alias("sd"))
+
+
+@register("running_states", """
+WITH b AS (SELECT vec_id // 7 AS batch, unnest(range(64)) AS dim, unnest(CAST(embedding AS DOUBLE[])) AS x
+           FROM embeddings WHERE vec_id % 7 < 1 + (vec_id // 7) % 5),
+s AS (SELECT batch, dim, count(*) AS n, avg(x) AS m, greatest(stddev_samp(x), 0.001) AS sd FROM b GROUP BY batch, dim),
+c AS (SELECT dim, batch, n, list(m) FILTER (n >= 2) OVER w AS ms, list(sd) FILTER (n >= 2) OVER w AS sds
+      FROM s WINDOW w AS (PARTITION BY dim ORDER BY batch)),
+z AS (SELECT batch, dim, len(ms) AS k,
+             list_reduce(ms, lambda a, x, i: (1 - greatest(1.0 / i, 0.01)) * a + greatest(1.0 / i, 0.01) * x) AS mu,
+             list_reduce(sds, lambda a, x, i: (1 - greatest(1.0 / i, 0.01)) * a + greatest(1.0 / i, 0.01) * x) AS sd
+      FROM c WHERE len(ms) > 0)
+SELECT batch, CAST(dim AS INTEGER) AS dim, k, round(mu, 6) + 0.0 AS mu, round(sd, 6) + 0.0 AS sd FROM z""")
+def running_states(spark, d):
+    """EMA feature statistics after every batch (batches of one to five rows; those of one row do not count)."""
+    e = views.table(spark, d, "embeddings").select((F.col("vec_id") / 7).cast("bigint").alias("batch"), "vec_id", F.col("embedding").alias("vec"))
+    e = e.where(F.pmod("vec_id", F.lit(7)) < 1 + F.pmod("batch", F.lit(5)))
+    out = V.running_states(e, "batch").where("mu is not null")
+    return (out.select("batch", F.col("k").cast("bigint"), F.posexplode(F.arrays_zip("mu", "sd")).alias("dim", "z"))
+            .select("batch", F.col("dim").cast("int"), "k", r6("z.mu").alias("mu"), r6("z.sd").alias("sd")))

@@ -66,21 +66,3 @@ def test_primary_metric_of_the_named_tasks():
     from seqlake.operators import metrics
     assert [metrics.primary_metric(task=t) for t in ("virus/covid", "virus/species_40", "fungi/species_20", "covid")] == [
         "macro_f1", "macro_f1", "macro_f1", "mcc"]
-
-
-def test_probes(spark):
-    rows = []
-    for run in (0, None):
-        for i in range(60):
-            role = ("train", "train", "val", "test")[i % 4]
-            rows.append((run, i, role, i % 3, [float(i % 3 == k) + 0.01 * (i % 7) for k in range(3)]))
-    rows += [(9, i, "train" if i < 3 else "val", 1 if i < 3 else 2, [1.0, 0.0, 0.0]) for i in range(4)]
-    df = spark.createDataFrame(rows, "run int, row_id long, role string, y int, x array<double>")
-    out = Q.fit_probes(df, ["run"]).collect()
-    assert len(out) == 2 * 30 + 1
-    assert all(r.pred == r.y and r.val_loss < 0.2 for r in out if r.run != 9)
-    assert [(r.pred, r.y) for r in out if r.run == 9] == [(1.0, 2.0)]
-    line = df.where("run = 0").withColumn("y", F.expr("x[0] * 2 - x[1] + 1"))
-    assert all(abs(r.pred - r.y) < 0.05 for r in Q.fit_probes(line, ["run"], classification=False).collect())
-    assert Q.fit_probes(df.limit(0), ["run"]).columns == ["run", "row_id", "role", "y", "pred", "val_loss"]
-    assert Q.fit_probes(df.limit(0), ["run"]).count() == 0
