@@ -32,7 +32,6 @@ import math
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
 import zstandard
@@ -44,8 +43,9 @@ from seqlake.llm.ragged import byte_slices, offsets_of, text_buffer
 from seqlake.session import settle
 
 DEPTH = 6                  # context bytes; a key has one more, at most seven in all
-BLOCK_BYTES = 32 << 20     # of text in a block
-PIECE = 1 << 22            # bytes of a block whose keys are made at a time
+BLOCK_BYTES = 16 << 20     # of text in a block
+SLICE_BYTES = 1 << 20      # of text made into streams together
+PIECE = 1 << 20            # bytes of a block whose keys are made at a time
 SHARD_BYTES = 8 << 20      # of text for each shard of keys, and of words
 MERGE_AT = 1 << 23         # keys of several blocks that a shard holds before it adds them up
 END = 10                   # the end mark: a line break, which cannot be in a word
@@ -95,12 +95,22 @@ def stream(data: np.ndarray, doc_at: np.ndarray) -> tuple[np.ndarray, np.ndarray
 
 def grams(data: np.ndarray, doc_at: np.ndarray, lo: int, hi: int, depth: int) -> np.ndarray:
     """For every byte from ``lo`` to ``hi`` of the streams the number whose bytes are its context, nearest first, and itself."""
-    place = np.arange(lo, hi)
-    inside = place - doc_at[np.searchsorted(doc_at, place, side="right") - 1]      # bytes before it in its stream
-    keys = data[lo:hi].astype(np.int64)
-    for d in range(1, depth + 1):
-        earlier = np.where(inside >= d, data[np.maximum(place - d, 0)], np.uint8(END))
-        keys |= earlier.astype(np.int64) << (8 * (depth + 1 - d))
+    before = min(lo, depth)
+    raw = np.full(depth + hi - lo + 8, END, dtype=np.uint8)
+    raw[depth - before:depth + hi - lo] = data[lo - before:hi]
+    # eight bytes from depth before a byte on, read as a number: the nearest is the highest of the first depth ones
+    context = np.ndarray(hi - lo, dtype="<u8", buffer=raw, strides=(1,)).astype(np.int64) & ((1 << 8 * depth) - 1)
+    keys = context << 8 | data[lo:hi]
+    # near the beginning of a stream the context goes on with end marks
+    first = doc_at[np.searchsorted(doc_at, lo - depth, side="right"):np.searchsorted(doc_at, hi, side="left")]
+    for i in range(depth):
+        place = first + i
+        place = place[(place >= lo) & (place < hi)]
+        begin = doc_at[np.searchsorted(doc_at, place, side="right") - 1]
+        keys[place - lo] = data[place]
+        for d in range(1, depth + 1):
+            earlier = np.where(place - d >= begin, data[np.maximum(place - d, 0)], np.uint8(END)).astype(np.int64)
+            keys[place - lo] |= earlier << (8 * (depth + 1 - d))
     return keys
 
 
@@ -121,6 +131,8 @@ def gram_counts(data: np.ndarray, doc_at: np.ndarray, learnt: int, depth: int) -
             found, n = np.unique(grams(data, doc_at, lo, min(lo + PIECE, b), depth), return_counts=True)
             keys.append(found)
             counts.append(n * weight)
+            if sum(map(len, keys[1:])) > max(PIECE, len(keys[0])):
+                keys, counts = ([x] for x in added_up(keys, counts))
     return added_up(keys, counts)
 
 
@@ -142,11 +154,16 @@ class Block:
     @staticmethod
     def pack(doc_id: pa.Array, held_out: np.ndarray, text: pa.Array) -> bytes:
         order = np.argsort(held_out, kind="stable")
-        data, at = stream(*text_buffer(text.take(pa.array(order))))
-        ids = doc_id.take(pa.array(order))
+        text, ids = text.take(pa.array(order)), doc_id.take(pa.array(order))
+        streams, sizes = [], []
+        for part in byte_slices([pa.record_batch({"text": text})], "text", SLICE_BYTES):      # some numbers are kept for every byte
+            data, at = stream(*text_buffer(part.column("text").combine_chunks()))
+            streams.append(data.tobytes())
+            sizes.append(np.diff(at))
+        at = offsets_of(np.concatenate([np.zeros(0, np.int64), *sizes]))
         head = np.array([len(order), int((~held_out).sum())], dtype=np.int64)
         return zstandard.compress(b"".join([head.tobytes(), np.asarray(ids.fill_null(0)).astype(np.int64).tobytes(),
-                                            np.asarray(ids.is_null()).astype(np.int64).tobytes(), at.tobytes(), data.tobytes()]), 3)
+                                            np.asarray(ids.is_null()).astype(np.int64).tobytes(), at.tobytes(), *streams]), 3)
 
     def __init__(self, payload: bytes):
         raw = zstandard.decompress(payload)
@@ -159,78 +176,102 @@ class Block:
 
 # --- the tree of a shard -----------------------------------------------------------------------
 
-def _log_rising(n: np.ndarray, first: float) -> np.ndarray:
-    """log(first (first + 1) ... (first + n - 1))."""
-    small = np.r_[0.0, np.cumsum(np.log(np.arange(4096) + first))]
-    x = np.maximum(n, 1).astype(float) + first
-    stirling = (x - 0.5) * np.log(x) - x + 0.5 * math.log(2 * math.pi) + 1 / (12 * x) - 1 / (360 * x ** 3)
-    return np.where(n <= 4096, small[np.minimum(n, 4096)], stirling - math.lgamma(first))
+_TABLED = 1 << 12
+_LOG_HALVES, _LOG_ONES = (np.r_[0.0, np.cumsum(np.log(np.arange(_TABLED) + first))] for first in (0.5, 1.0))
 
 
-def log_kt(zeros: np.ndarray, ones: np.ndarray) -> np.ndarray:
-    """Log probability of a sequence with these counts under the Krichevsky-Trofimov estimator."""
-    return _log_rising(zeros, 0.5) + _log_rising(ones, 0.5) - _log_rising(zeros + ones, 1.0)
+def _log_rising(n: np.ndarray, first: float, table: np.ndarray) -> np.ndarray:
+    """log(first (first + 1) ... (first + n - 1)), by Stirling's formula beyond the table."""
+    out = table[np.minimum(n, _TABLED)]
+    big = np.flatnonzero(n > _TABLED)
+    if len(big):
+        x = n[big].astype(float) + first
+        out[big] = (x - 0.5) * np.log(x) - x + 0.5 * math.log(2 * math.pi) + 1 / (12 * x) - 1 / (360 * x ** 3) - math.lgamma(first)
+    return out
 
 
-def weighted(log_estimate: np.ndarray, log_children: np.ndarray) -> np.ndarray:
-    return LOG_HALF + np.logaddexp(log_estimate, log_children)
+def log_kt(zeros: np.ndarray, ones: np.ndarray) -> np.ndarray:
+    """Log probability of a sequence with these counts under the Krichevsky-Trofimov estimator."""
+    return _log_rising(zeros, 0.5, _LOG_HALVES) + _log_rising(ones, 0.5, _LOG_HALVES) - _log_rising(zeros + ones, 1.0, _LOG_ONES)
 
 
-class Level:
-    """The nodes of one context depth, sorted by (context, decision): counts and log weighted probability."""
+class Nodes:
+    """The nodes of one context depth and one of the eight decisions, ascending by (context, decision number): counts, and
+    the logarithm of the weighted probability, given the sums of it over their children (None at full depth)."""
 
-    def __init__(self, nodes: np.ndarray, zeros: np.ndarray, ones: np.ndarray, below: "Level | None"):
-        self.nodes, self.zeros, self.ones = nodes, zeros, ones
+    def __init__(self, number: np.ndarray, zeros: np.ndarray, ones: np.ndarray, children: np.ndarray | None):
+        self.number, self.zeros, self.ones = number, zeros, ones
         estimate = log_kt(zeros, ones)
-        if below is None:
-            self.log_weighted, self.stop = estimate, np.ones(len(nodes))
+        self.log_weighted = estimate if children is None else LOG_HALF + np.logaddexp(estimate, children)
+        self.stop = np.ones(len(number)) if children is None else np.exp(LOG_HALF + estimate - self.log_weighted)
+
+    def above(self) -> np.ndarray:
+        """The numbers of the nodes with a context one byte shorter."""
+        return (self.number >> 16) << 8 | self.number & 255
+
+    def mix(self, parents: "Nodes | None") -> None:
+        """From the shortest context down: the probability that a path ending here gives to a zero and a one (``end``), what
+        shorter contexts have given (``given``), and the weight that is left (``left``)."""
+        at = np.searchsorted(parents.number, self.above()) if parents is not None else np.zeros(len(self.number), np.int64)
+        own = np.stack([self.zeros + 0.5, self.ones + 0.5]) / (self.zeros + self.ones + 1)
+        if parents is None:
+            self.given, self.left = np.zeros((2, len(at))), np.ones(len(at))
         else:
-            parent = (below.nodes >> 16) << 8 | below.nodes & 255
-            children = np.bincount(np.searchsorted(nodes, parent), weights=below.log_weighted, minlength=len(nodes))
-            self.log_weighted = weighted(estimate, children)
-            self.stop = np.exp(LOG_HALF + estimate - self.log_weighted)
-
-    def mix(self, nodes: np.ndarray, bit: np.ndarray, deeper: np.ndarray) -> np.ndarray:
-        """Probability of ``bit`` at ``nodes`` given that of the level below (NaN: not seen there); NaN: not seen here."""
-        if not len(self.nodes):
-            return np.full(len(nodes), np.nan)
-        at = np.minimum(np.searchsorted(self.nodes, nodes), len(self.nodes) - 1)
-        seen = self.nodes[at] == nodes
-        own = (np.where(bit, self.ones[at], self.zeros[at]) + 0.5) / (self.zeros[at] + self.ones[at] + 1)
-        return np.where(seen, np.where(np.isnan(deeper), own, self.stop[at] * own + (1 - self.stop[at]) * deeper), np.nan)
-
-
-def decisions(keys: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """(decision number 1..255, bit) of the k-th bit of the byte of each key."""
-    byte = keys & 255
+            self.given, self.left = parents.passed[:, at], (parents.left * (1 - parents.stop))[at]
+        self.end = self.given + self.left * own
+        self.passed = self.given + self.left * self.stop * own
+
+
+def decisions(byte: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """(decision number 1..255, bit) of the k-th bit of bytes."""
     return 1 << k | byte >> (8 - k), byte >> (7 - k) & 1
 
 
-def build(keys: np.ndarray, counts: np.ndarray, depth: int, top: int) -> list[Level]:
-    """Levels ``depth`` down to ``top`` of the tree of the counted keys, deepest first."""
-    keys, counts = keys[counts > 0], counts[counts > 0]
-    levels: list[Level] = []
+def build(keys: np.ndarray, counts: np.ndarray, depth: int, top: int) -> list[list[Nodes]]:
+    """Levels ``top`` to ``depth`` of the tree of ascending keys, each with its eight lists of nodes."""
+    levels: list[list[Nodes]] = []
+    rows, n = keys[counts > 0], counts[counts > 0]
     for d in range(depth, top - 1, -1):
-        context = keys >> 8 * (depth - d + 1)
-        parts = [(context << 8 | number, bit) for number, bit in (decisions(keys, k) for k in range(8))]
-        node = np.concatenate([p[0] for p in parts])
-        one = np.concatenate([p[1] for p in parts]) * np.tile(counts, 8)
-        nodes, place = np.unique(node, return_inverse=True)
-        ones = np.bincount(place, weights=one, minlength=len(nodes)).astype(np.int64)
-        total = np.bincount(place, weights=np.tile(counts, 8), minlength=len(nodes)).astype(np.int64)
-        levels.append(Level(nodes, total - ones, ones, levels[-1] if levels else None))
+        context, byte, level = rows >> 8, rows & 255, []
+        for k in range(8):
+            number, bit = decisions(byte, k)
+            node = context << 8 | number                     # ascending, as the rows are
+            first = np.flatnonzero(np.r_[True, node[1:] != node[:-1]]) if len(node) else np.zeros(0, np.int64)
+            total, ones = (np.add.reduceat(x, first) if len(first) else x[:0] for x in (n, n * bit))
+            node, children = node[first], None
+            if levels:
+                below = levels[0][k]
+                children = np.bincount(np.searchsorted(node, below.above()), weights=below.log_weighted, minlength=len(node))
+            level.append(Nodes(node, total - ones, ones, children))
+        levels.insert(0, level)
+        rows, n = added_up([(context >> 8) << 8 | byte], [n])
     return levels
 
 
-def log10_probability(keys: np.ndarray, levels: list[Level], depth: int) -> np.ndarray:
-    """log10 of the probability of each key's byte in its context; ``levels`` go down to depth 0."""
-    out = np.zeros(len(keys))
+def mixed(levels: list[list[Nodes]]) -> list[list[Nodes]]:
+    """``levels`` from depth 0 on, with the probabilities of the paths that end at each node."""
+    for d, level in enumerate(levels):
+        for k in range(8):
+            level[k].mix(levels[d - 1][k] if d else None)
+    return levels
+
+
+def log10_probability(keys: np.ndarray, levels: list[list[Nodes]]) -> np.ndarray:
+    """log10 of the probability of each key's byte in its context; the path ends at the deepest context seen."""
+    out, depth = np.zeros(len(keys)), len(levels) - 1
     for k in range(8):
-        number, bit = decisions(keys, k)
-        p = np.full(len(keys), np.nan)
-        for d, level in zip(range(depth, -1, -1), levels):
-            p = level.mix(keys >> 8 * (depth - d + 1) << 8 | number, bit, p)
-        out += np.log10(np.where(np.isnan(p), 0.5, p))
+        number, bit = decisions(keys & 255, k)
+        p, todo = np.full(len(keys), 0.5), np.arange(len(keys))
+        for d in range(depth, -1, -1):
+            nodes = levels[d][k]
+            if not len(nodes.number) or not len(todo):
+                continue
+            node = (keys[todo] >> 8 * (depth - d + 1)) << 8 | number[todo]
+            at = np.minimum(np.searchsorted(nodes.number, node), len(nodes.number) - 1)
+            seen = nodes.number[at] == node
+            p[todo[seen]] = nodes.end[bit[todo[seen]], at[seen]]
+            todo = todo[~seen]
+        out += np.log10(p)
     return out
 
 
@@ -296,9 +337,10 @@ def model_shards(asks: DataFrame, depth: int) -> DataFrame:
         def row():
             key, n = added_up(keys, counts)
             key, n = key[n > 0], n[n > 0]
-            top = build(key, n, depth, 2)[-1]
-            node, place = np.unique((top.nodes >> 16) << 8 | top.nodes & 255, return_inverse=True)
-            sums = [np.bincount(place, weights=w, minlength=len(node)) for w in (top.zeros, top.ones, top.log_weighted)]
+            top = build(key, n, depth, 2)[0]
+            node, place = np.unique(np.concatenate([x.above() for x in top]), return_inverse=True)
+            sums = [np.bincount(place, weights=np.concatenate([getattr(x, c) for x in top]), minlength=len(node))
+                    for c in ("zeros", "ones", "log_weighted")]
             upper = np.concatenate([node, *(x.astype(np.int64) for x in sums[:2])])
             yield pa.record_batch({"shard": pa.array([now]), "keys": pa.array([packed(key, True)], pa.binary()),
                                    "counts": pa.array([packed(n)], pa.binary()), "upper": pa.array([packed(upper)], pa.binary()),
@@ -323,8 +365,8 @@ def model_shards(asks: DataFrame, depth: int) -> DataFrame:
             .sortWithinPartitions("shard").mapInArrow(run, MODEL_SCHEMA))
 
 
-def upper_levels(model: DataFrame) -> tuple[Level, Level]:
-    """The levels of one context byte and of none; at most 256 x 255 rows come to the driver."""
+def upper_levels(model: DataFrame) -> list[list[Nodes]]:
+    """The levels of no context byte and of one; at most 256 x 255 rows come to the driver."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for upper, below in zip(batch.column("upper"), batch.column("below")):
@@ -333,18 +375,16 @@ def upper_levels(model: DataFrame) -> tuple[Level, Level]:
 
     upper = (model.select("upper", "below").mapInArrow(run, "node bigint, zeros bigint, ones bigint, below double")
              .groupBy("node").agg(*(F.sum(c).alias(c) for c in ("zeros", "ones", "below"))).orderBy("node").toPandas())
-    one = _upper_level(upper["node"].to_numpy(dtype=np.int64), upper["zeros"], upper["ones"], upper["below"])
-    by_number = upper.assign(number=upper["node"] & 255, below=one.log_weighted).groupby("number")[["zeros", "ones", "below"]].sum()
-    none = _upper_level(by_number.index.to_numpy(dtype=np.int64), by_number["zeros"], by_number["ones"], by_number["below"])
-    return one, none
-
-
-def _upper_level(nodes: np.ndarray, zeros: pd.Series, ones: pd.Series, below: pd.Series) -> Level:
-    level = Level(nodes, zeros.to_numpy(dtype=np.int64), ones.to_numpy(dtype=np.int64), None)
-    estimate = level.log_weighted
-    level.log_weighted = weighted(estimate, below.to_numpy(dtype=float))
-    level.stop = np.exp(LOG_HALF + estimate - level.log_weighted)
-    return level
+    node, zeros, ones = (upper[c].to_numpy(dtype=np.int64) for c in ("node", "zeros", "ones"))
+    below, levels = upper["below"].to_numpy(dtype=float), [[], []]
+    for k in range(8):
+        mine = (node & 255) >> k == 1
+        one = Nodes(node[mine], zeros[mine], ones[mine], below[mine])
+        number, place = np.unique(one.above(), return_inverse=True)
+        sums = [np.bincount(place, weights=x, minlength=len(number)) for x in (one.zeros, one.ones, one.log_weighted)]
+        levels[0].append(Nodes(number, sums[0].astype(np.int64), sums[1].astype(np.int64), sums[2]))
+        levels[1].append(one)
+    return levels
 
 
 def gram_answers(asks: DataFrame, model: DataFrame, upper, depth: int) -> DataFrame:
@@ -355,14 +395,14 @@ def gram_answers(asks: DataFrame, model: DataFrame, upper, depth: int) -> DataFr
             for block, key, n in zip(batch.column("block").to_pylist(), batch.column("keys"), batch.column("counts")):
                 keys = unpacked(key.as_py(), True)
                 if block is None:                # the shard's model
-                    levels = [*build(keys, unpacked(n.as_py()), depth, 2), *upper.value]
-                    known, logp = keys, log10_probability(keys, levels, depth).astype(np.float32)
+                    levels = mixed([*upper.value, *build(keys, unpacked(n.as_py()), depth, 2)])
+                    known, logp = keys, log10_probability(keys, levels).astype(np.float32)
                     continue
                 out = np.zeros(len(keys), dtype=np.float32)
                 at = np.minimum(np.searchsorted(known, keys), max(len(known) - 1, 0))
                 seen = known[at] == keys if len(known) else np.zeros(len(keys), dtype=bool)
                 out[seen] = logp[at[seen]]
-                out[~seen] = log10_probability(keys[~seen], levels, depth)
+                out[~seen] = log10_probability(keys[~seen], levels)
                 yield _answer(block, GRAMS, key.as_py(), out.tobytes())
 
     rows = asks.where(F.col("kind") == GRAMS).select("shard", "block", "keys", "counts").unionByName(
