@@ -6,6 +6,8 @@ from pyspark.sql import functions as F
 
 from seqlake.functions.hashing import hash_int, seeded_hash
 from seqlake.operators.index import row_index
+from seqlake.operators.order import order_statistics
+from seqlake.session import settle
 
 
 def sample_per_group(df: DataFrame, group: str, id_col: str, n: int = 1, seed: int = 42) -> DataFrame:
@@ -27,10 +29,12 @@ def select_sequences(ids: DataFrame, shards: DataFrame) -> DataFrame:
     """Shard rows whose ``(source, seq_id)`` is listed in ``ids``.
 
     Per id the first shard (smallest ``file``) holding it wins and all its rows in that shard stay;
-    ids absent from every shard drop out (see :func:`missing_ids`).
+    ids absent from every shard drop out (see :func:`missing_ids`). The shards are scanned once: the listed rows
+    are written as a table, from which the first shard of every id is found. With a shard index,
+    :func:`seqlake.sources.shards.select_from_shards` reads only the shards that may hold listed ids.
     """
     wanted = ids.select("source", "seq_id").distinct()
-    hits = shards.join(wanted, ["source", "seq_id"], "left_semi")
+    hits = settle(shards.join(wanted, ["source", "seq_id"], "left_semi"))
     first = hits.groupBy("source", "seq_id").agg(F.min("file").alias("file"))
     return hits.join(first, ["source", "seq_id", "file"], "left_semi")
 
@@ -60,11 +64,11 @@ def corpus_stats(df: DataFrame, by: list[str], seq_col: str = "sequence", id_col
         F.sum(F.length(seq_col)).cast("bigint").alias("total_bp"))
 
 
-def length_median(df: DataFrame, by: list[str], seq_col: str = "sequence", approx: bool = False) -> DataFrame:
-    """Median length (interpolated, truncated to an integer); ``approx`` for huge groups."""
-    length = F.length(seq_col)
-    med = F.percentile_approx(length, 0.5, 10000) if approx else F.percentile(length, F.lit(0.5))
-    return df.groupBy(*by).agg(med.cast("bigint").alias("median_len"))
+def length_median(df: DataFrame, by: list[str], seq_col: str = "sequence") -> DataFrame:
+    """Median length of every group (the mean of the two middle ones, truncated to an integer), exact at any size."""
+    middle = {"low": F.floor((F.col("n") - 1) / 2), "high": F.floor(F.col("n") / 2)}
+    out = order_statistics(df, by, F.length(seq_col), middle)
+    return out.select(*by, ((F.col("low") + F.col("high")) / 2).cast("bigint").alias("median_len"))
 
 
 def class_count(df: DataFrame, label: str = "label") -> DataFrame:
