@@ -47,3 +47,11 @@ def counts_before(counts: DataFrame, key: str, block: str, n: str, name: str, bi
                         same((F.col(key), F.col("group_key")), (F.col("block_group"), F.col("group_no"))))
             .withColumn(name, F.col("inside_before") + F.col("group_before"))
             .drop("group_key", "group_no", "group_before", "inside_before", "block_group"))
+
+
+def free_name(taken: list[str], name: str) -> str:
+    """``name`` with as many underscores as it takes to be no name of ``taken`` (names differ by more than case)."""
+    taken = {t.lower() for t in taken}
+    while name.lower() in taken:
+        name += "_"
+    return name

@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from seqlake.llm.common import same
+from seqlake.llm.common import free_name, same
 from seqlake.llm.ragged import byte_slices, offsets_of, text_buffer
 from seqlake.session import settle
 
@@ -121,14 +121,6 @@ def later_units(found: DataFrame) -> DataFrame:
     return again.groupBy("doc_id", "text_hash").agg(F.collect_set("pos").alias("later"))
 
 
-def free_name(taken: list[str], name: str) -> str:
-    """``name`` with as many underscores as it takes to be no name of ``taken`` (names differ by more than case)."""
-    taken = {t.lower() for t in taken}
-    while name.lower() in taken:
-        name += "_"
-    return name
-
-
 def dedup_units(docs: DataFrame, min_words: int = MIN_WORDS, min_bytes: int = MIN_BYTES, id_col: str = "doc_id",
                 text_col: str = "text") -> DataFrame:
     """``docs`` with repeated passages cut from its texts by the rule above, and, as the last column, the spans

@@ -26,7 +26,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from seqlake.llm.common import same, small_batches
+from seqlake.llm.common import free_name, same, small_batches
 from seqlake.session import settle
 
 WORD = re.compile("[^\x20\x09-\x0d]+")
@@ -212,22 +212,23 @@ def mixed_documents(docs: DataFrame, block_words: int = 32, weights: tuple = (3,
     A row whose words are all taken twice comes twice, unchanged; a row of which a pass takes a
     part comes with that part; a row that no pass takes is left out. ``n_chars``, if there, is the new length.
     """
-    numbered = settle(docs.withColumn("__rid", F.monotonically_increasing_id()))
-    m = mix(settle(sizes(numbered, "__rid")), block_words, weights, share, limit, seed)
+    rid, part_rid, pass_, size_, parts_, text_ = (free_name(docs.columns, c) for c in ("rid", "part_rid", "pass", "part_size", "parts", "part_text"))
+    numbered = settle(docs.withColumn(rid, F.monotonically_increasing_id()))
+    m = mix(settle(sizes(numbered, rid)), block_words, weights, share, limit, seed)
     word = F.struct((F.col("first") - F.col("start")).alias("a"), (F.col("last") - F.col("start")).alias("b"))
     parts = (m.pieces.join(m.slots.select("source_no", "block", "pass").hint("merge"), ["source_no", "block"])
-             .groupBy(F.col("rid").alias("__part_rid"), F.col("pass").alias("__pass"), F.col("size").alias("__size"))
-             .agg(F.array_sort(F.collect_list(word)).alias("__parts")))
+             .groupBy(F.col("rid").alias(part_rid), F.col("pass").alias(pass_), F.col("size").alias(size_))
+             .agg(F.array_sort(F.collect_list(word)).alias(parts_)))
 
     @F.pandas_udf("string")
-    def part_text(text: pd.Series, parts_: pd.Series, size: pd.Series) -> pd.Series:
+    def part_text(text: pd.Series, parts: pd.Series, size: pd.Series) -> pd.Series:
         return pd.Series([take_words(t, [(p["a"], p["b"]) for p in ps], n)
-                          for t, ps, n in zip(text, parts_, size)], dtype=object)
+                          for t, ps, n in zip(text, parts, size)], dtype=object)
 
-    joined = (numbered.join(parts, F.col("__rid") == F.col("__part_rid"))
-              .withColumn("__text", part_text("text", "__parts", "__size")))
+    joined = (numbered.join(parts, F.col(rid) == F.col(part_rid))
+              .withColumn(text_, part_text("text", parts_, size_)))
     as_type = dict(docs.dtypes)
-    new = {"text": F.col("__text")}
+    new = {"text": F.col(text_)}
     if "n_chars" in as_type:
-        new["n_chars"] = F.length("__text").cast(as_type["n_chars"])
+        new["n_chars"] = F.length(text_).cast(as_type["n_chars"])
     return joined.select(*[new[c].alias(c) if c in new else F.col(f"`{c}`") for c in docs.columns])

@@ -31,7 +31,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from seqlake.llm.common import same, small_batches
+from seqlake.llm.common import free_name, same, small_batches
 from seqlake.llm.text_shape import FEATURES, shape
 from seqlake.session import settle
 
@@ -125,7 +125,8 @@ def classify(docs: DataFrame, labels: DataFrame, threshold: float = 0.5,
 
 def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = 0.5) -> DataFrame:
     """The rows of ``docs`` that the classifier does not reject."""
+    bad_id, bad_hash = free_name(docs.columns, "bad_id"), free_name(docs.columns, "bad_hash")
     bad = (classify(docs, labels, threshold).where(~F.col("keep"))
-           .select(F.col("doc_id").alias("__bad_id"), F.col("text_hash").alias("__bad_hash")).distinct())
+           .select(F.col("doc_id").alias(bad_id), F.col("text_hash").alias(bad_hash)).distinct())
     text_hash = F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit("")))
-    return docs.join(bad, same((F.col("doc_id").cast("bigint"), F.col("__bad_id")), (text_hash, F.col("__bad_hash"))), "left_anti")
+    return docs.join(bad, same((F.col("doc_id").cast("bigint"), F.col(bad_id)), (text_hash, F.col(bad_hash))), "left_anti")

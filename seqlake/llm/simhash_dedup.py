@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from seqlake.llm.common import small_batches, texts
+from seqlake.llm.common import free_name, small_batches, texts
 from seqlake.llm.components import components
 from seqlake.session import settle
 
@@ -111,9 +111,10 @@ def keep_one(docs: DataFrame, shingle_words: int = 3, max_bits: int = 2, id_col:
              text_col: str = "text") -> DataFrame:
     """One row of ``docs`` for each component: that of the smallest doc_id, null ids last, and of rows that
     repeat this id (or of null ids only) the first."""
-    rows = settle(docs.withColumn("__row", F.monotonically_increasing_id()))
-    prints = settle(fingerprints(rows, shingle_words, id_col, text_col, "__row"))
-    rank = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "__row")
+    row, kept_row = free_name(docs.columns, "row"), free_name(docs.columns, "kept_row")
+    rows = settle(docs.withColumn(row, F.monotonically_increasing_id()))
+    prints = settle(fingerprints(rows, shingle_words, id_col, text_col, row))
+    rank = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", row)
     kept = (prints.join(named_components(prints, max_bits).select("fp", "root"), "fp")
-            .groupBy("root").agg(F.min(rank).alias("first")).select(F.col("first.__row").alias("__kept")))
-    return rows.join(kept, F.col("__row") == F.col("__kept"), "left_semi").drop("__row")
+            .groupBy("root").agg(F.min(rank).alias("first")).select(F.col(f"first.{row}").alias(kept_row)))
+    return rows.join(kept, F.col(row) == F.col(kept_row), "left_semi").drop(row)

@@ -125,6 +125,15 @@ def test_context_reaches_six_bytes(spark):
     assert scores[0] > 0.7 * scores[1]    # logarithms: less is worse
 
 
+def test_probabilities_of_all_bytes_sum_to_one():
+    data = np.frombuffer(b"abab\nabba\n", np.uint8)
+    keys, n = ct.gram_counts(data, np.array([0, 5, 10]), 10, 2)
+    levels = ct.mixed(ct.build(keys, n, 2, 0))
+    for context in (b"ab", b"\n\n", b"zz", b"az"):
+        every = np.array([context[1] << 16 | context[0] << 8 | b for b in range(256)])
+        assert (10 ** ct.log10_probability(every, levels)).sum() == pytest.approx(1)
+
+
 def test_packed_arrays():
     rng = np.random.default_rng(4)
     for a in (np.zeros(0, np.int64), np.array([-5, 7]), rng.integers(-2 ** 62, 2 ** 62, 1000)):

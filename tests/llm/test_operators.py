@@ -229,34 +229,6 @@ def test_cascade_is_exact_on_its_universe(spark):
     assert len(shards.shards) > 1 and set(np.array(keys)[shards.has(keys)]) == listed
 
 
-def test_context_tree_weights_by_hand():
-    """Depth 2 over a short text: the weighted probability equals the recursion over all contexts."""
-    keys, _ = context_tree.grams([b"abab\n", b"abba\n"], 2)
-    unique, n = np.unique(keys, return_counts=True)
-    levels = context_tree.build(unique, n, 2, 0)
-
-    def log_weighted(context, number, depth):
-        rows = [(k, c) for k, c in zip(unique.tolist(), n.tolist()) if k >> 8 * (3 - depth) == context]
-        ones = zeros = 0
-        bits = number.bit_length() - 1
-        for k, c in rows:
-            byte = k & 255
-            if (1 << bits | byte >> (8 - bits)) == number:
-                ones, zeros = ones + c * (byte >> (7 - bits) & 1), zeros + c * (1 - (byte >> (7 - bits) & 1))
-        kt = math.lgamma(zeros + .5) + math.lgamma(ones + .5) - math.lgamma(zeros + ones + 1) - math.log(math.pi)
-        if depth == 2 or zeros + ones == 0:
-            return kt
-        children = sum(log_weighted(context << 8 | b, number, depth + 1) for b in b"ab\n")
-        return math.log(0.5 * math.exp(kt) + 0.5 * math.exp(children))
-
-    top = levels[-1]
-    for node, value in zip(top.nodes.tolist(), top.log_weighted):
-        assert value == pytest.approx(log_weighted(0, node, 0))
-    for context in (b"ab", b"\n\n"):    # probabilities of all bytes sum to one
-        every = np.array([context[1] << 16 | context[0] << 8 | b for b in range(256)])
-        assert (10 ** context_tree.log10_probability(every, levels, 2)).sum() == pytest.approx(1)
-
-
 def test_mixing(spark, corpus):
     sized = spark.createDataFrame([(k, i, s, len((t or "").split())) for k, (i, t, s) in enumerate(corpus)],
                                   "rid bigint, doc_id bigint, source string, size bigint")
