@@ -21,10 +21,11 @@ MAX_RANGES = 10_000        # beyond, ranges grow instead
 PLACE_BITS = 33            # monotonically_increasing_id: partition above, place within it below
 
 
-def row_index(df: DataFrame, order: list[str], name: str = "pos", rows_per_range: int = ROWS_PER_RANGE) -> DataFrame:
+def row_index(df: DataFrame, order: list[str], name: str = "pos", rows_per_range: int = ROWS_PER_RANGE, cheap: bool = False) -> DataFrame:
+    """``cheap``: the input is a scan with expressions, the same on every run, so it is run again instead of written first."""
     if not all(isinstance(c, str) for c in order):
         raise TypeError("row_index takes column names (ascending order)")
-    rows = settle(df)
+    rows = df if cheap else settle(df)
     ranges = min(MAX_RANGES, max(1, math.ceil(rows.count() / rows_per_range)))
     place = F.monotonically_increasing_id()
     dealt = settle(rows.repartitionByRange(ranges, *order).sortWithinPartitions(*order).select(

@@ -20,9 +20,9 @@ def sample_per_group(df: DataFrame, group: str, id_col: str, n: int = 1, seed: i
     return df.withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") <= n).drop("_rn")
 
 
-def seeded_shuffle(df: DataFrame, id_col: str, seed: int = 42, name: str = "pos") -> DataFrame:
-    """The whole table in seeded random order, with a dense 0-based position."""
-    return row_index(df.withColumn("_h", seeded_hash(id_col, seed)), ["_h", id_col], name).drop("_h")
+def seeded_shuffle(df: DataFrame, id_col: str, seed: int = 42, name: str = "pos", cheap: bool = False) -> DataFrame:
+    """The whole table in seeded random order, with a dense 0-based position (``cheap``: see :func:`row_index`)."""
+    return row_index(df.withColumn("_h", seeded_hash(id_col, seed)), ["_h", id_col], name, cheap=cheap).drop("_h")
 
 
 def select_sequences(ids: DataFrame, shards: DataFrame) -> DataFrame:
