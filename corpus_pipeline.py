@@ -48,7 +48,7 @@ def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 STAGES = [("quality_classifier", quality_stage), ("simhash_near_dedup", near_dedup_stage),
           ("substring_dedup", substring_stage), ("source_mixing", mixing_stage), ("best_fit_packing", packing_stage)]
 
-ORACLE_SQL = None   # learned scores, hashed fingerprints and random draws are beyond SQL; tests hold it against brute force
+ORACLE_SQL = None   # learned scores, hashed fingerprints and random draws are beyond SQL: tests/llm/test_pipeline.py holds every stage against plain versions
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
