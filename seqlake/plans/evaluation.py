@@ -9,6 +9,7 @@ from seqlake.operators import folds as P
 from seqlake.operators import metrics as M
 from seqlake.operators import probe as Q
 from seqlake.operators import vectors as V
+from seqlake.operators import windows as W
 from seqlake.plans.registry import r6, register
 from seqlake.sources import views
 
@@ -237,9 +238,20 @@ def _layer_preds(spark, d):
                     F.col("label").alias("y")).withColumn("layer", F.col("layer").cast("int"))
 
 
-def _layer_scores(spark, d):
+def _layer_losses(spark, d):
+    """Mean cross-entropy of the val rows: a layer's 16 numbers as logits."""
+    e = views.table(spark, d, "embeddings")
+    rows = e.select(F.posexplode(F.transform(F.sequence(F.lit(0), F.lit(3)), lambda l: F.slice("embedding", l * 16 + 1, 16))).alias("layer", "logits"),
+                    F.pmod("vec_id", F.lit(3)).cast("int").alias("seed"),
+                    (F.pmod((F.col("vec_id") / 3).cast("bigint"), F.lit(10)) + 1).cast("int").alias("fold"),
+                    F.pmod((F.col("vec_id") / 30).cast("bigint"), F.lit(2)).alias("half"), "label")
+    val = rows.where("half = 1").withColumn("layer", F.col("layer").cast("int"))
+    return W.masked_cross_entropy(val, ["layer", "seed", "fold"]).withColumnRenamed("loss", "val_loss")
+
+
+def _layer_scores(spark, d, losses=None):
     s = M.classification_scores(_layer_preds(spark, d), ["layer", "seed", "fold", "split"])
-    return M.fold_scores(s, ["layer", "seed", "fold"], "split", ["accuracy", "macro_f1", "mcc"])
+    return M.fold_scores(s, ["layer", "seed", "fold"], "split", ["accuracy", "macro_f1", "mcc"], losses)
 
 
 _FS_COLS = [f"{s}_{m}" for s in ("val", "test") for m in ("accuracy", "macro_f1", "mcc")]
@@ -248,12 +260,18 @@ _FS_COLS = [f"{s}_{m}" for s in ("val", "test") for m in ("accuracy", "macro_f1"
 @register("layer_scores", f"""WITH {_cls_sql(LAYER_SRC, ['layer', 'seed', 'fold', 'split'])},
 fs AS (SELECT layer, seed, fold, """ + ", ".join(
     f"max(CASE WHEN split = '{c.split('_', 1)[0]}' THEN {c.split('_', 1)[1]} END) AS {c}" for c in _FS_COLS) + """
-       FROM scores GROUP BY layer, seed, fold)
-SELECT layer, seed, fold, """ + ", ".join(f"round({c}, 6) + 0.0 AS {c}" for c in _FS_COLS) + " FROM fs")
+       FROM scores GROUP BY layer, seed, fold),
+z AS (SELECT CAST(l AS INTEGER) AS layer, CAST(vec_id % 3 AS INTEGER) AS seed, CAST((vec_id // 3) % 10 + 1 AS INTEGER) AS fold, label,
+             CAST(embedding[l * 16 + 1:l * 16 + 16] AS DOUBLE[]) AS x
+      FROM embeddings, (SELECT unnest(range(4)) AS l) ll WHERE (vec_id // 30) % 2 = 1),
+lo AS (SELECT layer, seed, fold, avg(ln(list_sum(list_transform(x, lambda v: exp(v - list_max(x))))) + list_max(x) - x[label + 1]) AS val_loss
+       FROM z GROUP BY layer, seed, fold)
+SELECT layer, seed, fold, round(val_loss, 6) + 0.0 AS val_loss, """ + ", ".join(f"round({c}, 6) + 0.0 AS {c}" for c in _FS_COLS) + """
+FROM fs LEFT JOIN lo USING (layer, seed, fold)""")
 def layer_scores(spark, d):
-    """M7: one row per (layer, seed, fold) with val_* and test_* scores."""
-    fs = _layer_scores(spark, d)
-    return fs.select("layer", "seed", "fold", *[r6(c).alias(c) for c in _FS_COLS])
+    """M7: one row per (layer, seed, fold) with val_loss, val_* and test_* scores."""
+    fs = _layer_scores(spark, d, _layer_losses(spark, d))
+    return fs.select("layer", "seed", "fold", r6("val_loss").alias("val_loss"), *[r6(c).alias(c) for c in _FS_COLS])
 
 
 @register("layer_selection", f"""WITH {_cls_sql(LAYER_SRC, ['layer', 'seed', 'fold', 'split'])},
@@ -314,7 +332,6 @@ def embed_pool_probe(spark, d):
     stratified folds, standardised on each fold's train rows and probed by a two-layer network per
     (seed, fold) that stops on its validation loss. No SQL oracle (iterative fit)."""
     from seqlake.plans.tokens import CONTEXT, _encoded
-    from seqlake.operators import windows as W
     enc, _ = _encoded(spark, d)
     win = W.windows(enc.select("seq_id", "input_ids"), CONTEXT)
     emb = V.embed_windows(win.select("seq_id", "window_no", "input_ids"), bag_of_tokens_model(BAG_DIM),

@@ -5,7 +5,7 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from seqlake.operators import bpe, sample
+from seqlake.operators import bpe, sample, species
 from seqlake.operators import windows as W
 from seqlake.plans.corpus import SEGS_CTE
 from seqlake.plans.registry import register
@@ -176,3 +176,60 @@ def next_token_loss(spark, d):
     pairs = W.next_token_pairs(seqs, has_species=True, keep=["seq_id"])
     j = pairs.join(t.select("seq_id", "pos", F.col("embedding").alias("logits")), ["seq_id", "pos"])
     return W.masked_cross_entropy(j, ["seq_id"]).select("seq_id", F.round("loss", 6).alias("loss"), "n_tokens")
+
+
+@register("windows_full")
+def windows_full(spark, d):
+    """Slices of CONTEXT - 2 tokens, decoded, encoded anew and wrapped."""
+    enc, model = _encoded(spark, d)
+    w = W.windows_full(enc.select("seq_id", "input_ids"), model, CONTEXT - 2)
+    return w.select("seq_id", "window_no", F.size("input_ids").cast("bigint").alias("n_tokens"), F.md5(F.array_join("input_ids", ",")).alias("ids_md5"))
+
+
+BASES_CTE = f"""{SEGS_CTE.split(",\nseg AS")[0]},
+ids AS (SELECT seq_id, species, list_transform(string_split(sequence, ''), lambda c: ascii(c)) AS ids FROM dna WHERE sequence <> '')"""
+OVERFLOW, STRIDE = 1026, 100
+
+
+@register("windows_overflow", f"""
+WITH {BASES_CTE},
+n AS (SELECT *, CASE WHEN len(ids) <= {OVERFLOW - 2} THEN 1
+                     ELSE 1 + CAST(ceil((len(ids) - {OVERFLOW - 2}) / {OVERFLOW - 2 - STRIDE}) AS BIGINT) END AS windows FROM ids),
+w AS (SELECT seq_id, species, ids, unnest(range(windows)) AS k FROM n),
+x AS (SELECT seq_id, species, k, [1] || ids[k * {OVERFLOW - 2 - STRIDE} + 1:k * {OVERFLOW - 2 - STRIDE} + {OVERFLOW - 2}] || [2] AS win FROM w)
+SELECT seq_id, CAST(k AS INTEGER) AS window_no, species, CAST(len(win) AS BIGINT) AS n_tokens, md5(array_to_string(win, ',')) AS ids_md5 FROM x""")
+def windows_overflow(spark, d):
+    """W3 + R11: overlapping windows of base tokens; every window has its sequence's species, attached by key."""
+    s = views.sequences(spark, d).where("sequence <> ''")
+    bases = s.select("seq_id", bpe.encode_bases(F.col("sequence")).alias("input_ids"))
+    named = species.attach_species(bases, s.select("seq_id", "species"), "seq_id")
+    w = W.windows_overflow(named, OVERFLOW, STRIDE)
+    return w.select("seq_id", "window_no", "species", F.size("input_ids").cast("bigint").alias("n_tokens"),
+                    F.md5(F.array_join("input_ids", ",")).alias("ids_md5"))
+
+
+@register("wrap_pairs", f"""
+WITH {BASES_CTE},
+p AS (SELECT seq_id, ids[1:20] AS a, ids[greatest(len(ids) - 29, 1):len(ids)] AS b FROM ids)
+SELECT seq_id, array_to_string([1] || a || [2] || [1] || b || [2], ',') AS ids,
+       array_to_string(list_transform(range(len(a) + 2), lambda i: 0) || list_transform(range(len(b) + 2), lambda i: 1), ',') AS types FROM p""")
+def wrap_pairs(spark, d):
+    """The first 20 and the last 30 bases of a sequence as a pair, with type ids."""
+    s = views.sequences(spark, d).where("sequence <> ''").select("seq_id", bpe.encode_bases(F.col("sequence")).alias("x"))
+    ids, types = bpe.wrap_pair(F.slice("x", 1, 20), F.slice("x", F.greatest(F.size("x") - 29, F.lit(1)), 30))
+    return s.select("seq_id", F.array_join(ids, ",").alias("ids"), F.array_join(types, ",").alias("types"))
+
+
+@register("masked_input_checks", f"""
+WITH {BASES_CTE},
+r AS (SELECT seq_id, CASE WHEN seq_id % 3 = 0 THEN [1] || ids ELSE ids END AS ids, seq_id % 7 = 0 AS shifted FROM ids)
+SELECT seq_id, shifted AS left_padded, false AS pad_without_mask, ids[1] <> 1 AS missing_bos, len(ids) > 8192 AS too_long FROM r""")
+def masked_input_checks(spark, d):
+    """W7 with a mask: every seventh input is padded on the left, every third begins with BOS."""
+    s = views.sequences(spark, d).where("sequence <> ''").select("seq_id", bpe.encode_bases(F.col("sequence")).alias("x"))
+    x = F.when(F.pmod("seq_id", F.lit(3)) == 0, F.concat(F.array(F.lit(1)), "x")).otherwise(F.col("x"))
+    s = s.select("seq_id", x.alias("input_ids"))
+    real = F.array_repeat(F.lit(1), F.size("input_ids"))
+    mask = F.when(F.pmod("seq_id", F.lit(7)) == 0, F.concat(F.array(F.lit(0)), real)).otherwise(F.concat(real, F.array(F.lit(0))))
+    c = W.check_inputs(s.withColumn("attention_mask", mask), uses_species=True)
+    return c.select("seq_id", "left_padded", "pad_without_mask", "missing_bos", "too_long")

@@ -128,3 +128,19 @@ def running_states(spark, d):
     out = V.running_states(e, "batch").where("mu is not null")
     return (out.select("batch", F.col("k").cast("bigint"), F.posexplode(F.arrays_zip("mu", "sd")).alias("dim", "z"))
             .select("batch", F.col("dim").cast("int"), "k", r6("z.mu").alias("mu"), r6("z.sd").alias("sd")))
+
+
+@register("species_vectors", """
+WITH e AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings),
+u AS (SELECT vec_id, list_transform(v, lambda x: CAST(CAST(x / greatest(sqrt(list_inner_product(v, v)), 1e-12) AS FLOAT) AS DOUBLE)) AS uv, v FROM e),
+r AS (SELECT a.vec_id, CASE WHEN a.vec_id % 10 = 0 THEN a.v ELSE t.uv END AS vec
+      FROM u a LEFT JOIN u t ON t.vec_id = a.vec_id % 10 - 1)
+SELECT vec_id AS seq_id, CAST(dim AS INTEGER) AS dim, round(vec[dim + 1], 6) + 0.0 AS v FROM (SELECT *, unnest(range(64)) AS dim FROM r)""")
+def species_vectors(spark, d):
+    """V2 + V4: ids 0 to 8 take the unit rows of a table of nine species, -1 the row's inferred vector."""
+    e = views.table(spark, d, "embeddings").select(F.col("vec_id").alias("seq_id"), (F.pmod("vec_id", F.lit(10)) - 1).cast("int").alias("species_id"),
+                                                     F.col("embedding").alias("vec"))
+    table = e.where("seq_id between 0 and 8").select(F.col("seq_id").cast("int").alias("species_id"), "vec")
+    out = V.species_vectors(e.select("seq_id", "species_id"), table=table, inferred=e.select("seq_id", "vec"))
+    long = out.select("seq_id", F.posexplode("species_vec").alias("dim", "v"))
+    return long.select("seq_id", F.col("dim").cast("int"), r6(F.col("v").cast("double")).alias("v"))

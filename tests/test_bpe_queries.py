@@ -92,6 +92,17 @@ def test_windows_and_batches(spark, rows, ids):
     assert sorted(tuple(r) for r in QUERIES["pad_batches"](spark, FOLDER).collect()) == padded
 
 
+def test_full_windows_are_encoded_anew(spark, trained, ids):
+    md5 = lambda x: hashlib.md5(",".join(map(str, x)).encode()).hexdigest()
+    step, want = tokens.CONTEXT - 2, []
+    for i, x in ids.items():
+        for k, lo in enumerate(range(0, max(len(x), 1), step)):
+            text = "".join(trained.id_to_token(t) for t in x[lo:lo + step])
+            w = [1, *trained.encode(text).ids, 2]
+            want.append((i, k, len(w), md5(w)))
+    assert sorted(tuple(r) for r in QUERIES["windows_full"](spark, FOLDER).collect()) == sorted(want)
+
+
 def test_corpus_to_tokenizer(spark, rows):
     """One id of every strain, its first shard's copies, learned from."""
     seeded = lambda i: hashlib.md5(f"42|{i}".encode()).hexdigest()
