@@ -38,12 +38,12 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from seqlake.llm.common import texts
+from seqlake.llm.common import arrow_rows, texts
 from seqlake.llm.ragged import byte_slices, offsets_of, text_buffer
 from seqlake.session import settle
 
 DEPTH = 6                  # context bytes; a key has one more, at most seven in all
-BLOCK_BYTES = 16 << 20     # of text in a block
+BLOCK_BYTES = 24 << 20     # of text in a block
 SLICE_BYTES = 1 << 20      # of text made into streams together
 PIECE = 1 << 20            # bytes of a block whose keys are made at a time
 SHARD_BYTES = 8 << 20      # of text for each shard of keys, and of words
@@ -51,6 +51,8 @@ MERGE_AT = 1 << 23         # keys of several blocks that a shard holds before it
 END = 10                   # the end mark: a line break, which cannot be in a word
 LOG_HALF = math.log(0.5)
 GRAMS, WORDS = 0, 1
+PART_BYTES = 1 << 20       # of a block's text that a row of the last step holds
+ARROW_ROWS = 64
 
 _BLANK = np.zeros(256, dtype=bool)
 _BLANK[[0x20, *range(9, 14)]] = True
@@ -74,6 +76,16 @@ def unpacked(data: bytes, ascending: bool = False) -> np.ndarray:
     return np.cumsum(values) if ascending else values
 
 
+def packed_floats(values: np.ndarray) -> bytes:
+    """Floats in single precision as compressed bytes, equal places together."""
+    return zstandard.compress(values.astype("<f4").view(np.uint8).reshape(-1, 4).T.tobytes(), 1)
+
+
+def unpacked_floats(data: bytes) -> np.ndarray:
+    raw = np.frombuffer(zstandard.decompress(data), dtype=np.uint8)
+    return np.ascontiguousarray(raw.reshape(4, -1).T).view("<f4").reshape(-1)
+
+
 # --- texts as byte decisions -------------------------------------------------------------------
 
 def stream(data: np.ndarray, doc_at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -149,29 +161,43 @@ def block_words(data: np.ndarray, doc_at: np.ndarray) -> tuple[np.ndarray, np.nd
 
 
 class Block:
-    """The documents of a block, training texts first, as one compressed value."""
+    """Documents as streams, training texts first; goes around as one compressed value."""
+
+    def __init__(self, ids: np.ndarray, null: np.ndarray, at: np.ndarray, data: np.ndarray, training: int):
+        self.ids, self.null, self.at, self.data, self.training = ids, null, at, data, training
+        self.learnt = int(at[training])
 
     @staticmethod
-    def pack(doc_id: pa.Array, held_out: np.ndarray, text: pa.Array) -> bytes:
-        order = np.argsort(held_out, kind="stable")
-        text, ids = text.take(pa.array(order)), doc_id.take(pa.array(order))
-        streams, sizes = [], []
+    def of(doc_id: pa.Array, held_out: np.ndarray, text: pa.Array) -> "Block":
+        order = pa.array(np.argsort(held_out, kind="stable"))
+        text, doc_id = text.take(order), doc_id.take(order)
+        streams, sizes = [np.zeros(0, np.uint8)], [np.zeros(0, np.int64)]
         for part in byte_slices([pa.record_batch({"text": text})], "text", SLICE_BYTES):      # some numbers are kept for every byte
             data, at = stream(*text_buffer(part.column("text").combine_chunks()))
-            streams.append(data.tobytes())
+            streams.append(data)
             sizes.append(np.diff(at))
-        at = offsets_of(np.concatenate([np.zeros(0, np.int64), *sizes]))
-        head = np.array([len(order), int((~held_out).sum())], dtype=np.int64)
-        return zstandard.compress(b"".join([head.tobytes(), np.asarray(ids.fill_null(0)).astype(np.int64).tobytes(),
-                                            np.asarray(ids.is_null()).astype(np.int64).tobytes(), at.tobytes(), *streams]), 3)
+        return Block(np.asarray(doc_id.fill_null(0)).astype(np.int64), np.asarray(doc_id.is_null()).astype(np.int64),
+                     offsets_of(np.concatenate(sizes)), np.concatenate(streams), int((~held_out).sum()))
+
+    def pack(self) -> bytes:
+        head = np.array([len(self.ids), self.training], dtype=np.int64)
+        return zstandard.compress(b"".join(x.tobytes() for x in (head, self.ids, self.null, self.at, self.data)), 3)
 
-    def __init__(self, payload: bytes):
+    @staticmethod
+    def unpack(payload: bytes) -> "Block":
         raw = zstandard.decompress(payload)
-        docs, self.training = np.frombuffer(raw, np.int64, 2).tolist()
-        ids, null, self.at = (np.frombuffer(raw, np.int64, n, o) for n, o in ((docs, 16), (docs, 16 + 8 * docs), (docs + 1, 16 + 16 * docs)))
-        self.doc_id = pa.array(ids, pa.int64(), mask=null > 0)
-        self.data = np.frombuffer(raw, np.uint8, offset=24 + 24 * docs)
-        self.learnt = int(self.at[self.training])
+        docs, training = np.frombuffer(raw, np.int64, 2).tolist()
+        ids, null, at = (np.frombuffer(raw, np.int64, n, o) for n, o in ((docs, 16), (docs, 16 + 8 * docs), (docs + 1, 16 + 16 * docs)))
+        return Block(ids, null, at, np.frombuffer(raw, np.uint8, offset=24 + 24 * docs), training)
+
+    def parts(self, size: int) -> Iterator["Block"]:
+        """The same documents in blocks of about ``size`` bytes."""
+        lo = 0
+        while lo < len(self.ids):
+            hi = max(lo + 1, int(np.searchsorted(self.at, self.at[lo] + size, side="right")) - 1)
+            yield Block(self.ids[lo:hi], self.null[lo:hi], self.at[lo:hi + 1] - self.at[lo], self.data[self.at[lo]:self.at[hi]],
+                        min(max(self.training - lo, 0), hi - lo))
+            lo = hi
 
 
 # --- the tree of a shard -----------------------------------------------------------------------
@@ -291,9 +317,9 @@ def packed_blocks(docs: DataFrame) -> DataFrame:
         task = TaskContext.get().partitionId() << 32
         for i, part in enumerate(byte_slices(batches, "text", BLOCK_BYTES)):
             part = part.combine_chunks()
-            payload = Block.pack(part.column("doc_id").combine_chunks(), np.asarray(part.column("held_out").combine_chunks().cast(pa.uint8())) > 0,
-                                 part.column("text").combine_chunks())
-            yield pa.record_batch({"block": pa.array([task + i]), "payload": pa.array([payload], pa.binary())})
+            block = Block.of(part.column("doc_id").combine_chunks(), np.asarray(part.column("held_out").combine_chunks().cast(pa.uint8())) > 0,
+                             part.column("text").combine_chunks())
+            yield pa.record_batch({"block": pa.array([task + i]), "payload": pa.array([block.pack()], pa.binary())})
 
     return docs.select("doc_id", "text", "held_out").mapInArrow(run, PACKED_SCHEMA)
 
@@ -306,7 +332,7 @@ def asked(blocks: DataFrame, depth: int, shards: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for number, payload in zip(batch.column("block").to_pylist(), batch.column("payload")):
-                block, rows = Block(payload.as_py()), []
+                block, rows = Block.unpack(payload.as_py()), []
                 hashes, which, _ = block_words(block.data, block.at)
                 mine = int(np.count_nonzero((block.data[:block.learnt] == 0x20)) + np.count_nonzero(np.diff(block.at[:block.training + 1]) > 1))
                 counts = np.bincount(which[:mine], minlength=len(hashes))
@@ -403,7 +429,7 @@ def gram_answers(asks: DataFrame, model: DataFrame, upper, depth: int) -> DataFr
                 seen = known[at] == keys if len(known) else np.zeros(len(keys), dtype=bool)
                 out[seen] = logp[at[seen]]
                 out[~seen] = log10_probability(keys[~seen], levels)
-                yield _answer(block, GRAMS, key.as_py(), out.tobytes())
+                yield _answer(block, GRAMS, key.as_py(), packed_floats(out))
 
     rows = asks.where(F.col("kind") == GRAMS).select("shard", "block", "keys", "counts").unionByName(
         model.select("shard", F.lit(None).cast("bigint").alias("block"), "keys", "counts"))
@@ -411,47 +437,32 @@ def gram_answers(asks: DataFrame, model: DataFrame, upper, depth: int) -> DataFr
 
 
 def word_answers(asks: DataFrame) -> tuple[DataFrame, int]:
-    """The training count of every word that a block asks for, as rows like those of the keys; and how many words training has."""
-    def merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, keys, counts = None, [], []
+    """The training count of every word that a block asks for, as rows like those of the keys; and how many words training
+    has. Words are dealt evenly by their hashes, so a shard's rows are held until they are added up and answered."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, rows = None, []
 
-        def row():
-            key, n = added_up(keys, counts)
-            yield pa.record_batch({"shard": pa.array([now]), "keys": pa.array([packed(key[n > 0], True)], pa.binary()),
-                                   "counts": pa.array([packed(n[n > 0])], pa.binary()), "n": pa.array([int((n > 0).sum())])})
+        def answered():
+            keys = [unpacked(k, True) for _, k, _ in rows]
+            known, total = added_up(keys, [unpacked(n) for _, _, n in rows])
+            for (block, raw, _), key in zip(rows, keys):
+                yield _answer(block, WORDS, raw, packed(total[np.searchsorted(known, key)]))
+            yield _answer(-1, WORDS, b"", packed(np.array([int((total > 0).sum())])))
 
         for batch in batches:
-            for shard, key, n in zip(batch.column("shard").to_pylist(), batch.column("keys"), batch.column("counts")):
+            for shard, block, key, n in zip(batch.column("shard").to_pylist(), batch.column("block").to_pylist(), batch.column("keys"), batch.column("counts")):
                 if shard != now:
-                    if now is not None:
-                        yield from row()
-                    now, keys, counts = shard, [], []
-                keys.append(unpacked(key.as_py(), True))
-                counts.append(unpacked(n.as_py()))
-                if sum(map(len, keys)) > MERGE_AT and len(keys) > 1:
-                    key, n = added_up(keys, counts)
-                    keys, counts = [key], [n]
-        if now is not None:
-            yield from row()
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, total = None, None
-        for batch in batches:
-            for block, key, n in zip(batch.column("block").to_pylist(), batch.column("keys"), batch.column("counts")):
-                keys = unpacked(key.as_py(), True)
-                if block is None:
-                    known, total = keys, unpacked(n.as_py())
-                    continue
-                at = np.minimum(np.searchsorted(known, keys), max(len(known) - 1, 0))
-                found = np.where(known[at] == keys, total[at], 0) if len(known) else np.zeros(len(keys), np.int64)
-                yield _answer(block, WORDS, key.as_py(), packed(found))
+                    if rows:
+                        yield from answered()
+                    now, rows = shard, []
+                rows.append((block, key.as_py(), n.as_py()))
+        if rows:
+            yield from answered()
 
     words = asks.where(F.col("kind") == WORDS).select("shard", "block", "keys", "counts")
-    counted = settle(words.select("shard", "keys", "counts").repartition("shard").sortWithinPartitions("shard")
-                     .mapInArrow(merged, "shard bigint, keys binary, counts binary, n bigint"))
-    rows = words.unionByName(counted.select("shard", F.lit(None).cast("bigint").alias("block"), "keys", "counts"))
-    distinct = counted.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    return rows.repartition("shard").sortWithinPartitions("shard", "block").mapInArrow(run, ROW_SCHEMA), distinct
+    answers = settle(words.repartition("shard").sortWithinPartitions("shard").mapInArrow(run, ROW_SCHEMA))
+    distinct = sum(int(unpacked(bytes(r["answers"]))[0]) for r in answers.where("block < 0").select("answers").toLocalIterator())   # a row per shard
+    return answers.where("block >= 0"), distinct
 
 
 def _answer(block: int, kind: int, keys: bytes, answers: bytes) -> pa.RecordBatch:
@@ -491,26 +502,31 @@ class Slots:
         return out
 
 
-def scored_block(block: Block, answers: list[tuple[int, bytes, bytes]], depth: int, tokens: int, kinds: int, ends: int) -> pa.RecordBatch:
-    """The documents of a block with their scores; ``answers`` (kind, keys, answers) are those of all shards."""
-    docs = len(block.at) - 1
-    keys = np.concatenate([np.zeros(0, np.int64), *(unpacked(k, True) for kind, k, _ in answers if kind == GRAMS)])
-    logp = np.concatenate([np.zeros(0, np.float32), *(np.frombuffer(a, np.float32) for kind, _, a in answers if kind == GRAMS)])
-    slots, score = Slots(keys, logp), np.zeros(docs)
+def answer_tables(answers: list[tuple[int, bytes, bytes]]) -> tuple[Slots, np.ndarray, np.ndarray]:
+    """(log probabilities by key, ascending word hashes, their training counts) of a block's answers (kind, keys, answers)."""
+    grams_, words = ([a for a in answers if a[0] == kind] for kind in (GRAMS, WORDS))
+    slots = Slots(np.concatenate([np.zeros(0, np.int64), *(unpacked(k, True) for _, k, _ in grams_)]),
+                  np.concatenate([np.zeros(0, np.float32), *(unpacked_floats(a) for _, _, a in grams_)]))
+    known = np.concatenate([np.zeros(0, np.int64), *(unpacked(k, True) for _, k, _ in words)])
+    order = np.argsort(known)
+    return slots, known[order], np.concatenate([np.zeros(0, np.int64), *(unpacked(a) for _, _, a in words)])[order]
+
+
+def scored_block(block: Block, tables: tuple[Slots, np.ndarray, np.ndarray], depth: int, tokens: int, kinds: int, ends: int) -> pa.RecordBatch:
+    """The documents of a block, or of a part of it, with their scores."""
+    slots, known, counts = tables
+    docs, score = len(block.at) - 1, np.zeros(len(block.at) - 1)
     for lo in range(0, len(block.data), PIECE):
         hi = min(lo + PIECE, len(block.data))
         sums = offsets_of_floats(slots.look_up(grams(block.data, block.at, lo, hi, depth)))
         score += np.diff(sums[np.clip(block.at, lo, hi) - lo])
     hashes, which, words = block_words(block.data, block.at)
-    known = np.concatenate([np.zeros(0, np.int64), *(unpacked(k, True) for kind, k, _ in answers if kind == WORDS)])
-    count = np.concatenate([np.zeros(0, np.int64), *(unpacked(a) for kind, _, a in answers if kind == WORDS)])
-    order = np.argsort(known)
-    c = count[order][np.searchsorted(known[order], hashes)] if len(hashes) else count[:0]
+    c = counts[np.searchsorted(known, hashes)] if len(hashes) else counts[:0]
     denominator = tokens + 0.5 * (kinds + 1)
     doc = np.repeat(np.arange(docs), words)
     base = np.bincount(doc, weights=np.log10((c + 0.5) / denominator)[which], minlength=docs) + math.log10((ends + 0.5) / denominator)
     n_known = np.bincount(doc, weights=(c > 0)[which], minlength=docs).astype(np.int64) + (ends > 0)
-    return pa.record_batch({"doc_id": block.doc_id, "held_out": pa.array(np.arange(docs) >= block.training), "n_tokens": words + 1,
+    return pa.record_batch({"doc_id": pa.array(block.ids, pa.int64(), mask=block.null > 0), "held_out": pa.array(np.arange(docs) >= block.training), "n_tokens": words + 1,
                             "n_known": n_known, "base_score": base, "score": score})
 
 
@@ -520,6 +536,18 @@ def offsets_of_floats(values: np.ndarray) -> np.ndarray:
     return out
 
 
+def payload_parts(blocks: DataFrame) -> DataFrame:
+    """(block, place, kind, keys, answers): the blocks' documents in rows of about ``PART_BYTES`` of text."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for number, payload in zip(batch.column("block").to_pylist(), batch.column("payload")):
+                for part in Block.unpack(payload.as_py()).parts(PART_BYTES):
+                    yield pa.record_batch({"block": pa.array([number]), "place": pa.array([1], pa.int32()), "kind": pa.array([0], pa.int32()),
+                                           "keys": pa.array([b""], pa.binary()), "answers": pa.array([part.pack()], pa.binary())})
+
+    return blocks.mapInArrow(run, ROW_SCHEMA)
+
+
 def score(docs: DataFrame, depth: int = DEPTH, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score): one row per document row."""
     spark = docs.sparkSession
@@ -527,28 +555,28 @@ def score(docs: DataFrame, depth: int = DEPTH, id_col: str = "doc_id", text_col:
         "held_out", F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))) % 5 == 1)
     blocks = settle(packed_blocks(marked))
     size = marked.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
-    asks = settle(asked(blocks, depth, int(min(1 << 16, 1 + size // SHARD_BYTES))))
-    tokens, ends = asks.where("kind = -1").agg(F.coalesce(F.sum("tokens"), F.lit(0)), F.coalesce(F.sum("ends"), F.lit(0))).first()
-    model = settle(model_shards(asks, depth))
-    upper = spark.sparkContext.broadcast(upper_levels(model))
-    words, kinds = word_answers(asks)
-    tokens, kinds = tokens + ends, kinds + (ends > 0)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, answers = None, []
-        for batch in batches:
-            for block, place, kind, keys, value in zip(batch.column("block").to_pylist(), batch.column("place").to_pylist(),
-                                                       batch.column("kind").to_pylist(), batch.column("keys"), batch.column("answers")):
-                if block != now:
-                    now, answers = block, []
-                if place == 0:
-                    answers.append((kind, keys.as_py(), value.as_py()))
-                else:
-                    yield scored_block(Block(value.as_py()), answers, depth, tokens, kinds, ends)
-                    answers = []
-
-    payloads = blocks.select("block", F.lit(1).alias("place"), F.lit(None).cast("int").alias("kind"), F.lit(None).cast("binary").alias("keys"),
-                             F.col("payload").alias("answers"))
-    rows = gram_answers(asks, model, upper, depth).unionByName(words).unionByName(payloads)
-    scored = rows.repartition("block").sortWithinPartitions("block", "place").mapInArrow(run, SCORED_SCHEMA)
+    with arrow_rows(spark, ARROW_ROWS):       # rows of packed arrays are long
+        asks = settle(asked(blocks, depth, int(min(1 << 16, 1 + size // SHARD_BYTES))))
+        tokens, ends = asks.where("kind = -1").agg(F.coalesce(F.sum("tokens"), F.lit(0)), F.coalesce(F.sum("ends"), F.lit(0))).first()
+        model = settle(model_shards(asks, depth))
+        upper = spark.sparkContext.broadcast(upper_levels(model))
+        words, kinds = word_answers(asks)
+        tokens, kinds = tokens + ends, kinds + (ends > 0)
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            now, answers, tables = None, [], None
+            for batch in batches:
+                for block, place, kind, keys, value in zip(batch.column("block").to_pylist(), batch.column("place").to_pylist(),
+                                                           batch.column("kind").to_pylist(), batch.column("keys"), batch.column("answers")):
+                    if block != now:
+                        now, answers, tables = block, [], None
+                    if place == 0:
+                        answers.append((kind, keys.as_py(), value.as_py()))
+                    else:
+                        tables, answers = tables or answer_tables(answers), []
+                        yield scored_block(Block.unpack(value.as_py()), tables, depth, tokens, kinds, ends)
+
+        rows = gram_answers(asks, model, upper, depth).unionByName(words).unionByName(payload_parts(blocks))
+        scored = settle(rows.repartition("block").sortWithinPartitions("block", "place").mapInArrow(run, SCORED_SCHEMA))
     return scored.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(tokens).cast("bigint").alias("train_tokens"), "base_score", "score")

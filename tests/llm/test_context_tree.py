@@ -106,7 +106,7 @@ def test_scores_equal_a_plain_context_tree(spark, depth):
 
 
 def test_many_blocks_pieces_and_shards(spark, monkeypatch):
-    for name, value in (("BLOCK_BYTES", 300), ("PIECE", 64), ("SHARD_BYTES", 100), ("MERGE_AT", 50)):
+    for name, value in (("BLOCK_BYTES", 300), ("PIECE", 64), ("SHARD_BYTES", 100), ("MERGE_AT", 50), ("PART_BYTES", 40), ("SLICE_BYTES", 50)):
         monkeypatch.setattr(ct, name, value)
     check(spark, sample(random.Random(2), 40) + ODD)
 
@@ -140,6 +140,17 @@ def test_packed_arrays():
         assert (ct.unpacked(ct.packed(a)) == a).all() and (ct.unpacked(ct.packed(np.sort(a), True), True) == np.sort(a)).all()
 
 
+    x = np.r_[-rng.random(500) * 9, 0.0]
+    assert ct.unpacked_floats(ct.packed_floats(x)) == pytest.approx(x, rel=1e-6) and len(ct.unpacked_floats(ct.packed_floats(x[:0]))) == 0
+
+
+def test_session_setting_is_restored(spark):
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    ct.score(docs(spark, [(1, "a b", "s")])).count()
+    assert spark.conf.get(key) == before
+
+
 def test_registered_query(spark):
     """Base scores and counts of a whole table, and held-out texts in far fewer than eight bits a byte."""
     folder = "/root/testdata/sf0.001"
