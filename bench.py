@@ -16,6 +16,7 @@ HEADLINE = [
     "random_crop", "mask_pretokenise", "bpe_train", "bpe_encode", "windows_bpe", "windows_bases",
     "resolve_species", "taxonomy_closure", "edge_distances", "species_table", "mean_pool", "pool_assembly",
     "fold_table", "standardise", "classification_metrics", "regression_metrics", "layer_scores",
+    "pad_batches", "length_median", "running_states", "reconstruction_quality",
 ]
 
 

@@ -14,7 +14,7 @@ import math
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from seqlake.session import settle
+from seqlake.session import release, settle
 
 ROWS_PER_RANGE = 200_000   # target size of a range
 MAX_RANGES = 10_000        # beyond, ranges grow instead
@@ -31,6 +31,7 @@ def row_index(df: DataFrame, order: list[str], name: str = "pos", rows_per_range
     dealt = settle(rows.repartitionByRange(ranges, *order).sortWithinPartitions(*order).select(
         "*", F.shiftright(place, PLACE_BITS).cast("int").alias("_range"),
         place.bitwiseAND(F.lit((1 << PLACE_BITS) - 1)).alias("_place")))
+    release(rows)
     offset, offsets = 0, []
     for r in dealt.groupBy("_range").count().orderBy("_range").collect():    # at most MAX_RANGES rows
         offsets.append((r["_range"], offset))

@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from seqlake.session import settle
+from seqlake.session import release, settle
 
 DIGIT_BITS, DIGITS = 16, 4
 
@@ -48,8 +48,11 @@ def order_statistics(df: DataFrame, by: list[str], value: Column, ranks: dict[st
     named = F.explode(F.array(*[F.struct(F.lit(name).alias("name"), rank.cast("bigint").alias("rank")) for name, rank in ranks.items()]))
     state = (sizes.select(*groups, "n", named.alias("r")).select(*[F.col(g).alias(s) for g, s in zip(groups, state_groups)], "n",
              F.col("r.name").alias("name"), F.col("r.rank").alias("rank"), F.lit(None).cast("bigint").alias("prefix")))
+    before = None
     for p in range(DIGITS):
         state = settle(state)
+        release(*[t for t in (before,) if t is not None])
+        before = state
         shift = DIGIT_BITS * (DIGITS - 1 - p)
         rows = keyed if p == 0 else keyed.withColumn("high", F.shiftright("key", shift + DIGIT_BITS))
         asked = state.select(*state_groups, "prefix").distinct()
@@ -64,6 +67,7 @@ def order_statistics(df: DataFrame, by: list[str], value: Column, ranks: dict[st
         hit = state.join(counts, on).where((F.col("rank") < F.col("upto")) & (F.col("rank") >= F.col("upto") - F.col("c")))
         longer = F.col("digit") if p == 0 else F.shiftleft("prefix", DIGIT_BITS).bitwiseOR(F.col("digit"))
         state = hit.select(*state_groups, "n", "name", (F.col("rank") - F.col("upto") + F.col("c")).alias("rank"), longer.alias("prefix"))
-    found = state.select(*state_groups, "n", "name", value_of("prefix").alias("v"))
+    found = settle(state.select(*state_groups, "n", "name", value_of("prefix").alias("v")))
+    release(keyed, before)
     out = found.groupBy(*state_groups, "n").agg(*[F.max(F.when(F.col("name") == name, F.col("v"))).alias(name) for name in ranks])
     return out.toDF(*by, "n", *ranks)

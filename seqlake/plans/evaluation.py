@@ -336,7 +336,7 @@ def embed_pool_probe(spark, d):
     win = W.windows(enc.select("seq_id", "input_ids"), CONTEXT)
     emb = V.embed_windows(win.select("seq_id", "window_no", "input_ids"), bag_of_tokens_model(BAG_DIM),
                           BAG_DIM, batch_size=24, keys=["seq_id", "window_no"])
-    pooled = V.pool_windows(V.long_form(emb, ["seq_id", "window_no"]), ["seq_id"])
+    pooled = V.long_form(V.pool_windows(emb, ["seq_id"]), ["seq_id"])
     docs = _docs(spark, d).withColumnRenamed("row_id", "seq_id")
     roles = P.fold_table(P.stratified_kfold(docs.withColumnRenamed("seq_id", "row_id"), K), K) \
         .withColumnRenamed("row_id", "seq_id")

@@ -28,7 +28,7 @@ SELECT seq_id, CAST(layer AS INTEGER) AS layer, CAST(dim AS INTEGER) AS dim, rou
 FROM x GROUP BY seq_id, layer, dim""")
 def mean_pool(spark, d):
     """V11 + V5: layers from the hidden vector, mean over unmasked positions."""
-    out = V.mean_pool(_tokens(spark, d), ["seq_id", "layer"], mask="mask")
+    out = V.long_form(V.mean_pool(_tokens(spark, d), ["seq_id", "layer"], mask="mask"), ["seq_id", "layer"])
     return out.select("seq_id", "layer", F.col("dim").cast("int"), r6("v").alias("v"))
 
 
@@ -51,7 +51,7 @@ def pool_windows(spark, d):
     """V5 + V7: token means per window (8 tokens), then unweighted means over 4 windows."""
     w = V.mean_pool(_tokens(spark, d), ["seq_id", "layer"], mask="mask")
     w = w.withColumn("parent", (F.col("seq_id") / 4).cast("bigint"))
-    out = V.pool_windows(w, ["parent", "layer"])
+    out = V.long_form(V.pool_windows(w, ["parent", "layer"]), ["parent", "layer"])
     return out.select("parent", "layer", F.col("dim").cast("int"), r6("v").alias("v"))
 
 
@@ -69,8 +69,7 @@ def pool_assembly(spark, d):
     rows = e.select(F.col("vec_id").alias("row_id"), "label",
                     F.when(F.pmod("vec_id", F.lit(11)) == 0, F.lit(None)).otherwise((F.col("vec_id") / 5).cast("bigint").cast("string"))
                     .alias("assembly"), F.col("embedding").alias("vec"))
-    lf = V.long_form(rows, ["row_id"])
-    out = V.pool_assembly(rows, lf, carry=["label"])
+    out = V.long_form(V.pool_assembly(rows, carry=["label"]), ["first_row", "n_rows", "label"])
     return out.select("first_row", "n_rows", "label", F.col("dim").cast("int"), r6("v").alias("v"))
 
 

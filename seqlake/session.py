@@ -53,15 +53,31 @@ def settle(df: DataFrame) -> DataFrame:
 
     Cuts the lineage, survives lost executors, and gives the planner the table's true size in
     bytes, so that joins against it are broadcast or shuffled by the session's own threshold.
-    The files go when the session ends.
+    The files go with :func:`release`, or when the session ends.
     """
     spark = df.sparkSession
     path = f"{checkpoint_dir(spark)}/table-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    jvm = spark.sparkContext._jvm
-    hadoop_path = jvm.org.apache.hadoop.fs.Path(path)
-    hadoop_path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(hadoop_path)
-    return spark.read.schema(df.schema).parquet(path)
+    fs, hadoop_path = _file_system(spark, path)
+    fs.deleteOnExit(hadoop_path)
+    table = spark.read.schema(df.schema).parquet(path)
+    table._settled_path = path
+    return table
+
+
+def release(*tables: DataFrame) -> None:
+    """Delete the files of settled tables that nothing will read any more: what was made from them is written itself."""
+    for table in tables:
+        path = getattr(table, "_settled_path", None)
+        if path:
+            fs, hadoop_path = _file_system(table.sparkSession, path)
+            fs.delete(hadoop_path, True)
+            table._settled_path = None
+
+
+def _file_system(spark: SparkSession, path: str):
+    hadoop_path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return hadoop_path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), hadoop_path
 
 
 def cut_lineage(df: DataFrame, eager: bool = True) -> DataFrame:

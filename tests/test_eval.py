@@ -66,3 +66,13 @@ def test_primary_metric_of_the_named_tasks():
     from seqlake.operators import metrics
     assert [metrics.primary_metric(task=t) for t in ("virus/covid", "virus/species_40", "fungi/species_20", "covid")] == [
         "macro_f1", "macro_f1", "macro_f1", "mcc"]
+
+
+def test_settled_tables_go_when_released(spark, tmp_path):
+    import os
+    from seqlake.session import release, settle
+    df = settle(spark.range(5))
+    path = df._settled_path
+    assert os.path.isdir(path) and df.count() == 5
+    release(df, df, spark.range(1))
+    assert not os.path.exists(path)
