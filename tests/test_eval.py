@@ -72,7 +72,7 @@ def test_settled_tables_go_when_released(spark, tmp_path):
     import os
     from seqlake.session import release, settle
     df = settle(spark.range(5))
-    path = df._settled_path
+    path = df._settled_path.removeprefix("file:")
     assert os.path.isdir(path) and df.count() == 5
     release(df, df, spark.range(1))
     assert not os.path.exists(path)
