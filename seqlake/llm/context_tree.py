@@ -40,7 +40,7 @@ from pyspark.sql import functions as F
 
 from seqlake.llm.common import arrow_rows, texts
 from seqlake.llm.ragged import byte_slices, offsets_of, text_buffer
-from seqlake.session import settle
+from seqlake.session import release, settle
 
 DEPTH = 6                  # context bytes; a key has one more, at most seven in all
 BLOCK_BYTES = 24 << 20     # of text in a block
@@ -579,4 +579,5 @@ def score(docs: DataFrame, depth: int = DEPTH, id_col: str = "doc_id", text_col:
 
         rows = gram_answers(asks, model, upper, depth).unionByName(words).unionByName(payload_parts(blocks))
         scored = settle(rows.repartition("block").sortWithinPartitions("block", "place").mapInArrow(run, SCORED_SCHEMA))
+        release(blocks, asks, model)
     return scored.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(tokens).cast("bigint").alias("train_tokens"), "base_score", "score")
