@@ -51,7 +51,7 @@ MERGE_AT = 1 << 23         # keys of several blocks that a shard holds before it
 END = 10                   # the end mark: a line break, which cannot be in a word
 LOG_HALF = math.log(0.5)
 GRAMS, WORDS = 0, 1
-PART_BYTES = 1 << 20       # of a block's text that a row of the last step holds
+PART_BYTES = 2 << 20       # of a block's text whose words are looked at together, and that a row of the last step holds
 ARROW_ROWS = 64
 
 _BLANK = np.zeros(256, dtype=bool)
@@ -156,7 +156,7 @@ def block_words(data: np.ndarray, doc_at: np.ndarray) -> tuple[np.ndarray, np.nd
     words = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(first), [
         None, pa.py_buffer(offsets_of(last + 1 - first)), pa.py_buffer(data[solid])]).dictionary_encode()
     digest = xxhash.xxh64_intdigest
-    hashes = np.fromiter((digest(w) for w in words.dictionary.to_pylist()), dtype=np.uint64, count=len(words.dictionary))
+    hashes = np.fromiter(map(digest, words.dictionary.to_numpy(zero_copy_only=False)), dtype=np.uint64, count=len(words.dictionary))
     return hashes.view(np.int64), np.asarray(words.indices), np.diff(np.searchsorted(first, doc_at))
 
 
@@ -200,6 +200,16 @@ class Block:
             lo = hi
 
 
+def word_counts(block: Block) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct word hashes of a block, ascending, with their counts in its training texts."""
+    hashes, counts = [], []
+    for part in block.parts(PART_BYTES):
+        found, which, words = block_words(part.data, part.at)
+        hashes.append(found)
+        counts.append(np.bincount(which[:int(words[:part.training].sum())], minlength=len(found)))
+    return added_up(hashes, counts)
+
+
 # --- the tree of a shard -----------------------------------------------------------------------
 
 _TABLED = 1 << 12
@@ -333,20 +343,17 @@ def asked(blocks: DataFrame, depth: int, shards: int) -> DataFrame:
         for batch in batches:
             for number, payload in zip(batch.column("block").to_pylist(), batch.column("payload")):
                 block, rows = Block.unpack(payload.as_py()), []
-                hashes, which, _ = block_words(block.data, block.at)
-                mine = int(np.count_nonzero((block.data[:block.learnt] == 0x20)) + np.count_nonzero(np.diff(block.at[:block.training + 1]) > 1))
-                counts = np.bincount(which[:mine], minlength=len(hashes))
-                order = np.argsort(hashes)
+                words, times = word_counts(block)
                 keys, n = gram_counts(block.data, block.at, block.learnt, depth)
                 for kind, key, count, shard in (
                         (GRAMS, keys, n, spread_[keys >> 8 * (depth - 1)]),
-                        (WORDS, hashes[order], counts[order], (hashes[order].view(np.uint64) >> np.uint64(32)).astype(np.int64) * shards >> 32)):
+                        (WORDS, words, times, (words.view(np.uint64) >> np.uint64(32)).astype(np.int64) * shards >> 32)):
                     by = np.argsort(shard, kind="stable")
                     edge = np.searchsorted(shard[by], np.arange(shards + 1))
                     for s in np.flatnonzero(np.diff(edge)).tolist():
                         part = by[edge[s]:edge[s + 1]]
                         rows.append((kind, s, number, packed(key[part], True), packed(count[part]), len(part), 0, 0))
-                rows.append((-1, -1, number, b"", b"", 0, mine, block.training))
+                rows.append((-1, -1, number, b"", b"", 0, int(times.sum()), block.training))
                 yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows)], schema=pa.schema([
                     ("kind", pa.int32()), ("shard", pa.int64()), ("block", pa.int64()), ("keys", pa.binary()), ("counts", pa.binary()),
                     ("n", pa.int64()), ("tokens", pa.int64()), ("ends", pa.int64())]))
