@@ -1,6 +1,7 @@
 import random
 from collections import Counter
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -115,3 +116,34 @@ def test_encode_bases_bytes(spark):
     df = spark.createDataFrame([("ACGT",), ("",)], "s string")
     got = [r[0] for r in df.select(bpe.encode_bases(F.col("s"))).collect()]
     assert got == [[65, 67, 71, 84], []]
+
+
+def test_small_corpora_train_in_few_tasks(spark, monkeypatch):
+    """Every round has several passes over the distinct segments, so these are not left in the tasks of a shuffle."""
+    rng = random.Random(6)
+    segs = _segs(spark, ["".join(rng.choice("ACGTN") for _ in range(60)) for _ in range(200)])
+    parts, learn = [], bpe.learn_merges
+    monkeypatch.setattr(bpe, "learn_merges", lambda s, *a: parts.append(s.rdd.getNumPartitions()) or learn(s, *a))
+    few = bpe.train_bpe(segs, vocab_size=30)
+    many = bpe.train_bpe(segs.repartition(40), vocab_size=30)
+    assert few == many and max(parts) <= spark.sparkContext.defaultParallelism
+    monkeypatch.setattr(bpe, "TASK_LETTERS", 100)
+    assert bpe.train_bpe(segs.repartition(40), vocab_size=30) == many and parts[-1] == 40
+
+
+def test_batches_are_encoded_in_turns(spark, monkeypatch):
+    monkeypatch.setattr(bpe, "BATCH_LETTERS", 50)
+    texts = ["ACGT" * (i % 9) + "N" * (i % 3) for i in range(60)] + [None, "", "ACGT" * 100]
+    sizes = [b.num_rows for b in bpe.letters_at_a_time(pa.record_batch({"t": texts}), pa.array(texts))]
+    assert sum(sizes) == len(texts) and max(sizes) < 40 and len(sizes) > 10
+    assert [b.num_rows for b in bpe.letters_at_a_time(pa.record_batch({"t": pa.array([], pa.string())}), pa.array([], pa.string()))] in ([], [0])
+    df = spark.createDataFrame(list(enumerate(texts)), "seq_id int, sequence string")
+    m = bpe.train_bpe(bpe.segment_counts(df), vocab_size=20)
+    assert {r.seq_id: r.d for r in bpe.encode_bpe(df, m).select("seq_id", bpe.decode_bpe("input_ids", m).alias("d")).collect()} == {i: t or "" for i, t in enumerate(texts)}
+
+
+def test_segments_are_counted_before_they_are_sent(spark, monkeypatch):
+    monkeypatch.setattr(bpe, "COUNTED_LETTERS", 20)
+    texts = ["acgtNACGT", "NN", "", None, "ACGTNNß"] * 9
+    df = spark.createDataFrame([(t,) for t in texts], "sequence string")
+    assert {r.segment: r.n for r in bpe.segment_counts(df).collect()} == {"ACGT": 27, "SS": 9}
