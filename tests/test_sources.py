@@ -4,6 +4,7 @@ from pyspark.errors import AnalysisException
 from seqlake.operators import metrics as M
 from seqlake.operators import species as S
 from seqlake.operators import vectors as V
+from seqlake.sources import views
 from seqlake.sources import io
 from seqlake.streaming.sequences import normalise_stream, read_shard_stream, write_stream
 
@@ -81,6 +82,29 @@ def test_attach_species_refuses_repeated_keys(spark):
         S.attach_species(df, twice, "k")
 
 
+@pytest.mark.parametrize("names", [[(1, "a")], [(1, "a"), (3, "b")], [(1, "a"), (2, "b"), (3, "c")], [(1, "a"), (None, "b")], []])
+def test_attach_species_refuses_keys_that_do_not_cover_the_rows(spark, names):
+    df = spark.createDataFrame([(1,), (2,), (2,)], "k int")
+    with pytest.raises(ValueError, match="one to one"):
+        S.attach_species(df, spark.createDataFrame(names, "k int, name string"), "k")
+
+
+def test_attach_species_names_every_row(spark):
+    df = spark.createDataFrame([(1,), (2,), (2,)], "k int")
+    names = spark.createDataFrame([(1, "a"), (2, None)], "k int, name string")
+    assert sorted((r.k, r.species or "") for r in S.attach_species(df, names, "k").collect()) == [(1, "a"), (2, ""), (2, "")]
+
+
+def test_rows_of_sequences_are_told_without_folding_their_texts(spark, tmp_path):
+    rows = [(1, "Ab \u00dfZ", "en", "s"), (2, "", "en", "s"), (3, None, None, "t"), (4, " ", "de", None)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").write.parquet(str(tmp_path / "documents.parquet"))
+    some = views.sequences(spark, str(tmp_path), empty=False)
+    want = views.sequences(spark, str(tmp_path)).where("sequence <> ''")
+    assert sorted(map(tuple, some.collect()), key=str) == sorted(map(tuple, want.collect()), key=str) and some.count() == 2
+    plan = lambda df: df.select("seq_id")._jdf.queryExecution().optimizedPlan().toString()
+    assert "translate" in plan(want) and "translate" not in plan(some)
+
+
 def test_species_vectors_missing_or_repeated(spark):
     df = spark.createDataFrame([("x",), ("y",)], "seq_id string")
     both = spark.createDataFrame([("x", [1.0, 0.0]), ("y", [0.0, 2.0])], "seq_id string, vec array<double>")
