@@ -8,6 +8,8 @@ the segment's length whatever the number of merges; nothing is shuffled.
 from __future__ import annotations
 
 import heapq
+import re
+import unicodedata
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -20,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from seqlake.functions.dna import mask_unknown, normalise_dna, upper_dna
+from seqlake.functions.dna import upper_dna
 from seqlake.operators.bpe_training import MAX_PIECES, TASK_LETTERS, learn_merges
 
 # Special tokens (ids 0, 1, 2) and the alphabet every vocabulary starts with.
@@ -32,11 +34,12 @@ UNK = "N"
 
 MAX_TOKENS = 0xD800      # ids travel as characters between the driver and tasks: those before the surrogates
 SEPARATOR = "\x00"        # between the tokens of a decoding table
-CACHE_BYTES = 32 << 20    # of segments a worker remembers, in either of two generations
+CACHE_BYTES = 16 << 20    # of segments a worker remembers, in either of two generations
 CACHED_LENGTH = 256       # longer segments are not remembered
 ENTRY_BYTES = 200         # a remembered segment besides its letters and ids
-BATCH_LETTERS = 1 << 21       # of texts that a worker encodes at a time
+BATCH_LETTERS = 1 << 19       # of texts that a worker encodes at a time
 COUNTED_LETTERS = 1 << 24     # whose segments a task counts before it sends them
+COUNTED_SEGMENTS = 1 << 18    # distinct ones, likewise
 
 
 def _col(c):
@@ -56,7 +59,7 @@ def segment_counts(df: DataFrame, seq_col: str = "sequence") -> DataFrame:
                 text = text.as_py() or ""
                 found.update(text.split(UNK))
                 size += len(text)
-                if size > COUNTED_LETTERS:
+                if size > COUNTED_LETTERS or len(found) > COUNTED_SEGMENTS:
                     yield counted(found)
                     found, size = Counter(), 0
         yield counted(found)
@@ -189,9 +192,22 @@ class SegmentEncoder:
         return out
 
 
-def to_token_text(c, model: BpeModel) -> Column:
-    """Normalised sequence with the characters that have no token masked, before any merge."""
-    return mask_unknown(normalise_dna(c), "".join(model.alphabet))
+class TokenText:
+    """Normalised sequences (D1) with the characters that have no token masked, before any merge: as ``mask_unknown`` of
+    ``normalise_dna``, in the task that encodes them."""
+
+    def __init__(self, alphabet: list[str]):
+        upper = {c: c.upper() for c in "acgtn"}
+        self.ascii = {i: c if (c := upper.get(chr(i), chr(i))) in alphabet else UNK for i in range(128)}
+        self.upper = str.maketrans(upper)
+        self.unknown = re.compile(f"[^{re.escape(''.join(alphabet))}]")
+
+    def __call__(self, text: str | None) -> str:
+        if text is None:
+            return ""
+        if text.isascii():
+            return text.translate(self.ascii)
+        return self.unknown.sub(UNK, unicodedata.normalize("NFKC", text).translate(self.upper))
 
 
 def letters_at_a_time(batch: pa.RecordBatch, text: pa.StringArray) -> Iterator[pa.RecordBatch]:
@@ -202,27 +218,31 @@ def letters_at_a_time(batch: pa.RecordBatch, text: pa.StringArray) -> Iterator[p
         yield batch.slice(lo, hi - lo)
 
 
-def encode_bpe(df: DataFrame, model: BpeModel, seq_col: str = "sequence", out: str = "input_ids") -> DataFrame:
-    """D1 normalisation, unknown characters to N, merges, ids (no specials). A null sequence has no ids."""
+def encode_bpe(df: DataFrame, model: BpeModel, seq_col: str = "sequence", out: str = "input_ids", keep: list[str] | None = None) -> DataFrame:
+    """D1 normalisation, unknown characters to N, merges, ids (no specials). A null sequence has no ids. ``keep``: the columns
+    that go with the ids (all, if not given)."""
     ids = {t: i for i, t in enumerate(model.tokens) if i >= len(SPECIALS) and len(t) == 1}
     ranks: dict[tuple[int, int], tuple[int, int]] = {}
     for rank, left, right, new, _, _ in model.merges:
         ranks[(left, right)] = (rank, new)
     shared = df.sparkSession.sparkContext.broadcast((ids, ranks))
-    kept = [f for f in df.schema.fields if f.name != out]
+    kept = [f for f in df.schema.fields if f.name != out and (keep is None or f.name in keep)]
+    alphabet = model.alphabet
     schema = T.StructType(kept + [T.StructField(out, T.ArrayType(T.IntegerType()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = SegmentEncoder(*shared.value)
-        for batch in (part for whole in batches for part in letters_at_a_time(whole, whole.column(whole.num_columns - 1))):
-            raw = encoder.encode(batch.column(batch.num_columns - 1).to_pylist())
+        encoder, masked = SegmentEncoder(*shared.value), TokenText(alphabet)
+        for batch in (part for whole in batches for part in letters_at_a_time(whole, whole.column(text_at))):
+            raw = encoder.encode([masked(t) for t in batch.column(text_at).to_pylist()])
             at = np.zeros(len(raw) + 1, dtype=np.int32)
             np.cumsum([len(x) // 4 for x in raw], out=at[1:])
             column = pa.ListArray.from_arrays(pa.array(at), pa.array(np.frombuffer(b"".join(raw), np.int32)))
-            yield pa.RecordBatch.from_arrays(batch.columns[:-1] + [column], names=[f.name for f in schema.fields])
+            yield pa.RecordBatch.from_arrays(batch.columns[:len(kept)] + [column], names=[f.name for f in schema.fields])
 
-    text = F.coalesce(to_token_text(F.col(seq_col), model), F.lit(""))
-    return df.select(*(F.col(f"`{f.name}`") for f in kept), text.alias("__token_text")).mapInArrow(run, schema)
+    names = [f.name for f in kept]
+    text_at = names.index(seq_col) if seq_col in names else len(kept)      # a text that goes with the ids is sent once
+    text = [] if seq_col in names else [F.col(seq_col).alias("__token_text")]
+    return df.select(*(F.col(f"`{n}`") for n in names), *text).mapInArrow(run, schema)
 
 
 def decode_bpe(ids, model: BpeModel) -> Column:

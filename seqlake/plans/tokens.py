@@ -36,9 +36,10 @@ def _model(spark, d) -> bpe.BpeModel:
     return bpe.BpeModel.from_frames(*io.read_vocab(spark, _TRAINED[key]))
 
 
-def _encoded(spark, d, model=None):
-    model = model or _model(spark, d)
-    return bpe.encode_bpe(views.sequences(spark, d), model), model
+def _encoded(spark, d, keep=("seq_id",)):
+    """The encoded sequences with the columns ``keep``, and the model."""
+    model = _model(spark, d)
+    return bpe.encode_bpe(views.sequences(spark, d), model, keep=keep), model
 
 
 @register("bpe_train")
@@ -72,7 +73,7 @@ def bpe_encode(spark, d):
 @register("token_stats")
 def token_stats(spark, d):
     """Tokens and bases per token per folder."""
-    enc, _ = _encoded(spark, d)
+    enc, _ = _encoded(spark, d, ["source", "sequence"])
     return bpe.token_stats(enc, ["source"])
 
 
@@ -105,7 +106,7 @@ def windows_bpe(spark, d):
 @register("window_examples")
 def window_examples(spark, d):
     """Windows as labelled examples (label = the folder), counted per label."""
-    enc, _ = _encoded(spark, d)
+    enc, _ = _encoded(spark, d, ["seq_id", "source"])
     ex = W.window_examples(enc.select(F.col("seq_id").alias("row_id"), F.col("source").alias("label"), "input_ids"),
                            CONTEXT)
     return ex.groupBy("label").agg(F.count(F.lit(1)).alias("n_windows"),

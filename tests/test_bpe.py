@@ -5,6 +5,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
+from seqlake.functions.dna import mask_unknown, normalise_dna
 from seqlake.operators import bpe
 
 
@@ -147,3 +148,25 @@ def test_segments_are_counted_before_they_are_sent(spark, monkeypatch):
     texts = ["acgtNACGT", "NN", "", None, "ACGTNNß"] * 9
     df = spark.createDataFrame([(t,) for t in texts], "sequence string")
     assert {r.segment: r.n for r in bpe.segment_counts(df).collect()} == {"ACGT": 27, "SS": 9}
+
+
+def test_encoding_masks_texts_in_its_own_task(spark):
+    """One Python stage, to which every text is sent once; the masking is that of the column functions."""
+    texts = ["ACGTacgtnN", "\uff41\uff43\uff27T", "a\u00dfx\U0001f600g\nT]^-[", "\u2460A", "", None, "ACGT\x00\x7fRYK"]
+    df = spark.createDataFrame(list(enumerate(texts)), "seq_id int, sequence string").withColumn("more", F.lit("x"))
+    for corpus in (["ACGTACGT"], ["ACGT]^-[\\", "\u00dfR\U0001f600"]):
+        m = bpe.train_bpe(_segs(spark, corpus), vocab_size=40)
+        masked = bpe.TokenText(m.alphabet)
+        want = {r.seq_id: r.t or "" for r in df.select("seq_id", mask_unknown(normalise_dna("sequence"), "".join(m.alphabet)).alias("t")).collect()}
+        assert {i: masked(t) for i, t in enumerate(texts)} == want
+        enc = bpe.encode_bpe(df, m, keep=["seq_id"])
+        assert enc.columns == ["seq_id", "input_ids"] and bpe.encode_bpe(df, m).columns == ["seq_id", "sequence", "more", "input_ids"]
+        assert {r.seq_id: r.t for r in enc.select("seq_id", bpe.decode_bpe("input_ids", m).alias("t")).collect()} == want
+        plan = enc._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("MapInArrow") == 1 and "EvalPython" not in plan and "more" not in plan.split("MapInArrow")[0]
+
+
+def test_distinct_segments_a_task_counts_are_bounded(spark, monkeypatch):
+    monkeypatch.setattr(bpe, "COUNTED_SEGMENTS", 3)
+    df = spark.createDataFrame([("ACNAGNATNCCNCGNCTNGG",), ("ACNGGNTT",), ("ACNAC",)], "sequence string").coalesce(1)
+    assert {r.segment: r.n for r in bpe.segment_counts(df).collect()} == {"AC": 4, "AG": 1, "AT": 1, "CC": 1, "CG": 1, "CT": 1, "GG": 2, "TT": 1}
