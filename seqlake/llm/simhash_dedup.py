@@ -75,7 +75,8 @@ def block_tables(max_bits: int, blocks: int) -> list[tuple[int, list[int]]]:
 
 
 def near_links(nodes: DataFrame, max_bits: int = 2, blocks: int = 8) -> DataFrame:
-    """(a, b) for every two values of the distinct column ``fp`` at 1..max_bits differing bits."""
+    """(a, b) for every two values of the distinct column ``fp`` at 1..max_bits differing bits. Both sides are dealt out by
+    key: Spark takes the cells to be as small as the table that they are exploded from, and would send them all to every executor."""
     tables = block_tables(max_bits, blocks)
     keys = F.array(*[(F.col("fp").bitwiseAND(F.lit(kept))) for kept, _ in tables])
     cells = nodes.select("fp", F.posexplode(keys).alias("t", "key"))
@@ -85,7 +86,7 @@ def near_links(nodes: DataFrame, max_bits: int = 2, blocks: int = 8) -> DataFram
     for i in range(max_bits):
         must = F.array(*[F.lit(m[i]) for _, m in tables])
         near = near & (F.element_at(must, F.col("x.t") + 1).bitwiseAND(diff) != 0)
-    return (x.join(y, (F.col("x.t") == F.col("y.t")) & (F.col("x.key") == F.col("y.key")) & near)
+    return (x.join(y.hint("merge"), (F.col("x.t") == F.col("y.t")) & (F.col("x.key") == F.col("y.key")) & near)
             .select(F.col("x.fp").alias("a"), F.col("y.fp").alias("b")))
 
 

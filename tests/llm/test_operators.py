@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from seqlake.llm import (common, context_tree, lattice_dedup, line_dedup, mixing, packing, quality, simhash_dedup, simhash_fingerprint,
                          token_counts, url_filter)
+from seqlake.session import settle
 
 DOCS = "doc_id bigint, text string, lang string, source string, n_chars bigint, fp string, size int, rid int"
 
@@ -176,6 +177,15 @@ def test_block_tables_find_all_close_pairs(spark):
         assert got == [(a, b) for a, b in itertools.combinations(values, 2) if bin(a ^ b).count("1") <= bits]
 
 
+def test_cells_of_a_small_table_are_not_broadcast(spark):
+    """A table below the broadcast threshold has 28 cells a row, which the driver would have to hold."""
+    rows = settle(spark.range(3000).select(F.xxhash64("id").alias("fp")).unionByName(spark.range(50).select(F.xxhash64("id").bitwiseXOR(F.lit(9)).alias("fp"))))
+    links = simhash_dedup.near_links(rows)
+    assert links.count() == 50
+    plan = links._jdf.queryExecution().executedPlan().toString()
+    assert "Broadcast" not in plan and "SortMergeJoin" in plan
+
+
 def test_fingerprints_in_order(spark, corpus, monkeypatch):
     monkeypatch.setattr(simhash_fingerprint, "DOCS_PER_BUCKET", 16)
     rows = [r for r in corpus if r[0] is not None and r[0] != 304]
